@@ -59,7 +59,7 @@ def test_shards_round_trip(spark):
     for r in manifest.collect():
         with sst._open(r.path, "r") as f:
             reader = sst.Reader(f)
-            for d in [*want, 999_999, 11]:
+            for d in [*want, 999_999, 12]:
                 found[d] += [x.tolist() for x in reader.get(d)]
     assert {d: sorted(v) for d, v in found.items() if v} == {d: sorted(v) for d, v in want.items()}
 
