@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparsetrack.llm import op3_suffix_dedup, op8_decontaminate, op10_packing
+from sparsetrack.llm import op1_toxicity, op3_suffix_dedup, op6_minmax_dedup, op8_decontaminate, op10_packing
 from sparsetrack.llm.shared import fresh_dir
 
 STAGES = [
+    ("toxicity", op1_toxicity.stage),
+    ("minhash_near_dedup", op6_minmax_dedup.stage),
     ("suffix_array_dedup", op3_suffix_dedup.stage),
     ("decontamination", op8_decontaminate.stage),
     ("packing", op10_packing.stage),
