@@ -178,7 +178,8 @@ def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, shard_rows:
     good = labels.where("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    model = train(text.join(good.where(~apart), "doc_id", "left_semi"))
+    # a merge join at every size: labels grow with the documents
+    model = train(text.join(good.where(~apart).hint("merge"), "doc_id", "left_semi"))
     settle(spark)
     scored = written(perplexity(docs, model, shard_rows).select("doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity")), "scored")
     bound = scored.join(good.where(apart), "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", q, 10_000).alias("threshold"))
