@@ -6,8 +6,9 @@ window is only the old one and what it gains on either side).  A vector met in a
 has collided often enough and is verified by its exact distance.  Widening ends when anything nearer than the k-th best
 found would have collided often enough with great probability, or when all is verified.
 
-Every row is indexed.  Queries are a stated set; they go to the blocks ``QUERY_BLOCK`` at a time.  Of a block only each
-query's k nearest come back, so the last ranking sees k rows for each block and query.
+Every row is indexed.  Queries are a stated set; ``QUERY_BLOCK`` of them at a time pass through the driver to all blocks,
+and what they find is written before the next go, so neither the driver nor a plan grows with their number.  Of a block
+only each query's k nearest come back, so the last ranking sees k rows for each block and query.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows without vec_id, take no part; vectors
 of another length than the query's are no candidates.  A query isn't its own candidate, nor are other rows with its id.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import record
+from .shared import fresh_dir, record, written
 
 K, EVERY = 10, 100
 PROJECTIONS, ALPHA, SURE, WIDEN, BLOCK, QUERY_BLOCK = 224, 0.575, 2.2, 1.18, 20_000, 2_000
@@ -129,22 +130,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = PROJECT
     spark = vectors.sparkSession
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
     asked = queries.select(queries["vec_id"].cast("long").alias("vec_id"), queries["embedding"].cast("array<double>").alias("embedding")).where("vec_id is not null")
-    found, part = None, []
+    sound = asked.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0))
+    path, part, blocks = fresh_dir(spark, "found"), [], 0
 
     def flush():
-        nonlocal found, part
-        if part:
-            piece = rows.mapInArrow(_search(spark.sparkContext.broadcast(part), k, m, block), FOUND_SQL)
-            found, part = piece if found is None else found.union(piece), []
-
-    sound = asked.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0))
-    for r in sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toLocalIterator():
+        nonlocal part, blocks
+        sent = spark.sparkContext.broadcast(part)
+        rows.mapInArrow(_search(sent, k, m, block), FOUND_SQL).write.parquet(f"{path}/block={blocks}")
+        sent.destroy()
+        part, blocks = [], blocks + 1
+
+    # the iterator holds one partition of the written queries at a time
+    for r in written(sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries").toLocalIterator():
         part.append((r["vec_id"], np.array(r["embedding"], np.float64).tobytes()))
         if len(part) >= query_block:
             flush()
-    flush()
-    if found is None:
+    if part:
+        flush()
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = spark.read.schema(FOUND_SQL).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
     return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
