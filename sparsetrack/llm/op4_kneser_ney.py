@@ -3,9 +3,10 @@
 Counting: tasks count the ``ORDER``-grams of trusted documents batch by batch; sums, continuation counts, the discounts
 D1, D2, D3+ (from counts of counts, for each language and order) and the interpolation weights are joins and aggregates
 sharded by gram or context.  Every order's table holds interpolated log probabilities of the grams seen and, for contexts,
-the log weight of the next lower order.  Scoring: the tables go to the document scan in shards by a gram's last context
-symbol, each at most ``SHARD_ROWS`` rows, so every position finds all its orders in one shard; a document's sums over the
-shards give its perplexity.  A document is kept if its perplexity is at most its language's ``QUANTILE`` among trusted
+the log weight of the next lower order.  Scoring: the tables are written by a gram's last context symbol, and symbols are
+put together to shards of about ``SHARD_ROWS`` rows, so every position finds all its orders in one shard.  Tasks read a
+shard from the shared folder (nothing of the model passes through the driver but its row counts by symbol), and a
+document's sums over the shards give its perplexity.  A document is kept if its perplexity is at most its language's ``QUANTILE`` among trusted
 documents held out from training (crc32 of doc_id as text, modulo 5, is 0).
 
 Symbols are bytes' worth: 0 before a text and for white space runs, printable ASCII and Latin-1 letters as they are, one
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, written
+from .shared import fresh_dir, settle, written
 
 ORDER, QUANTILE, SHARD_ROWS = 5, 0.995, 4_000_000
 _SYMBOL = np.full(0x100, 1, np.uint8)
@@ -84,7 +87,7 @@ def train(trusted: DataFrame) -> DataFrame:
         weights = c.select("lang", F.lit(k - 1).alias("k"), F.col("context").alias("code"), F.lit(None).cast("double").alias("logp"), F.log(F.col("off") / F.col("all")).alias("logw"))
         rows = lower.select("lang", F.lit(k).alias("k"), "code", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logw")).union(weights)
         table = rows if table is None else table.union(rows)
-    return written(table, "model")
+    return table
 
 
 class Model:
@@ -96,13 +99,13 @@ class Model:
             order = np.argsort(code)
             self.of.setdefault(lang, {})[(k, kind)] = code[order], value[order]
 
-    def __call__(self, lang: str, x: np.ndarray, shard: int, shards: int) -> tuple[float, int] | None:
-        """The sum of log probabilities at the positions of this shard, and their number."""
+    def __call__(self, lang: str, x: np.ndarray, mine: np.ndarray) -> tuple[float, int] | None:
+        """The sum of log probabilities at the positions whose last context symbol is marked in ``mine``, and their number."""
         m = self.of.get(lang)
         if m is None:
             return None
         code = codes_of(x)
-        code = code[(code // SYMBOLS) % SYMBOLS % shards == shard]
+        code = code[mine[(code // SYMBOLS) % SYMBOLS]]
         if not len(code):
             return 0.0, 0
         # a gram's probability is found once; what repeats is counted
@@ -130,57 +133,96 @@ class Model:
         return table[0][at] == keys, table[1][at]
 
 
-def _score(raw, shard: int, shards: int):
+_loaded: dict[tuple, Model] = {}
+
+
+def _load(path: str, parts: tuple[int, ...]) -> Model:
+    """A shard from its folders; a worker keeps one at a time."""
+    if (path, parts) not in _loaded:
+        _loaded.clear()
+        fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+        raw = []
+        if parts:
+            part = pa.concat_tables(pyarrow.parquet.read_table(f"{inner}/last={n}", filesystem=fs, partitioning=None, read_dictionary=["lang"]) for n in parts).unify_dictionaries().combine_chunks()
+            names = part.column("lang").combine_chunks()
+            lang, k = names.indices.to_numpy(), part.column("k").to_numpy()
+            code, logp, logw = (part.column(c).to_numpy() for c in ("code", "logp", "logw"))
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                for order in range(ORDER + 1):
+                    mine = (lang == i) & (k == order)
+                    for kind, value in (("p", logp), ("w", logw)):
+                        of = mine & ~np.isnan(value)
+                        if of.any():
+                            raw.append((name, order, code[of], value[of], kind))
+        _loaded[(path, parts)] = Model(raw)
+    return _loaded[(path, parts)]
+
+
+def _score(path: str, parts: tuple[int, ...], mine: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(raw.value)
+        model = _load(path, parts)
         for b in it:
-            got = [model(lang, symbols_of(text.as_py()), shard, shards) for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True)]
+            got = [model(lang, symbols_of(text.as_py()), mine) for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True)]
             out = [pa.array([None if g is None else g[i] for g in got], t) for i, t in ((0, pa.float64()), (1, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "lang")), *out], names=["row", "doc_id", "lang", "logp", "n_symbols"])
 
-
     return run
 
 
+def _shards(counts: dict[int, int], shard_rows: int) -> list[list[int]]:
+    """Context symbols put together, the largest first, while a shard stays within ``shard_rows``; a larger one is alone."""
+    out: list[list[int]] = []
+    room: list[int] = []
+    for symbol in sorted(counts, key=lambda c: (-counts[c], c)):
+        i = next((i for i, left in enumerate(room) if left >= counts[symbol]), None)
+        if i is None:
+            out.append([])
+            room.append(shard_rows)
+            i = len(out) - 1
+        out[i].append(symbol)
+        room[i] -= counts[symbol]
+    return out or [[]]
+
+
 def perplexity(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(row, doc_id, lang, logp, n_symbols) for each document."""
-    spark = docs.sparkSession
-    shards = max(1, min(SYMBOLS, -(-model.count() // shard_rows)))
+    spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "model")
+    # unigrams and the empty context (at most SYMBOLS + 1 rows a language) belong to every shard
+    common = ((F.col("k") <= 1) & F.col("logw").isNull()) | (F.col("k") == 0)
+    context = F.when(F.col("logw").isNull(), F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(SYMBOLS - 1).cast("int")
+    placed = model.withColumn("last", F.when(common, F.lit(SYMBOLS)).otherwise(context))
+    placed.repartition("last", F.col("code") % 7).write.option("compression", "zstd").partitionBy("last").parquet(path)
+    settle(spark)
+    read = spark.read.schema("lang string, k int, code long, logp double, logw double, last int").parquet(path)
+    counts = {r["last"]: r["count"] for r in read.groupBy("last").count().collect()}  # at most SYMBOLS + 1 rows
+    everywhere = [SYMBOLS] if counts.pop(SYMBOLS, 0) else []
+    groups = _shards(counts, shard_rows)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), text.alias("text"))
     # sums of several shards meet again by the row's content; one shard needs no key
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text") if shards > 1 else F.lit(0).cast("long"))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text") if len(groups) > 1 else F.lit(0).cast("long"))
     scored = None
-    last = F.when(F.col("logw").isNull(), F.floor(F.col("code") / SYMBOLS)).otherwise(F.col("code")) % SYMBOLS % shards
-    for s in range(shards):
-        part = model.where((last == s) | ((F.col("k") <= 1) & F.col("logw").isNull()) | (F.col("k") == 0)).toArrow()
-        raw, k, lang = [], part.column("k").to_numpy(), np.array(part.column("lang").to_pylist(), dtype=object)
-        code, logp, logw = (part.column(c).to_numpy() for c in ("code", "logp", "logw"))
-        for name in sorted(set(lang.tolist())):
-            for order in range(ORDER + 1):
-                mine = (lang == name) & (k == order)
-                for kind, value in (("p", logp), ("w", logw)):
-                    of = mine & ~np.isnan(value)
-                    if of.any():
-                        raw.append((name, order, code[of], value[of], kind))
-        piece = rows.mapInArrow(_score(spark.sparkContext.broadcast(raw), s, shards), "row long, doc_id long, lang string, logp double, n_symbols long")
+    for i, group in enumerate(groups):
+        mine = np.zeros(SYMBOLS, bool)
+        mine[group] = True
+        if i == 0:  # contexts that the model hasn't seen
+            mine[[c for c in range(SYMBOLS) if c not in counts]] = True
+        piece = rows.mapInArrow(_score(path, (*everywhere, *sorted(group)), mine), "row long, doc_id long, lang string, logp double, n_symbols long")
         scored = piece if scored is None else scored.union(piece)
-    if shards > 1:
+    if len(groups) > 1:
         # rows that are alike are summed together and told apart again
-        one = scored.groupBy("row", "doc_id", "lang").agg(F.sum("logp").alias("logp"), F.sum("n_symbols").alias("n_symbols"), (F.count("*") / shards).cast("int").alias("copies"))
+        one = scored.groupBy("row", "doc_id", "lang").agg(F.sum("logp").alias("logp"), F.sum("n_symbols").alias("n_symbols"), (F.count("*") / len(groups)).cast("int").alias("copies"))
         scored = one.select("row", "doc_id", "lang", (F.col("logp") / F.col("copies")).alias("logp"), (F.col("n_symbols") / F.col("copies")).cast("long").alias("n_symbols"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
     return scored
 
 
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row per document: doc_id, lang, n_symbols, perplexity, threshold, keep."""
-    spark = docs.sparkSession
     good = labels.where("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     # a merge join at every size: labels grow with the documents
     model = train(text.join(good.where(~apart).hint("merge"), "doc_id", "left_semi"))
-    settle(spark)
     scored = written(perplexity(docs, model, shard_rows).select("doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity")), "scored")
     bound = scored.join(good.where(apart), "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("perplexity", q, 10_000).alias("threshold"))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
