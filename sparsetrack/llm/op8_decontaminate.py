@@ -6,7 +6,8 @@ are searched backwards, all at once, by wavelet ranks; what is found is located
 stretches are merged per document.  Nothing of a document leaves its task but its result: there is no shuffle.
 
 Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.  A window is ``width`` consecutive words of an item; an
-item of fewer words, but not none, is one window.  The benchmark is searched in blocks of bounded size.
+item of fewer words, but not none, is one window.  A benchmark of at most ``BLOCK_BYTES`` bytes is broadcast; a larger one
+is written to the shared folder in files of about that size, and a task holds one of them at a time.
 
 Null texts and items without words have no words; an item without an item_id still marks words but isn't named; items
 that share an id count once.  Repeated documents get a row each.  An empty table on either side is fine.
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import record
+from .shared import fresh_dir, record
 from .windows import BASE, BASE_INV, BYTE, PIECE, U, mix, prefix, span
 
 WIDTH, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 400_000, 8, 4 << 20
@@ -220,20 +223,28 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.i
 OUT_SQL = "doc_id long, n_words long, n_hit long, spans array<long>, items array<string>, clean_text string"
 
 
-def _scan(blocks: list, width: int, shard_words: int, carry: tuple[str, ...], clean: bool):
+def _files(path: str) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items of one file after the other."""
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    for f in sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if f.path.endswith(".parquet")):
+        table = pyarrow.parquet.read_table(f, filesystem=fs, partitioning=None)
+        yield list(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+
+
+def _scan(sent, path: str | None, width: int, shard_words: int, carry: tuple[str, ...], clean: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: list[Phrases] = []
+        phrases: list[Phrases] = []  # of the broadcast, made once
         held: list[tuple] = []
         size = 0
 
         def work():
-            if not phrases:
-                phrases.extend(Phrases(b.value, width) for b in blocks)
+            if sent is not None and not phrases:
+                phrases.append(Phrases(sent.value, width))
             docs = [h[2] for h in held]
             index = FMIndex(docs)
             bounds = np.append(index.first, index.n)
             cover, names = np.zeros(index.n + 1, np.int32), [set() for _ in docs]
-            for p in phrases:
+            for p in phrases if sent is not None else (Phrases(items, width) for items in _files(path)):
                 for n, places, which, items in occurrences(index, p):
                     np.add.at(cover, places, 1)
                     np.add.at(cover, places + n, -1)
@@ -280,22 +291,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     """A row per document: doc_id, n_words, n_hit, spans ([start, end, ...] in words), items, clean_text (if asked for:
     the text without the stretches, from first to last word) and the columns ``carry``.
 
-    The benchmark is a query set: it is read once and sent to the workers in blocks of ``block_bytes``, each searched in
-    every shard's index.
+    The benchmark is a query set.  Its size is measured first: up to ``block_bytes`` it is broadcast; beyond, nothing of it
+    passes the driver, and tasks read it file by file.
     """
-    spark = docs.sparkSession
-    blocks, block, size = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= block_bytes:
-            blocks.append(spark.sparkContext.broadcast(block))
-            block, size = [], 0
-    if block:
-        blocks.append(spark.sparkContext.broadcast(block))
+    spark, sent, path = docs.sparkSession, None, None
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    bytes_of = F.coalesce(F.octet_length("item_id"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    found = items.agg(F.coalesce(F.sum(bytes_of), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    if found["size"] <= block_bytes:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    else:
+        path = fresh_dir(spark, "benchmark")
+        items.repartition(min(found["n"], -(-found["size"] // block_bytes))).write.parquet(path)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").cast("binary").alias("text"), *(docs[c] for c in carry))
-    return texts.mapInArrow(_scan(blocks, width, shard_words, carry, clean), OUT_SQL + kinds)
+    return texts.mapInArrow(_scan(sent, path, width, shard_words, carry, clean), OUT_SQL + kinds)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
