@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ SAMPLE, CHOSEN, SUPPORT = 4_000, 400, 3
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 BETWEEN = frozenset(".-_*~'`,:;/\\ ")
 EDGE = "\"'`.,:;!?()[]{}<>|*_-~#%&$+=/\\"
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
-_NOISY = re.compile(r"(.)\1\1|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€(]|[\d@$!|+€(][^\W\d_]", re.DOTALL)
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_NARROW = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_GAP = re.compile(r"\s+")
+_NOISY = re.compile(r"([^\W\d_])\1|(.)\2\2|[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d_][\d_@$!|+€(]|[\d@$!|+€(][^\W\d_]", re.DOTALL)
 #: Character classes of the model: 0 a word's edge, then a-z, the letters U+00DF..U+00FF, and one for all else.
 CLASSES = 64
 _CLASS = np.full(0x250, 63, np.int64)
@@ -84,11 +88,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(0.75 * p3 + 0.2 * p2[None] + 0.05 * p1[None, None])
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
     """Readings of each place with their channel costs."""
-    out, i = [], 0
+    i = 0
     while i < len(word):
-        c, j = word[i], i
+        c, first, j = word[i], i == 0, i
         while j < len(word) and word[j] == c:
             j += 1
         run, i = j - i, j
@@ -97,19 +101,22 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             options = [(c, 0.0 if run == 1 else 0.4 * (run - 1))]
             if run >= 2:
                 options.append((c + c, 0.0 if run == 2 else 0.4 * (run - 2)))
-        elif c in BETWEEN and 0 < len(out):
+        elif c in BETWEEN and not first:
             options = [("", 0.3 if c != " " else 0.2), (" ", 1.5 if c != " " else 1.0)]
         else:
             options = [(c, 9.0 * run), ("", (6.0 if c in "!|+(" or not letters else 12.0) * run)]
         options += [(x * min(run, 2), 0.7) for x in letters] + [(x, 0.9) for x in letters if run > 1]
-        out.append(options)
-    return out
+        yield options
 
 
 def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest reading (Viterbi; the state is the last two classes)."""
+    """The likeliest reading (Viterbi; the state is the last two classes).
+
+    What the readings of all states begin with is settled and put aside, so words of any length are read in linear time.
+    """
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in [*lattice(word), [(" ", 0.0)]]:
+    settled: list[str] = []
+    for place, options in enumerate(chain(lattice(word), [[(" ", 0.0)]]), 1):
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in states.items():
             for reading, cost in options:
@@ -121,7 +128,11 @@ def decode(word: str, model: np.ndarray) -> str:
                 if (x, y) not in new or s > new[(x, y)][0]:
                     new[(x, y)] = (s, text + reading)
         states = new
-    return max(states.values())[1].strip()
+        if place % 64 == 0:
+            same = commonprefix([text for _, text in states.values()])
+            settled.append(same)
+            states = {k: (score, text[len(same) :]) for k, (score, text) in states.items()}
+    return ("".join(settled) + max(states.values())[1]).strip()
 
 
 def features(word: str) -> list[str]:
@@ -129,6 +140,20 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
+def _runs(text: str) -> list[str]:
+    """Letters spaced apart, a blank between two: whole runs, and their parts where a wider gap may part words."""
+    out: dict[str, None] = {}
+    for m in _SPACED.finditer(text):
+        gaps = _GAP.findall(m[0])
+        out[_GAP.sub(" ", m[0])] = None
+        least = min(map(len, gaps))
+        if any(len(g) > least for g in gaps):
+            out.update((_GAP.sub(" ", part), None) for part in re.split(rf"\s{{{least + 1},}}", m[0]))
+        if any(g not in " \t" for g in gaps):
+            out.update((n[0].replace("\t", " "), None) for n in _NARROW.finditer(m[0]))
+    return list(out)
+
+
 class Restorer:
     """Distinct restored words of texts; each distinct word of a worker is looked at once."""
 
@@ -141,14 +166,13 @@ class Restorer:
         bare = word.strip(EDGE)
         out = [bare] if bare else []
         core = word.strip("\"'`.,:;?)[]{}<>*_-~#%&=/\\")
-        if len(core) > 2 and _NOISY.search(core) and sum(c.isalpha() or c in LEET for c in core) >= 3 and len(core) <= 60:
+        if len(core) > 2 and _NOISY.search(core) and sum(c.isalpha() or c in LEET for c in core) >= 3:
             out += [w.strip(EDGE) for w in decode(core, self.model).split()]
         return tuple(dict.fromkeys(w for w in out if w))
 
     def spaced(self, text: str) -> list[str]:
         out: list[str] = []
-        for m in _SPACED.finditer(text):
-            run = m[0].replace("\t", " ")
+        for run in _runs(text):
             if sum(c.isalpha() or c in LEET for c in run) >= 4:
                 for at in range(0, len(run), 60):  # long runs piece by piece, pieces overlap
                     part = run[max(0, at - 30) : at + 60].strip()
@@ -158,7 +182,7 @@ class Restorer:
 
     def restored(self, text: str) -> str:
         """The text with noisy words replaced by their readings."""
-        text = _SPACED.sub(lambda m: decode(m[0], self.model) if sum(c.isalpha() or c in LEET for c in m[0]) >= 4 else m[0], text.lower())
+        text = _SPACED.sub(lambda m: decode(_GAP.sub(" ", m[0]), self.model) if sum(c.isalpha() or c in LEET for c in m[0]) >= 4 else m[0], text.lower())
         return " ".join(self.reading(w)[-1] if self.reading(w) else w for w in text.split())
 
 
