@@ -3,9 +3,9 @@
 The standard library's parser streams events; they become lines, one for each block of a page, with its characters, its
 tags and its place in the tree.  The ratio of characters to tags is smoothed over neighbouring lines with a Gaussian, and
 lines above the threshold (a share of its standard deviation over the page) form the content clusters.  The clusters choose
-the region: the ``article`` or ``main`` element that holds most of their mass, or else the smallest element that does;
-the lines of that region, short ones too, are the text.  Elements that by tag, role, class or id are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments give no lines at all.
+the region: the outermost ``article`` and ``main`` elements with content if they hold half of it, or else the smallest
+container around all of it; the lines of that region, short ones too, are the text.  Elements that by tag, role, class or
+id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments give no lines at all.
 
 Lines are joined by an empty line, white space inside one is a single space, character references are decoded.
 A null or empty page, or one without text, gives an empty text; repeated rows give a row each.
@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,32 +33,84 @@ BLOCKS = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar toolbar note".split())
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promos?|banner|sidebar|side|menus?|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|commentlist|disqus|replies|reply|respond|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|widgets?|pagination|pager|skip|toolbar|masthead|topbar|site-header|page-header)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Elements that may be the region; a paragraph, heading, list item or cell is a part of one.
+CONTAINERS = frozenset("article body center details div fieldset main section".split())
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos banner sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert alerts popup modal overlay comment comments commentlist disqus replies reply respond related recommended share sharing social newsletter subscribe subscription signup login search widget widgets pagination pager skip toolbar masthead topbar site-header page-header".split()
+)
+#: Parts beside a furniture name that say where, how many or what of it: site-footer, related-posts, ad-slot-3, sidebar_left.
+BESIDE = frozenset(
+    "site page main primary secondary global blog post posts entry article articles left right top bottom upper lower first last mobile desktop fixed sticky float floating header head foot area bar box block body button buttons card column col container form frame group icon icons inner outer item items leaderboard link links list mpu panel placeholder rail row section skyscraper slot title toggle unit wrap wrapper thread c l o js".split()
 )
 SIGMA, REACH = 1.0, 3
+#: A ratio beyond this is a long paragraph, however long: one huge line doesn't hide the others from the threshold.
+LONG = 300.0
 SPACE = re.compile(r"\s+")
+PARTS = re.compile(r"[-_]+")
+
+
+def furniture(names: str) -> bool:
+    """Whether a class or an id is a furniture name as a whole: alone, or with parts that only say where or what of it."""
+    for name in names.lower().split():
+        if name in FURNITURE:
+            return True
+        parts = [x for x in PARTS.split(name) if x]
+        if any(x in FURNITURE for x in parts) and all(x in FURNITURE or x in BESIDE or x[0].isdigit() for x in parts):
+            return True
+    return False
+
+
+class Element(NamedTuple):
+    tag: str
+    silent: bool  # from here
+    number: int
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int  # since the line before
+    path: tuple[int, ...]
+    linked: int  # characters in links
 
 
 class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, silent from here, number
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.stack: list[Element] = []
+        self.found: list[Line] = []
         self.kinds: dict[int, str] = {}
+        self.named: dict[int, bool] = {}  # blocks named like furniture: whether they hold main
+        self.anchors: dict[int, tuple[int, ...]] = {}  # article elements and the blocks named like furniture around them
         self.text: list[str] = []
-        self.tags = self.numbers = 0
+        self.tags = self.numbers = self.linked = 0
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, _, n in self.stack if n)))
+            self.found.append(Line(text, self.tags, tuple(e.number for e in self.stack if e.number), self.linked))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
+
+    def lines(self) -> list[Line]:
+        """The lines outside furniture.  A block named like it is none if it is around main, or around all articles and most text."""
+        size, whole = dict.fromkeys(self.named, 0), sum(len(x.text) for x in self.found)
+        for x in self.found:
+            for n in x.path:
+                if n in size:
+                    size[n] += len(x.text)
+        around = set(self.named).intersection(*self.anchors.values()) if self.anchors else set()
+        dropped = {n for n, holds in self.named.items() if not holds and not (n in around and 2 * size[n] > whole)}
+        out, tags = [], 0
+        for x in self.found:
+            if dropped.intersection(x.path):
+                tags += x.tags
+            else:
+                out.append(x._replace(tags=x.tags + tags))
+                tags = 0
+        return out
 
     def _silent(self) -> bool:
-        return bool(self.stack) and self.stack[-1][1]
+        return bool(self.stack) and self.stack[-1].silent
 
     def _pop_to(self, i: int) -> None:
         self._flush()
@@ -86,17 +139,26 @@ class Lines(HTMLParser):
                 self.text.append(" ")
             return
         a = {k: v or "" for k, v in attrs}
-        inside = any(self.kinds.get(n) in ("article", "main") for _, _, n in self.stack)
+        inside = any(self.kinds.get(e.number) in ("article", "main") for e in self.stack)
         silent = self._silent() or tag in SILENT or (tag == "header" and not inside) or "hidden" in a or a.get("aria-hidden") == "true"
+        named = furniture(f"{a.get('class', '')} {a.get('id', '')}")
         if not silent and tag not in ("html", "body", "article", "main"):
-            silent = a.get("role", "").lower() in ROLES or bool(FURNITURE.search(a.get("class", "")) or FURNITURE.search(a.get("id", ""))) or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+            silent = a.get("role", "").lower() in ROLES or (named and tag not in BLOCKS) or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
         number = 0
         if tag in BLOCKS:
             self.numbers += 1
             number = self.numbers
             kind = "main" if a.get("role") == "main" or a.get("itemprop") == "articleBody" else tag
             self.kinds[number] = kind
-        self.stack.append((tag, silent, number))
+            if not silent and kind in ("article", "main"):
+                over = tuple(e.number for e in self.stack if e.number in self.named)
+                if kind == "main":
+                    self.named.update(dict.fromkeys(over, True))
+                elif not named:
+                    self.anchors[number] = over
+            elif named and not silent and tag not in ("html", "body"):
+                self.named[number] = False
+        self.stack.append(Element(tag, silent, number))
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -113,6 +175,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self._silent():
             self.text.append(data)
+            if any(e.tag == "a" for e in self.stack):
+                self.linked += len(data)
 
 
 def smoothed(ratio: np.ndarray) -> np.ndarray:
@@ -126,27 +190,27 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page._flush()
-    lines = page.lines
+    lines = page.lines()
     if not lines:
         return ""
-    ratio = np.array([len(t) / (1 + tags) for t, tags, _ in lines])
+    ratio = np.array([min(LONG, len(x.text) / (1 + x.tags)) for x in lines])
     smooth = smoothed(ratio)
     content = smooth >= min(smooth.max(), max(smooth.mean() - smooth.std(), 0.5 * smooth.std()))
-    mass: dict[int, float] = {}
-    for (text, _, path), c in zip(lines, content, strict=True):
-        for n in path if c else ():
-            mass[n] = mass.get(n, 0.0) + len(text)
-    whole = sum(len(t) for (t, _, _), c in zip(lines, content, strict=True) if c)
-    named = [n for n, kind in page.kinds.items() if kind in ("article", "main") and mass.get(n, 0) > 0]
-    inner = [n for n in named if mass[n] >= 0.5 * whole]
-    if inner:
-        region = {max(inner)}  # numbers grow inwards
-    elif named:
-        region = {n for n in named if page.kinds[n] == "article"} or set(named)
-    else:
-        large = [n for n, m in mass.items() if m >= 0.9 * whole]
-        region = {max(large)} if large else set()
-    return "\n\n".join(text for text, _, path in lines if not region or region.intersection(path))
+    clusters = [x for x, c in zip(lines, content, strict=True) if c]
+    # the outermost article and main elements with content, if they hold at least half of it
+    named: dict[int, int] = {}
+    for x in clusters:
+        for n in x.path:
+            if page.kinds[n] in ("article", "main"):
+                named[n] = named.get(n, 0) + len(x.text)
+                break
+    if 2 * sum(named.values()) >= sum(len(x.text) for x in clusters) and named:
+        return "\n\n".join(x.text for x in lines if not named.keys().isdisjoint(x.path))
+    # else the smallest container around all content; lines that are mostly links don't widen it
+    paths = [[n for n in x.path if page.kinds[n] in CONTAINERS] for x in clusters if 2 * x.linked <= len(x.text)]
+    around = set(paths[0]).intersection(*paths) if paths else set()
+    region = max(around, default=0)  # numbers grow inwards
+    return "\n\n".join(x.text for x in lines if not region or region in x.path)
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
