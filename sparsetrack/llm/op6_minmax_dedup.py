@@ -116,7 +116,10 @@ def _confirm(size: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """A row per document: doc_id, did, th, n_shingles, component_id, kept (and nothing else of the input)."""
+    """A row per document: doc_id, did, th, n_shingles, component_id, kept, first (and nothing else of the input).
+
+    ``first``: of the documents of a component that share the smallest doc_id, the one with the smallest ``th``.
+    """
     base = keyed(docs)
     texts = base.select("did", "th", F.col("text").cast("binary").alias("text"))
     signed = written(texts.mapInArrow(_sign(size), SIGNED_SQL), "signed")
@@ -161,6 +164,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     settle(docs.sparkSession)
     classed = signed.select("did", "th", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "node"), ["n", "f1", "f2"], "left").join(labels, "node", "left")
     smallest = F.coalesce(F.col("label.did"), F.col("node.did"), F.col("did"))
+    text = F.coalesce(F.col("label.th"), F.col("node.th"), F.col("th"))
     return classed.select(
         F.when(F.col("did") != LEAST, F.col("did")).alias("doc_id"),
         "did",
@@ -168,6 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         F.col("n").alias("n_shingles"),
         F.when(smallest != LEAST, smallest).alias("component_id"),
         (F.col("did") == smallest).alias("kept"),
+        ((F.col("did") == smallest) & (F.col("th") == text)).alias("first"),
     )
 
 
@@ -176,7 +181,13 @@ def op6_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group at a similarity of 0.8 or more; groups of one stay."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("did", "th").distinct()
+    """One row of each group at a similarity of 0.8 or more: its smallest document; groups of one stay."""
+    kept = written(near_duplicates(docs, percent=80).where("first").groupBy("did", "th").agg(F.count("*").alias("n")), "kept")
     base = keyed(docs, "lang", "source", "n_chars")
-    return base.join(kept, ["did", "th"], "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    once = base.join(kept.where("n = 1"), ["did", "th"], "left_semi").select(*columns)
+    if kept.where("n > 1").isEmpty():
+        return once
+    # rows with equal keys are one document
+    equal = base.join(kept.where("n > 1"), ["did", "th"], "left_semi").groupBy("did", "th").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return once.unionByName(equal.select(*(F.col(f"row.{c}").alias(c) for c in columns)))
