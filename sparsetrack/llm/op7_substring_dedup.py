@@ -1,8 +1,8 @@
-"""Substring deduplication by seed and extend.
+"""Substring deduplication by seeds and window grouping.
 
 A seed is a winnowed anchor: the word gram with the smallest hash in some window of ``width`` words (``windows``).
-Documents meet on equal seeds; each seed's surroundings, as far as windows holding it reach, are extended both ways:
-at once where they are wholly equal, otherwise window by window against all documents of the seed (``repeats``).
+Documents meet on equal seeds.  Nothing is extended pair by pair: a seed's surroundings, as far as windows holding it reach,
+are compared whole, and where they differ all windows of the seed are grouped by half-window radix digits (``repeats``).
 The union of the windows found, merged into maximal stretches, is what the maximal repeats of at least ``width`` words
 cover.  A word is removed if a window over it also starts in a document with a smaller doc_id.
 
