@@ -69,9 +69,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def unsupported(o) -> str | None:
+    """An option that the command has no way to follow: it is refused rather than ignored."""
+    c = o.command
+    if o.against:
+        return "-against"
+    if o.tabs:
+        return "-tabs"
+    if o.cluster is not None and (c != "matrix" or o.long_form or o.window.count(":") != 1):
+        return "-cluster (only matrix has it, in wide form, without a meta part)"
+    if o.regions and (c in ("find", "remove", "distribution", "split", "lift", "paste") or (c == "sax" and o.bed4)):
+        return "-regions"
+    return None
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    o = parser().parse_args(argv)
+    p = parser()
+    o = p.parse_args(argv)
     o.command = ALIASES.get(o.command, o.command)
+    if refused := unsupported(o):
+        p.error(f"{o.command} doesn't support {refused}")
     spark = spark or SparkSession.builder.appName("sparsetrack").getOrCreate()
     anchor = "starts" if o.starts else "ends" if o.ends else "centre"
     signal = sizes = sections = None

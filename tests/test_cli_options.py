@@ -1,0 +1,27 @@
+"""Options that a command can't follow are refused, not ignored."""
+
+import pytest
+
+from sparsetrack import cli
+
+REFUSED = [
+    "find local-extrema a.wig out -against b.wig",
+    "distribution a.wig out -tabs",
+    "aggregate 5:5 r.bed a.wig out -cluster 2",
+    "matrix 5:5 r.bed a.wig out -cluster 2 -long-form",
+    "matrix 5:5:5 r.bed a.wig out -cluster 2",
+    *(f"{x} -regions r.bed" for x in ("find > 3 a.wig out", "remove > 3 a.wig out", "dist a.wig out", "split 10 a.wig out", "lift a.wig c.chain out", "paste a.wig b.wig", "sax 4 a.wig out -bed4")),
+]
+
+
+@pytest.mark.parametrize("line", REFUSED)
+def test_refused(line, capsys):
+    with pytest.raises(SystemExit):
+        cli.main(line.split(), spark=object())
+    assert "doesn't support" in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("line", ["matrix 5:5 r.bed a.wig out -cluster 2", "fill 1 a.wig out -regions r.bed", "sax 4 a.wig out -regions r.bed", "aggregate 5:5 r.bed a.wig out", "extract bed r.bed a.wig out"])
+def test_supported(line):
+    o = cli.parser().parse_args(line.split())
+    assert cli.unsupported(o) is None
