@@ -1,7 +1,10 @@
 """Stages of the pipeline against plain Python."""
 
+from sparsetrack.llm import op1_toxicity, op3_suffix_dedup, op8_decontaminate
 from sparsetrack.llm import op6_minmax_dedup as near
 
+from test_models import teaching
+
 ROW = "doc_id long, text string, lang string, source string, n_chars int"
 TEXT = " ".join(f"word{i}" for i in range(60))
 
@@ -35,3 +38,25 @@ def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
 
 def test_near_duplicate_stage_without_rows(spark):
     assert near.stage(spark, spark.createDataFrame([], ROW), "").count() == 0
+
+
+def test_toxicity_stage_rejects_toxic_rows_only(spark, tmp_path):
+    docs, labels = teaching(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r.doc_id, r.text, "en", None, len(r.text)) for r in docs.collect()] + [(None, None, None, "s", None), (900, "", "en", "s", 0), (901, "past idle mills", "en", "s", 15), (901, "past idle mills", "en", "s", 15)]
+    got = op1_toxicity.stage(spark, spark.createDataFrame(rows, ROW), str(tmp_path)).collect()
+    want = [r for r in rows if not {"idiot", "loser", "stupid"} & set((r[1] or "").split())]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_cutting_stages_carry_rows(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "one short text", "en", None, 14), (None, None, None, "s", None), (3, f"before {item} after", "fr", "t", 0)]
+    df = spark.createDataFrame(rows, ROW)
+    for stage, third in ((op3_suffix_dedup.stage, rows[2][1]), (op8_decontaminate.stage, None)):
+        got = {r.doc_id: r for r in stage(spark, df, str(tmp_path)).collect()}
+        assert len(got) == 3 and tuple(got[1])[1:4] == rows[0][1:4] and (got[None].text or "") == "" and got[None].source == "s"
+        assert all(r.n_chars == len(r.text or "") for r in got.values()) and (got[3].lang, got[3].source) == ("fr", "t")
+        assert got[3].text == third if third else "item5" not in got[3].text and "before" in got[3].text
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
