@@ -5,10 +5,12 @@ any of these becomes a lattice of readings; Viterbi decoding under a character t
 corpus, picks one.  Other words stay as they are.
 
 Score: from a bounded sample of labelled rows (at most ``SAMPLE`` of either label, those with the smallest hashes of
-their ids) features are chosen that tell the labels apart: whole words and word beginnings.  They are chosen greedily, each for the toxic rows that
-those before it explain little, and near copies count once, so a text with many copies adds no accidental words.  A logistic function of the features found
-gives the score; a document's length doesn't dilute it.  Rows held out (crc32 of doc_id as text, modulo 5, is 0) and rows
-without a label teach nothing.  Labels, lang, source and doc_id are no inputs of a score.
+their ids) features of the restored words are chosen that tell the labels apart: whole words and word beginnings, either as
+met at all or as met often, at one of the shares ``DENSE`` of a document's distinct words.  At most ``CANDIDATES`` features,
+those of the most toxic rows, are looked at, and at most ``CHOSEN`` are chosen: greedily, each for the toxic rows that those
+before it explain little; near copies count once, so a text with many copies adds no accidental words.  A logistic function
+of the features found gives the score.  Rows held out (crc32 of doc_id as text, modulo 5, is 0) and rows without a label
+teach nothing.  Labels, lang, source and doc_id are no inputs of a score.
 
 Null texts are empty; an empty text scores the base rate of texts without features.  A null doc_id is held out by the
 crc32 of an empty text (0).  Rows of one doc_id are scored each by itself.  Without labels of both kinds the score is 0.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from os.path import commonprefix
 
@@ -31,7 +33,11 @@ from .shared import settle, written
 from .windows import U, mix, word_hashes
 
 
-SAMPLE, CHOSEN, SUPPORT = 4_000, 400, 3
+SAMPLE, CANDIDATES, CHOSEN, SUPPORT, AGAINST = 4_000, 20_000, 400, 3, 3
+#: Shares of a document's distinct words from which on a feature counts as frequent (two words at least).
+DENSE = (0.005, 0.01, 0.015, 0.02, 0.03, 0.04)
+#: Words a worker remembers to hold nothing of interest (bounds its memory, not the result).
+REMEMBERED = 250_000
 # Signs read as letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 BETWEEN = frozenset(".-_*~'`,:;/\\ ")
@@ -136,8 +142,17 @@ def decode(word: str, model: np.ndarray) -> str:
 
 
 def features(word: str) -> list[str]:
-    """A word and its beginnings of four to six letters."""
-    return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
+    """A word and its beginnings of three to eight letters."""
+    return [f"{word}$", *(word[:n] for n in range(3, min(8, len(word)) + 1))]
+
+
+def graded(counts: dict[str, int], words: int) -> set[str]:
+    """Features met, and marked by a share those met often, from the number of distinct words each was met in."""
+    out = set(counts)
+    for f, n in counts.items():
+        if n >= 2:
+            out.update(f"{f}\t{share}" for share in DENSE if n >= share * words)
+    return out
 
 
 def _runs(text: str) -> list[str]:
@@ -155,11 +170,10 @@ def _runs(text: str) -> list[str]:
 
 
 class Restorer:
-    """Distinct restored words of texts; each distinct word of a worker is looked at once."""
+    """Restored words of texts."""
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.readings: dict[str, tuple[str, ...]] = {}
 
     def reading(self, word: str) -> tuple[str, ...]:
         """The restored words of one spelt word."""
@@ -171,19 +185,13 @@ class Restorer:
         return tuple(dict.fromkeys(w for w in out if w))
 
     def spaced(self, text: str) -> list[str]:
+        """Words of letters spaced apart: a run's reading, and all of it as one word."""
         out: list[str] = []
         for run in _runs(text):
             if sum(c.isalpha() or c in LEET for c in run) >= 4:
-                for at in range(0, len(run), 60):  # long runs piece by piece, pieces overlap
-                    part = run[max(0, at - 30) : at + 60].strip()
-                    out += [w.strip(EDGE) for w in decode(part, self.model).split()]
-                    out.append(part.replace(" ", ""))
-        return out
-
-    def restored(self, text: str) -> str:
-        """The text with noisy words replaced by their readings."""
-        text = _SPACED.sub(lambda m: decode(_GAP.sub(" ", m[0]), self.model) if sum(c.isalpha() or c in LEET for c in m[0]) >= 4 else m[0], text.lower())
-        return " ".join(self.reading(w)[-1] if self.reading(w) else w for w in text.split())
+                out += [w.strip(EDGE) for w in decode(run, self.model).split()]
+                out.append(run.replace(" ", ""))
+        return [w for w in out if w]
 
 
 def _candidates(model):
@@ -203,9 +211,14 @@ def _candidates(model):
 
 def _all_features(r: Restorer, text: str) -> set[str]:
     text = text.lower()
-    words = {w for x in set(text.split()) for w in r.reading(x)}
+    spelt = set(text.split())
+    words = {w for x in spelt for w in r.reading(x)}
     words.update(r.spaced(text))
-    return {f for w in words if w for f in features(w)}
+    counts: dict[str, int] = {}
+    for w in words:
+        for f in features(w):
+            counts[f] = counts.get(f, 0) + 1
+    return graded(counts, len(spelt))
 
 
 def _group(text: str) -> int:
@@ -243,7 +256,7 @@ def choose(rows: list[tuple[int, int, list[int]]], n: int) -> list[int]:
     feature = np.array([f for _, _, found in rows for f in found], np.int64)
     if not len(feature):
         return []
-    against = 8.0 * np.bincount(feature, weights=np.array([not t for t, _, _ in rows], float)[row])
+    against = AGAINST * np.bincount(feature, weights=np.array([not t for t, _, _ in rows], float)[row])
     chosen: list[int] = []
     while len(chosen) < n:
         gain = np.bincount(feature, weights=weight[row], minlength=len(against)) - against
@@ -257,12 +270,21 @@ def choose(rows: list[tuple[int, int, list[int]]], n: int) -> list[int]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 25) -> np.ndarray:
-    """Weights (the bias last) by Newton steps with a ridge on all but the bias."""
-    x = np.c_[x, np.ones(len(x))]
-    w, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+    """Weights (the bias last) by Newton steps with a ridge on all but the bias.
+
+    Each row also teaches by each of its features alone (a toxic row by shares of one, a clean row by each in full), so a
+    feature that mostly comes with others has a weight of its own.
+    """
+    n = x.shape[1]
+    share = np.where(y > 0, 1 / np.maximum(x.sum(axis=1), 1), 1.0)[:, None] * x
+    alone = np.eye(n)
+    weight = np.concatenate((np.ones(len(y)), share[y > 0].sum(axis=0), share[y == 0].sum(axis=0)))
+    x = np.c_[np.concatenate((x, alone, alone)), np.ones(len(weight))]
+    y = np.concatenate((y, np.ones(n), np.zeros(n)))
+    w, penalty = np.zeros(n + 1), np.append(np.full(n, ridge), 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        w -= np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * w)
     return w
 
 
@@ -270,32 +292,32 @@ def _score(model, chosen, carry: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Restorer(model.value)
         weights, bias = chosen.value
+        wanted = {f.partition("\t")[0] for f in weights}
         clean: set[str] = set()
-        hot: dict[str, frozenset[str]] = {}
-
-        def hits(word: str) -> Iterable[str]:
-            return (f for f in features(word) if f in weights)
+        hot: dict[str, tuple[str, ...]] = {}  # restored words that hold a wanted feature, by spelling
 
         for b in it:
             scores = []
-            for text in b.column("text").to_pylist():
-                text = (text or "").lower()
-                words = set(text.split())
-                new = words.difference(clean).difference(hot)
-                if len(clean) > 1_500_000:
+            for text in b.column("text"):
+                text = (text.as_py() or "").lower()
+                spelt = set(text.split())
+                if len(clean) > REMEMBERED:
                     clean.clear()
-                for w in new:
-                    found = frozenset(f for x in r.reading(w) for f in hits(x))
+                for w in spelt.difference(clean).difference(hot):
+                    found = tuple(x for x in r.reading(w) if not wanted.isdisjoint(features(x)))
                     if found:
                         hot[w] = found
                     else:
                         clean.add(w)
-                if len(hot) > 200_000:
-                    hot = {w: hot[w] for w in words if w in hot}
-                present = set().union(*(hot[w] for w in words.intersection(hot)))
-                for w in r.spaced(text):
-                    present.update(hits(w))
-                z = bias + sum(weights[f] for f in sorted(present))
+                if len(hot) > REMEMBERED:
+                    hot = {w: hot[w] for w in spelt if w in hot}
+                words = {x for w in spelt.intersection(hot) for x in hot[w]}
+                words.update(r.spaced(text))
+                counts: dict[str, int] = {}
+                for w in words:
+                    for f in wanted.intersection(features(w)):
+                        counts[f] = counts.get(f, 0) + 1
+                z = bias + sum(weights[f] for f in sorted(graded(counts, len(spelt))) if f in weights)
                 scores.append(0.0 if not weights else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), *(b.column(c) for c in carry)], names=["doc_id", "score", *carry])
 
@@ -316,7 +338,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tu
     rows = written(text.join(F.broadcast(few), "doc_id").select("text", "toxic"), "taught")
     model = spark.sparkContext.broadcast(character_model(teaching))
     counts = rows.repartition(12).mapInArrow(_candidates(model), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counts.where(f"toxic >= {SUPPORT} and toxic > 8 * clean").orderBy(F.col("toxic").desc(), "clean", "f").limit(20_000).select("f").collect()
+    best = counts.where(f"toxic >= {SUPPORT} and toxic > {AGAINST} * clean").orderBy(F.col("toxic").desc(), "clean", "f").limit(CANDIDATES).select("f").collect()
     wanted = spark.sparkContext.broadcast([r["f"] for r in best])
     seen = [(r["toxic"], r["grp"], r["found"]) for r in rows.mapInArrow(_present(model, wanted), "toxic int, grp long, found array<int>").collect()]
     chosen = choose(seen, CHOSEN)

@@ -2,9 +2,10 @@
 
 Every byte that lies in a ``width``-byte string which also starts earlier in the corpus (a smaller doc_id, or the same
 document at an earlier place; overlaps count) is removed.  Suffixes are ordered only through their first ``width`` bytes,
-by most-significant-digit passes (``repeats``): the groups that are equal after the last digit are exactly the repeated
-strings.  The digits are content hashes, the first one shared by neighbouring suffixes (their anchor), so a pass moves
-one row for a run of suffixes, not one for each.
+by most-significant-digit passes: the groups that are equal after the last digit are exactly the repeated strings.  The
+passes over all the corpus (``repeats``) have content digits: a suffix's anchor, which neighbouring suffixes share, and its
+surroundings, so they move one row for a run of suffixes, not one for each.  Within an anchor the digits are the suffix's
+own bytes, eight at a time, and a group is sorted on only while it has two suffixes or more.
 
 Nulls: a null text is empty, a null doc_id comes before all others.  Rows that share a doc_id count as different
 documents if their texts differ (in the order of their hashes), else as one.  Texts below ``width`` bytes stay whole.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import CROWD, repeated
+from .repeats import CROWD, MARKS, by_anchor, leaders, repeated
 from .shared import keyed, merged, record
 
 WIDTH, ANCHOR = 100, 16
@@ -60,11 +61,64 @@ def _cut(width: int, carry: tuple[str, ...], clean: bool):
     return run
 
 
+def radix_groups(group: np.ndarray, digits: list) -> tuple[np.ndarray, np.ndarray]:
+    """Most-significant-digit passes: ``digits`` are functions from row numbers to digit values.
+
+    Returns the rows that are still with others after the last digit, in order, and their groups, numbered in that order.
+    """
+    rows = np.arange(len(group))
+    for digit in [None, *digits]:
+        value = np.zeros(len(rows), np.uint8) if digit is None else digit(rows)
+        by = np.lexsort((value, group))
+        rows, group, value = rows[by], group[by], value[by]
+        new = np.ones(len(rows), bool)
+        new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+        count = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        keep = np.repeat(count > 1, count)
+        rows, group = rows[keep], (np.cumsum(new) - 1)[keep]
+        if not len(rows):
+            break
+    return rows, group
+
+
+def _order_suffixes(width: int):
+    """All suffixes of an anchor's runs, ordered through ``width`` bytes; those equal to an earlier one are marked."""
+
+    def work(rows: list[dict]) -> pa.RecordBatch:
+        length = np.array([len(r["tokens"]) for r in rows], np.int64)
+        flat = np.frombuffer(b"".join(r["tokens"] for r in rows) + bytes(8), np.uint8).astype(np.uint64)
+        eight = np.zeros(len(flat) - 7, np.uint64)  # the digit at each place: eight bytes, the first the highest
+        for j in range(8):
+            eight = eight << np.uint64(8) | flat[j : j + len(eight)]
+        n = length - width + 1
+        run = np.repeat(np.arange(len(rows)), n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(np.cumsum(length) - length, n) + start
+        anchor = np.unique(np.array([r["akey"] for r in rows], np.int64), return_inverse=True)[1]
+        places = [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]  # the last digit may overlap
+        which, group = radix_groups(anchor[run], [lambda i, at=at: eight[place[i] + at] for at in places])
+        rank = leaders(rows, by_document=False)[run] * (width + int(n.max())) + start
+        mine = rank[which]
+        hit = which
+        if len(which):
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            hit = np.sort(which[mine > np.minimum.reduceat(mine, first)[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(group))))]])
+        fresh = np.ones(len(hit), bool)
+        fresh[1:] = (hit[1:] != hit[:-1] + 1) | (run[hit[1:]] != run[hit[:-1]])
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
+        of = run[hit[first]]
+        did, th, lo = (np.array([r[c] for r in rows], np.int64)[of] for c in ("did", "th", "lo"))
+        return record(MARKS, (did, th, (lo + start[hit[first]]) << 32 | (lo + start[hit[last]])))
+
+    return by_anchor(work)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, crowd: int = CROWD, carry: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, spans ([start, end, ...] in bytes), kept (the remaining
     bytes), clean_text (only if asked for: the text without any character that lost a byte) and the columns ``carry``."""
     base = keyed(docs, *carry)
-    spans = repeated(base, "bytes", width, anchor, by_document=False, crowd=crowd)
+    spans = repeated(base, "bytes", width, anchor, by_document=False, order=_order_suffixes(width), crowd=crowd)
     texts = base.select("did", "th", "doc_id", F.col("text").cast("binary").alias("text"), *carry)
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     return texts.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans", *carry).mapInArrow(_cut(width, carry, clean), OUT_SQL + kinds)

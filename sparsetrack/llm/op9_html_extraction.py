@@ -1,11 +1,16 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
-The standard library's parser streams events; they become lines, one for each block of a page, with its characters, its
-tags and its place in the tree.  The ratio of characters to tags is smoothed over neighbouring lines with a Gaussian, and
-lines above the threshold (a share of its standard deviation over the page) form the content clusters.  The clusters choose
-the region: the outermost ``article`` and ``main`` elements with content if they hold half of it, or else the smallest
-container around all of it; the lines of that region, short ones too, are the text.  Elements that by tag, role, class or
-id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments give no lines at all.
+The standard library's parser streams events; they become lines, one for each block of a page, with its characters (those
+in links don't count), its tags and its place in the tree.  The ratio of characters to tags is smoothed over neighbouring
+lines (as a logarithm) with a Gaussian.  Names only weigh: lines in elements that by tag, role, class or id look like menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments have a small weight.  Lines whose weighted ratio is above the
+threshold (a share of its standard deviation over the page) form the content clusters, and the clusters choose the region:
+the outermost ``article`` and ``main`` elements with content if they hold half of it, or else the smallest container around
+nearly all of it.  The lines of that region, short ones too, are the text, but for parts of it that names weigh down and the
+ratio doesn't lift over the threshold.  A name on an element around the region silences nothing.  Where the region is the
+whole page, lines outside the clusters are left out if they are mostly links, or if they come before the first or after the
+last cluster and aren't siblings of its lines.
+Scripts, styles and what isn't shown give no lines at all.
 
 Lines are joined by an empty line, white space inside one is a single space, character references are decoded.
 A null or empty page, or one without text, gives an empty text; repeated rows give a row each.
@@ -27,7 +32,8 @@ from .shared import record
 
 # Element names and naming habits of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title nav footer aside form button select option textarea label dialog menu map".split())
+SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title button select option textarea label map".split())
+LIGHT = frozenset("nav footer aside form dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -42,9 +48,9 @@ FURNITURE = frozenset(
 BESIDE = frozenset(
     "site page main primary secondary global blog post posts entry article articles left right top bottom upper lower first last mobile desktop fixed sticky float floating header head foot area bar box block body button buttons card column col container form frame group icon icons inner outer item items leaderboard link links list mpu panel placeholder rail row section skyscraper slot title toggle unit wrap wrapper thread c l o js".split()
 )
-SIGMA, REACH = 1.0, 3
-#: A ratio beyond this is a long paragraph, however long: one huge line doesn't hide the others from the threshold.
-LONG = 300.0
+SIGMA, REACH, WEIGHT, AROUND = 1.0, 3, 0.02, 0.9
+#: Characters beyond which a line counts as a long paragraph, however long.
+LONG = 300
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[-_]+")
 
@@ -79,35 +85,29 @@ class Lines(HTMLParser):
         self.stack: list[Element] = []
         self.found: list[Line] = []
         self.kinds: dict[int, str] = {}
+        self.light: set[int] = set()  # blocks that are furniture by tag or role
         self.named: dict[int, bool] = {}  # blocks named like furniture: whether they hold main
         self.anchors: dict[int, tuple[int, ...]] = {}  # article elements and the blocks named like furniture around them
         self.text: list[str] = []
         self.tags = self.numbers = self.linked = 0
 
     def _flush(self) -> None:
+        """End a line."""
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             self.found.append(Line(text, self.tags, tuple(e.number for e in self.stack if e.number), self.linked))
             self.tags = 0
         self.text, self.linked = [], 0
 
-    def lines(self) -> list[Line]:
-        """The lines outside furniture.  A block named like it is none if it is around main, or around all articles and most text."""
+    def marked(self) -> set[int]:
+        """Blocks that weigh little.  One named like furniture doesn't if it is around main, or around all articles and most text."""
         size, whole = dict.fromkeys(self.named, 0), sum(len(x.text) for x in self.found)
         for x in self.found:
             for n in x.path:
                 if n in size:
                     size[n] += len(x.text)
         around = set(self.named).intersection(*self.anchors.values()) if self.anchors else set()
-        dropped = {n for n, holds in self.named.items() if not holds and not (n in around and 2 * size[n] > whole)}
-        out, tags = [], 0
-        for x in self.found:
-            if dropped.intersection(x.path):
-                tags += x.tags
-            else:
-                out.append(x._replace(tags=x.tags + tags))
-                tags = 0
-        return out
+        return self.light | {n for n, holds in self.named.items() if not holds and not (n in around and 2 * size[n] > whole)}
 
     def _silent(self) -> bool:
         return bool(self.stack) and self.stack[-1].silent
@@ -140,21 +140,25 @@ class Lines(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs}
         inside = any(self.kinds.get(e.number) in ("article", "main") for e in self.stack)
-        silent = self._silent() or tag in SILENT or (tag == "header" and not inside) or "hidden" in a or a.get("aria-hidden") == "true"
+        silent = self._silent() or tag in SILENT or "hidden" in a or a.get("aria-hidden") == "true"
         named = furniture(f"{a.get('class', '')} {a.get('id', '')}")
+        light = tag in LIGHT or (tag == "header" and not inside) or (a.get("role", "").lower() in ROLES and tag not in ("html", "body", "article", "main"))
         if not silent and tag not in ("html", "body", "article", "main"):
-            silent = a.get("role", "").lower() in ROLES or (named and tag not in BLOCKS) or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
+            # inside a line there is no ratio to weigh
+            silent = (tag not in BLOCKS and (named or light)) or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")))
         number = 0
         if tag in BLOCKS:
             self.numbers += 1
             number = self.numbers
             kind = "main" if a.get("role") == "main" or a.get("itemprop") == "articleBody" else tag
             self.kinds[number] = kind
+            if light:
+                self.light.add(number)
             if not silent and kind in ("article", "main"):
                 over = tuple(e.number for e in self.stack if e.number in self.named)
                 if kind == "main":
                     self.named.update(dict.fromkeys(over, True))
-                elif not named:
+                elif not named and self.light.isdisjoint(e.number for e in self.stack):
                     self.anchors[number] = over
             elif named and not silent and tag not in ("html", "body"):
                 self.named[number] = False
@@ -190,27 +194,47 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     page._flush()
-    lines = page.lines()
+    lines, marked = page.found, page.marked()
     if not lines:
         return ""
-    ratio = np.array([min(LONG, len(x.text) / (1 + x.tags)) for x in lines])
-    smooth = smoothed(ratio)
-    content = smooth >= min(smooth.max(), max(smooth.mean() - smooth.std(), 0.5 * smooth.std()))
-    clusters = [x for x, c in zip(lines, content, strict=True) if c]
-    # the outermost article and main elements with content, if they hold at least half of it
+    ratio = np.log1p([max(0, len(x.text) - x.linked) / (1 + x.tags) for x in lines])  # one huge line doesn't hide the others
+    weighted = smoothed(ratio) * np.array([1.0 if marked.isdisjoint(x.path) else WEIGHT for x in lines])
+    threshold = min(weighted.max(), max(weighted.mean() - weighted.std(), 0.5 * weighted.std()))
+    content = weighted >= threshold
+    regions = _regions(page, [x for x, c in zip(lines, content, strict=True) if c])
+    # parts of the region that names weigh down and the ratio doesn't lift
+    sums: dict[int, list[float]] = {}
+    for x, v in zip(lines, weighted, strict=True):
+        for n in marked.intersection(x.path):
+            sums.setdefault(n, []).append(float(v))
+    outside = {e for n in regions for x in lines if n in x.path for e in x.path[: x.path.index(n) + 1]}
+    dropped = {n for n, v in sums.items() if n not in outside and sum(v) < threshold * len(v)}
+    kept = [i for i, x in enumerate(lines) if (not regions or not regions.isdisjoint(x.path)) and dropped.isdisjoint(x.path)]
+    if all(page.kinds[n] == "body" for n in regions):
+        inner = np.flatnonzero(content)
+        beside = {lines[i].path[:-1] for i in (inner[0], inner[-1])}
+        kept = [i for i in kept if content[i] or (2 * lines[i].linked <= len(lines[i].text) and (inner[0] < i < inner[-1] or lines[i].path[:-1] in beside))]
+    return "\n\n".join(lines[i].text for i in kept)
+
+
+def _regions(page: Lines, clusters: list[Line]) -> set[int]:
+    """Elements whose lines are the main text, by the content found in them; none stands for the whole page."""
     named: dict[int, int] = {}
-    for x in clusters:
+    size = [min(LONG, len(x.text)) for x in clusters]
+    whole = sum(size)
+    for x, mass in zip(clusters, size, strict=True):
         for n in x.path:
             if page.kinds[n] in ("article", "main"):
-                named[n] = named.get(n, 0) + len(x.text)
+                named[n] = named.get(n, 0) + mass
                 break
-    if 2 * sum(named.values()) >= sum(len(x.text) for x in clusters) and named:
-        return "\n\n".join(x.text for x in lines if not named.keys().isdisjoint(x.path))
-    # else the smallest container around all content; lines that are mostly links don't widen it
-    paths = [[n for n in x.path if page.kinds[n] in CONTAINERS] for x in clusters if 2 * x.linked <= len(x.text)]
-    around = set(paths[0]).intersection(*paths) if paths else set()
-    region = max(around, default=0)  # numbers grow inwards
-    return "\n\n".join(x.text for x in lines if not region or region in x.path)
+    if named and 2 * sum(named.values()) >= whole:
+        return set(named)
+    held: dict[int, int] = {}
+    for x, mass in zip(clusters, size, strict=True):
+        for n in x.path:
+            if page.kinds[n] in CONTAINERS:
+                held[n] = held.get(n, 0) + mass
+    return {max(around)} if (around := [n for n, mass in held.items() if mass >= AROUND * whole]) else set()  # numbers grow inwards
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

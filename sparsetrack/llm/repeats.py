@@ -1,16 +1,17 @@
-"""Finding every repeated window of a corpus, exactly, without grouping all copies of a text in one task.
+"""Candidates for repeated windows of a corpus, exactly, without grouping all copies of a text in one task.
 
-Three most-significant-digit passes, each on less data; what stands alone in a pass is not looked at again:
+Each pass is on less data; what stands alone in a pass is not looked at again:
 
-1. Digit one is the window's anchor, digit two its run's whole context (see ``windows``).  A mapper already settles what
-   repeats within its own task and sends one row for it (a combiner: hot texts shrink to a row per task).  After one
-   shuffle by anchor, a sorted stream settles equal contexts; anchors with two or more contexts go on, one row each.
-2. Those rows fetch their run's tokens from the documents, are dealt by anchor, and their windows are ordered digit by
-   digit (half a window each), keeping only groups of two or more: what is equal after the last digit is repeated.
-   Anchors with more than ``crowd`` contexts are dealt by the windows' own hashes instead, so no task gets them whole.
+1. Windows are known by their anchor and their run's whole context (see ``windows``).  A mapper already settles what repeats
+   within its own task and sends one row for it (a combiner: hot texts shrink to a row per task).  After one shuffle into
+   ranges of (anchor, context), which split a hot anchor between tasks, a sorted stream settles equal contexts; anchors with
+   two or more contexts go on, one row each, and so do anchors at the edge of a range, whose rest a neighbour may have.
+2. Those rows fetch their run's tokens from the documents and are dealt by anchor; how an anchor's runs are compared is the
+   operator's own method (``order``).  Anchors with more than ``crowd`` contexts are dealt by the windows' own hashes
+   instead, so no task gets them whole.
 3. Marks are merged per document.
 
-Hashes have 64 bits a digit and a window must agree in at least two independent digits (128 bits).
+Equal contexts, and windows dealt singly, agree in two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,24 +29,25 @@ from .windows import BASE, BASE2, BASE2_INV, BASE_INV, U, batches, byte_values,
 #: Contexts remembered by a task for combining (bounds its memory, not the result).
 REMEMBERED = 400_000
 #: Contexts of one anchor beyond which its windows are dealt out singly.
-CROWD = 50_000
+CROWD = 1_000
 RUN, MARK, OPEN = 0, 1, 2
-FOUND = pa.schema([("kind", pa.int8()), ("akey", pa.int64()), ("ckey", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-FOUND_SQL = "kind tinyint, akey long, ckey long, did long, th long, lo int, hi int"
-SLICE = pa.schema([("akey", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("tokens", pa.binary())])
-SLICE_SQL = "akey long, did long, th long, lo int, tokens binary"
+FOUND = pa.schema([("kind", pa.int8()), ("akey", pa.int64()), ("ckey", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("reach", pa.int32())])
+#: ``reach``: the number of further window starts of the run, and behind it in sixteen bits the anchor's place after lo.
+FOUND_SQL = "kind tinyint, akey long, ckey long, did long, th long, lo int, reach int"
+SLICE = pa.schema([("akey", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("at", pa.int32()), ("tokens", pa.binary())])
+SLICE_SQL = "akey long, did long, th long, lo int, at int, tokens binary"
 MARKS = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("span", pa.int64())])
 MARKS_SQL = "did long, th long, span long"
 WINDOW = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32())])
 WINDOW_SQL = "w1 long, w2 long, did long, th long, lo int"
 
 
-def _values(unit: str):
+def values_of(unit: str):
     return byte_values if unit == "bytes" else word_hashes
 
 
 def _scan(unit: str, width: int, k: int, by_document: bool):
-    values = _values(unit)
+    values = values_of(unit)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -70,18 +72,18 @@ def _scan(unit: str, width: int, k: int, by_document: bool):
             anchor = np.where(kind == MARK, mix(np.arange(len(kind), dtype=U) + context.view(U)).view(np.int64), anchor)
             did = np.array([x[0] for x in keys], np.int64)[r.doc]
             th = np.array([x[1] for x in keys], np.int64)[r.doc]
-            yield record(FOUND, (kind, anchor, np.where(kind == MARK, 0, context), did, th, lo.astype(np.int32), r.hi.astype(np.int32)))
+            yield record(FOUND, (kind, anchor, np.where(kind == MARK, 0, context), did, th, lo.astype(np.int32), ((r.hi - lo) << 16 | (r.at - lo)).astype(np.int32)))
 
     return run
 
 
 def _settle_contexts(by_document: bool):
-    """Rows come sorted by (akey, ckey, did, th, lo)."""
+    """Rows come sorted by (akey, ckey, did, th, lo); other tasks may have more of the first and of the last anchor."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = FOUND.names[1:]
         held = None  # the present context's rows from its leader's document, and whether their anchor has led another context
-        held_open = False
+        held_open, edge = False, None
         for b in it:
             kind = ints(b, "kind")
             cols = {n: ints(b, n) for n in names}
@@ -104,7 +106,8 @@ def _settle_contexts(by_document: bool):
             if repeat.any():
                 yield record(FOUND, (np.full(repeat.sum(), MARK, np.int8), *(cols[x][repeat] for x in names)))
             same = a[first][1:] == a[first][:-1]
-            opened = np.zeros(len(first), bool)
+            edge = a[0] if edge is None else edge
+            opened = a[first] == edge
             opened[1:] |= same
             opened[:-1] |= same
             if held is not None:
@@ -115,7 +118,7 @@ def _settle_contexts(by_document: bool):
             out = ~repeat & opened[context] & (context < len(first) - 1)
             if out.any():
                 yield record(FOUND, (np.full(out.sum(), OPEN, np.int8), *(cols[x][out] for x in names)))
-        if held is not None and held_open:
+        if held is not None:
             yield record(FOUND, (np.full(len(held["akey"]), OPEN, np.int8), *(held[x] for x in names)))
 
     return run
@@ -130,8 +133,8 @@ def _slices(unit: str, width: int):
                 if unit == "words":
                     start, end = word_spans(np.frombuffer(raw, np.uint8))
                 for r in runs:
-                    lo, last = r["lo"], r["hi"] + width
-                    out.append((r["akey"], did, th, lo, raw[lo:last] if unit == "bytes" else raw[start[lo] : end[last - 1]]))
+                    lo, last = r["lo"], r["lo"] + (r["reach"] >> 16) + width
+                    out.append((r["akey"], did, th, lo, r["reach"] & 0xFFFF, raw[lo:last] if unit == "bytes" else raw[start[lo] : end[last - 1]]))
                 if len(out) > 20_000:
                     yield record(SLICE, zip(*out, strict=True))
                     out = []
@@ -141,31 +144,11 @@ def _slices(unit: str, width: int):
     return run
 
 
-def radix_groups(group: np.ndarray, digits: list) -> tuple[np.ndarray, np.ndarray]:
-    """Most-significant-digit passes: ``digits`` are functions from row numbers to digit values.
-
-    Returns the rows that are still with others after the last digit, and their groups.
-    """
-    rows = np.arange(len(group))
-    for digit in [None, *digits]:
-        key = group if digit is None else group * U(BASE) + mix(digit(rows))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        count = np.diff(np.append(np.flatnonzero(new), len(key)))
-        keep = np.repeat(count > 1, count)
-        rows, group = rows[order][keep], key[keep]
-        if not len(rows):
-            break
-    return rows, group
-
-
-class _Expanded:
+class Expanded:
     """All windows of some runs: of each its run and start; hashes of any slice of it."""
 
     def __init__(self, rows: list[dict], unit: str, width: int):
-        values = [_values(unit)(r["tokens"]) for r in rows]
+        values = [values_of(unit)(r["tokens"]) for r in rows]
         length = np.array([len(v) for v in values], np.int64)
         bounds = np.concatenate(([0], np.cumsum(length)))
         flat = np.concatenate(values)
@@ -182,47 +165,33 @@ class _Expanded:
         return span(self.sums2, self.place + a, self.place + b, BASE2_INV)
 
 
-def _order_windows(unit: str, width: int, by_document: bool):
-    """Rows come with an anchor's runs together; groups are worked on many at a time."""
-
-    def work(rows: list[dict]) -> pa.RecordBatch:
-        x = _Expanded(rows, unit, width)
-        half = (width + 1) // 2
-        anchor = np.array([r["akey"] for r in rows], np.int64).view(U)[x.run]
-        which, group = radix_groups(anchor, [lambda i: x.slice(i, 0, half), lambda i: x.slice(i, half, width)])
-        did, th, lo = (np.array([r[n] for r in rows], np.int64) for n in ("did", "th", "lo"))
-        by = np.lexsort((lo, th, did))
-        rank = np.empty(len(rows), np.int64)
-        rank[by] = np.arange(len(rows))
-        if by_document:  # runs of one document are alike
-            d, t = did[by], th[by]
-            rank[by] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
-        else:  # so are repeated equal rows
-            d, t, s = did[by], th[by], lo[by]
-            rank[by] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1]))))
-        mine = rank[x.run[which]]
-        new = np.ones(len(group), bool)
-        new[1:] = group[1:] != group[:-1]
-        least = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1] if len(group) else mine
-        hit = np.sort(which[mine > least])
-        fresh = np.ones(len(hit), bool)
-        fresh[1:] = (hit[1:] != hit[:-1] + 1) | (x.run[hit[1:]] != x.run[hit[:-1]])
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(hit)) - 1 if len(hit) else first
-        run = x.run[hit[first]]
-        a, b = lo[run] + x.start[hit[first]], lo[run] + x.start[hit[last]]
-        return record(MARKS, (did[run], th[run], (a << 32) | b))
+def leaders(rows: list[dict], by_document: bool) -> np.ndarray:
+    """The rank of each run in the order of documents and places; runs that are alike have one rank."""
+    did, th, lo = (np.array([r[n] for r in rows], np.int64) for n in ("did", "th", "lo"))
+    by = np.lexsort((lo, th, did))
+    rank = np.empty(len(rows), np.int64)
+    d, t, s = did[by], th[by], lo[by]
+    differs = (d[1:] != d[:-1]) | (t[1:] != t[:-1])
+    if not by_document:
+        differs |= s[1:] != s[:-1]
+    rank[by] = np.cumsum(np.concatenate(([0], differs)))
+    return rank
+
+
+def by_anchor(work):
+    """Rows come with an anchor's runs together; whole anchors are worked on, many at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for b in it:
-            held += b.to_pylist()
-            if len(held) >= 8_000 and held[0]["akey"] != held[-1]["akey"]:
-                cut = len(held)
-                while held[cut - 1]["akey"] == held[-1]["akey"]:
-                    cut -= 1
-                yield work(held[:cut])
-                held = held[cut:]
+            for at in range(0, b.num_rows, 8_000):
+                held += b.slice(at, 8_000).to_pylist()
+                if len(held) >= 8_000 and held[0]["akey"] != held[-1]["akey"]:
+                    cut = len(held)
+                    while held[cut - 1]["akey"] == held[-1]["akey"]:
+                        cut -= 1
+                    yield work(held[:cut])
+                    held = held[cut:]
         if held:
             yield work(held)
 
@@ -235,28 +204,29 @@ def _single_windows(unit: str, width: int):
             rows = b.to_pylist()
             for at in range(0, len(rows), 2_000):
                 part = rows[at : at + 2_000]
-                x = _Expanded(part, unit, width)
+                x = Expanded(part, unit, width)
                 did, th, lo = (np.array([r[n] for r in part], np.int64)[x.run] for n in ("did", "th", "lo"))
                 yield record(WINDOW, (mix(x.slice(np.arange(len(x.run)), 0, width)).view(np.int64), mix(x.second(0, width)).view(np.int64), did, th, (lo + x.start).astype(np.int32)))
 
     return run
 
 
-def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool, crowd: int = CROWD) -> DataFrame:
+def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool, order, crowd: int = CROWD) -> DataFrame:
     """Window starts that repeat an earlier one, of ``keyed`` documents: (did, th, spans array<long>, packed lo << 32 | hi).
 
+    ``order``: the comparison of an anchor's runs, a function for mapInArrow from ``SLICE`` to ``MARKS`` rows.
     ``unit``: bytes or words.  Earlier means a smaller (document, start), or, ``by_document``, a smaller document.
     Documents without such windows have no row.
     """
     spark = docs.sparkSession
     texts = docs.select("did", "th", F.col("text").cast("binary").alias("text"))
     scanned = texts.mapInArrow(_scan(unit, width, k, by_document), FOUND_SQL)
-    found = written(scanned.repartition("akey").sortWithinPartitions("akey", "ckey", "did", "th", "lo").mapInArrow(_settle_contexts(by_document), FOUND_SQL), "runs")
+    found = written(scanned.repartitionByRange("akey", "ckey").sortWithinPartitions("akey", "ckey", "did", "th", "lo").mapInArrow(_settle_contexts(by_document), FOUND_SQL), "runs")
     del scanned
     settle(spark)
-    marks = found.filter(F.col("kind") == MARK).select("did", "th", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("span"))
+    marks = found.filter(F.col("kind") == MARK).select("did", "th", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("lo") + F.shiftright("reach", 16)).alias("span"))
     still = found.filter(F.col("kind") == OPEN)
-    runs = still.groupBy("did", "th").agg(F.collect_list(F.struct("akey", "lo", "hi")).alias("runs"))
+    runs = still.groupBy("did", "th").agg(F.collect_list(F.struct("akey", "lo", "reach")).alias("runs"))
     slices = runs.join(texts, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_slices(unit, width), SLICE_SQL)
     crowded = still.groupBy("akey").count().filter(F.col("count") > crowd).select("akey", F.lit(True).alias("crowd"))
     if crowded.isEmpty():
@@ -273,7 +243,7 @@ def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool,
         if not by_document:
             differs = differs | (F.col("lo") != F.col("f_lo"))
         marks = marks.union(later.filter(differs).select("did", "th", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("lo")).alias("span")))
-    ordered = few.repartition("akey").sortWithinPartitions("akey").mapInArrow(_order_windows(unit, width, by_document), MARKS_SQL)
+    ordered = few.repartition("akey").sortWithinPartitions("akey").mapInArrow(order, MARKS_SQL)
     marks = marks.union(written(ordered, "windows"))
     settle(spark)
     return marks.groupBy("did", "th").agg(F.collect_list("span").alias("spans"))

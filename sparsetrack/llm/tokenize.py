@@ -12,10 +12,9 @@ import os
 import re
 
 import numpy as np
-from pyspark.sql import SparkSession
 
-#: Pieces remembered by a worker (bounds its memory, not the result).
-REMEMBERED = 1_500_000
+#: Words and pieces remembered by a worker, some 130 bytes each (bounds its memory, not the result).
+REMEMBERED = 500_000
 #: Characters for which the shortcut isn't known to hold; \\x1c-\\x1f and \\x85 are white space to one pattern language only.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
 #: The splitter's own pattern, for the characters left.
@@ -29,6 +28,17 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The normaliser and splitter that words are cut like here; another vocabulary's texts go through the library whole.
+_NORMALISER = ["NFC", r"Replace \s+", "Lowercase"]
+_SPLITTER = [r"Split 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel"]
+
+
+def _steps(spec: dict | None) -> list[str]:
+    """Names and patterns of a sequence of steps."""
+    parts = (spec or {}).get("normalizers") or (spec or {}).get("pretokenizers") or []
+    return [" ".join(filter(None, (p["type"], p.get("pattern", {}).get("Regex")))) for p in parts]
+
+
 class Encoder:
     """``encode(text)`` gives little-endian unsigned 16-bit ids as bytes; the vocabulary must have under 65,536 ids."""
 
@@ -36,12 +46,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path, self._whole = path, None
         spec = json.load(open(path, encoding="utf-8"))
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.words = None
-        if self.suffix:
+        if self.suffix and _steps(spec.get("normalizer")) == _NORMALISER and _steps(spec.get("pre_tokenizer")) == _SPLITTER:
             self.words = Tokenizer.from_file(path)
             self.words.encode_special_tokens = True
             # white space, digits and case are dealt with before the library sees a word
@@ -51,8 +60,17 @@ class Encoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             for token, i in vocabulary.items():
                 self.ends[i] = token.endswith(self.suffix)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of words, and of pieces, which are words by themselves
+
+    @property
+    def whole(self):
+        """The tokenizer as it is, loaded when a text first needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True
+        return self._whole
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces: encoded many to a text, cut again after each word-ending id."""
@@ -61,29 +79,27 @@ class Encoder:
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(pieces):  # a vocabulary without some byte: one at a time
             for p in pieces:
-                self.pieces[p] = np.array(self.words.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
+                self.known[p] = np.array(self.words.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
             return
         raw, at = ids.tobytes(), 0
         for p, e in zip(pieces, stop.tolist(), strict=True):
-            self.pieces[p] = raw[2 * at : 2 * e]
+            self.known[p] = raw[2 * at : 2 * e]
             at = e
 
     def _meet(self, words: set[str]) -> None:
         new = words.difference(self.known)
         if not new:
             return
-        if len(self.known) + len(self.pieces) > REMEMBERED:
-            self.known, self.pieces, new = {}, {}, words
-        known, pieces = self.known, self.pieces
+        if len(self.known) > REMEMBERED:
+            self.known, new = {}, words
+        known = self.known
         plain = {w for w in new if _PLAIN.fullmatch(w)}
         cut = {w: _SPLIT.findall(w) for w in new.difference(plain)}
-        missing = [p for p in plain.union(*cut.values()) if p not in pieces]
+        missing = [p for p in plain.union(*cut.values()) if p not in known]
         if missing:
             self._learn(missing)
-        for w in plain:
-            known[w] = pieces[w]
         for w, parts in cut.items():
-            known[w] = b"".join([pieces[p] for p in parts])
+            known[w] = b"".join([known[p] for p in parts])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; new words of all of them are learnt together."""
@@ -104,7 +120,3 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def check_path(spark: SparkSession, path: str | None) -> str:
-    return path or public_path()

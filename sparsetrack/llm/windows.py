@@ -18,7 +18,7 @@ BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 BASE2, BASE2_INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 POSITION = U((1 << 24) - 1)  # low bits of an order key hold the place
 #: Tokens hashed at once: bounds a worker's memory whatever a document's length.
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << (n + 1).bit_length())
+        size = max(1 << 16, n + 1 + n // 8)
         have = np.ones(size, U)
         have[1:] = base
         _powers[base] = have = np.multiply.accumulate(have)

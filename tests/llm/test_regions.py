@@ -2,6 +2,7 @@
 
 import pytest
 
+from sparsetrack.llm import op9_html_extraction as op9
 from sparsetrack.llm.op9_html_extraction import furniture, main_text
 
 LONG = "A sentence of a paragraph that goes on without any tags in it. " * 80
@@ -60,3 +61,33 @@ def test_comments_in_articles_stay_out():
 def test_names():
     assert all(map(furniture, ["ad", "x cookie-notice", "site-footer", "Sidebar_Left", "related-posts", "ad-slot-3", "share-buttons", "widget-area", "comment-list", "site-header"]))
     assert not any(map(furniture, ["", "text", "has-sidebar", "no-sidebar", "with-comments", "two-cols-sidebar", "advice", "non-ad"]))
+
+
+UNNAMED = f"""<body><div><a href=1>Home</a> <a href=2>News</a><div><a href=3>Sport and more</a></div><div><a href=4>Weather</a></div></div>
+<div>Log in</div><div><h1>Title</h1>{"".join(f"<p>{x}</p>" for x in SHORT)}<p>Ok.</p></div>
+<div><i>(c)</i> <b>2020</b> <i>us</i></div><div><a href=5>Terms</a></div></body>"""
+
+
+def test_unnamed_furniture_falls_by_the_ratio():
+    assert lines(UNNAMED) == ["Title", *SHORT, "Ok."]
+
+
+def test_the_smoothed_ratio_decides(monkeypatch):
+    """With another ratio the text is another one, on pages with and without an article element."""
+    smoothed, page = op9.smoothed, f"<body><nav><p>Home</p></nav><article><p>{SHORT[0]}</p><p>{SHORT[1]}</p></article><footer>Us</footer></body>"
+    assert lines(page) == SHORT[:2]
+    monkeypatch.setattr(op9, "smoothed", lambda r: r * 0 + 1)
+    assert lines(UNNAMED) != ["Title", *SHORT, "Ok."]
+    monkeypatch.setattr(op9, "smoothed", lambda r: -smoothed(r))
+    assert lines(page) != SHORT[:2]
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-sidebar", "search-results", "related-work", "no-comments", "page-header"])
+def test_wrappers_silence_no_article(name):
+    for tag in ("article", "main"):
+        assert lines(f"<body><nav><a href=x>Home</a></nav><div class='{name}'><{tag}><h1>Title</h1><p>{SHORT[0]}</p><p>{SHORT[1]}</p></{tag}></div><footer>Us</footer></body>") == ["Title", *SHORT[:2]]
+
+
+def test_unclosed_furniture():
+    assert lines(f"<body><article><h1>Title</h1><p>{SHORT[0]}</p><p>{SHORT[1]}</p></article><footer><p>Us, whoever we are") == ["Title", *SHORT[:2]]
+    assert lines(f"<body><nav><ul><li><a href=a>Home</a><article><p>{SHORT[0]}</p><p>{SHORT[1]}</p></article>")[-2:] == SHORT[:2]

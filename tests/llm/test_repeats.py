@@ -62,7 +62,7 @@ def expected_words(rows, width):
     return out
 
 
-@pytest.mark.parametrize("seed,crowd,piece", [(1, 50_000, 1 << 20), (2, 1, 1 << 20), (3, 50_000, 700)])
+@pytest.mark.parametrize("seed,crowd,piece", [(1, 50_000, 1 << 20), (2, 1, 1 << 20), (3, 50_000, 700), (4, 3, 1 << 20)])
 def test_bytes(spark, monkeypatch, seed, crowd, piece):
     rows = corpus(seed)
     if piece < 1 << 20:
@@ -75,7 +75,7 @@ def test_bytes(spark, monkeypatch, seed, crowd, piece):
         assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id], r.doc_id
 
 
-@pytest.mark.parametrize("seed,crowd", [(1, 50_000), (2, 1), (3, 50_000)])
+@pytest.mark.parametrize("seed,crowd", [(1, 50_000), (2, 1), (3, 50_000), (4, 1_000), (5, 3)])
 def test_words(spark, seed, crowd):
     rows = corpus(seed, unit=9)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
