@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         mine = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         step = written(mine.join(jump, "next", "left").select("node", "label", F.least("next", "far").alias("next")), "labels")
-        if step.where("label <> next").isEmpty():
+        done = step.where("label <> next").isEmpty()
+        discard(labels)
+        if done:
+            discard(both)
             return step.select("node", "label")
         labels = step.select("node", F.col("next").alias("label"))

@@ -3,14 +3,16 @@
 Counting: tasks count the ``ORDER``-grams of trusted documents batch by batch; sums, continuation counts, the discounts
 D1, D2, D3+ (from counts of counts, for each language and order) and the interpolation weights are joins and aggregates
 sharded by gram or context.  Every order's table holds interpolated log probabilities of the grams seen and, for contexts,
-the log weight of the next lower order.  Scoring: the tables are written by a gram's last context symbol, and symbols are
-put together to shards of about ``SHARD_ROWS`` rows, so every position finds all its orders in one shard.  Tasks read a
-shard from the shared folder (nothing of the model passes through the driver but its row counts by symbol), and a
+the log weight of the next lower order.  Scoring: the tables are written in ``PARTS`` parts by a gram's last two
+context symbols, and parts are put together to shards of about ``SHARD_ROWS`` rows, so every position finds all its orders
+in one shard (grams of two symbols or fewer are in each).  Tasks read a
+shard from the shared folder (nothing of the model passes through the driver but its row counts by part), and a
 document's sums over the shards give its perplexity.  A document is kept if its perplexity is at most its language's ``QUANTILE`` among trusted
 documents held out from training (crc32 of doc_id as text, modulo 5, is 0).
 
-Symbols are bytes' worth: 0 before a text and for white space runs, printable ASCII and Latin-1 letters as they are, one
-symbol for all else.  Null and empty texts have no perplexity and are kept; so are languages (null is one) without trusted
+Symbols are bytes' worth: 0 before a text and for white space runs, printable ASCII and Latin-1 letters as they are;
+characters from U+0100 on are dealt by a hash of their code point to the 96 numbers left (in scripts of many characters some
+share one), and 1 is for all else.  Null and empty texts have no perplexity and are kept; so are languages (null is one) without trusted
 text.  Rows of one doc_id are scored each by itself.  Labels of a doc_id that disagree trust it.  Empty tables are fine.
 """
 
@@ -27,17 +29,20 @@ from pyspark.sql import functions as F
 
 from .shared import fresh_dir, settle, written
 
-ORDER, QUANTILE, SHARD_ROWS = 5, 0.995, 4_000_000
+ORDER, QUANTILE, SHARD_ROWS, PARTS = 5, 0.995, 4_000_000, 64
 _SYMBOL = np.full(0x100, 1, np.uint8)
 _SYMBOL[0x21:0x7F] = np.arange(0x21, 0x7F)
 _SYMBOL[0xC0:0x100] = np.arange(0xC0, 0x100)
 _SYMBOL[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = 0
+_FREE = np.array([*range(2, 33), *range(127, 192)])
 SYMBOLS = 256
+#: The part of each pair of last context symbols.
+PART = (np.arange(SYMBOLS**2) * 40503 % SYMBOLS**2 % PARTS).astype(np.int64)
 
 
 def symbols_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    x = np.where(points < 0x100, _SYMBOL[np.minimum(points, 0xFF)], 1).astype(np.int64)
+    x = np.where(points < 0x100, _SYMBOL[np.minimum(points, 0xFF)], _FREE[points * np.uint32(2654435761) % len(_FREE)]).astype(np.int64)
     return x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))] if len(x) else x
 
 
@@ -100,12 +105,12 @@ class Model:
             self.of.setdefault(lang, {})[(k, kind)] = code[order], value[order]
 
     def __call__(self, lang: str, x: np.ndarray, mine: np.ndarray) -> tuple[float, int] | None:
-        """The sum of log probabilities at the positions whose last context symbol is marked in ``mine``, and their number."""
+        """The sum of log probabilities at the positions whose part is marked in ``mine``, and their number."""
         m = self.of.get(lang)
         if m is None:
             return None
         code = codes_of(x)
-        code = code[mine[(code // SYMBOLS) % SYMBOLS]]
+        code = code[mine[PART[(code // SYMBOLS) % SYMBOLS**2]]]
         if not len(code):
             return 0.0, 0
         # a gram's probability is found once; what repeats is counted
@@ -170,32 +175,32 @@ def _score(path: str, parts: tuple[int, ...], mine: np.ndarray):
 
 
 def _shards(counts: dict[int, int], shard_rows: int) -> list[list[int]]:
-    """Context symbols put together, the largest first, while a shard stays within ``shard_rows``; a larger one is alone."""
+    """Parts put together, the largest first, while a shard stays within ``shard_rows``; a larger one is alone."""
     out: list[list[int]] = []
     room: list[int] = []
-    for symbol in sorted(counts, key=lambda c: (-counts[c], c)):
-        i = next((i for i, left in enumerate(room) if left >= counts[symbol]), None)
+    for part in sorted(counts, key=lambda c: (-counts[c], c)):
+        i = next((i for i, left in enumerate(room) if left >= counts[part]), None)
         if i is None:
             out.append([])
             room.append(shard_rows)
             i = len(out) - 1
-        out[i].append(symbol)
-        room[i] -= counts[symbol]
+        out[i].append(part)
+        room[i] -= counts[part]
     return out or [[]]
 
 
 def perplexity(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(row, doc_id, lang, logp, n_symbols) for each document."""
     spark, path = docs.sparkSession, fresh_dir(docs.sparkSession, "model")
-    # unigrams and the empty context (at most SYMBOLS + 1 rows a language) belong to every shard
-    common = ((F.col("k") <= 1) & F.col("logw").isNull()) | (F.col("k") == 0)
-    context = F.when(F.col("logw").isNull(), F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(SYMBOLS - 1).cast("int")
-    placed = model.withColumn("last", F.when(common, F.lit(SYMBOLS)).otherwise(context))
-    placed.repartition("last", F.col("code") % 7).write.option("compression", "zstd").partitionBy("last").parquet(path)
+    # grams and contexts of few symbols (at most 2 * SYMBOLS * (SYMBOLS + 1) rows a language) belong to every shard
+    common = F.col("k") <= F.when(F.col("logw").isNull(), 2).otherwise(1)
+    context = F.when(F.col("logw").isNull(), F.shiftright("code", 8)).otherwise(F.col("code")).bitwiseAND(SYMBOLS**2 - 1)
+    placed = model.withColumn("last", F.when(common, F.lit(PARTS)).otherwise((context * 40503 % SYMBOLS**2 % PARTS).cast("int")))
+    placed.repartition("last", F.col("code") % 5).write.option("compression", "zstd").partitionBy("last").parquet(path)
     settle(spark)
     read = spark.read.schema("lang string, k int, code long, logp double, logw double, last int").parquet(path)
-    counts = {r["last"]: r["count"] for r in read.groupBy("last").count().collect()}  # at most SYMBOLS + 1 rows
-    everywhere = [SYMBOLS] if counts.pop(SYMBOLS, 0) else []
+    counts = {r["last"]: r["count"] for r in read.groupBy("last").count().collect()}  # at most PARTS + 1 rows
+    everywhere = [PARTS] if counts.pop(PARTS, 0) else []
     groups = _shards(counts, shard_rows)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), text.alias("text"))
@@ -203,10 +208,10 @@ def perplexity(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS)
     rows = rows.withColumn("row", F.xxhash64("doc_id", "lang", "text") if len(groups) > 1 else F.lit(0).cast("long"))
     scored = None
     for i, group in enumerate(groups):
-        mine = np.zeros(SYMBOLS, bool)
+        mine = np.zeros(PARTS, bool)
         mine[group] = True
         if i == 0:  # contexts that the model hasn't seen
-            mine[[c for c in range(SYMBOLS) if c not in counts]] = True
+            mine[[c for c in range(PARTS) if c not in counts]] = True
         piece = rows.mapInArrow(_score(path, (*everywhere, *sorted(group)), mine), "row long, doc_id long, lang string, logp double, n_symbols long")
         scored = piece if scored is None else scored.union(piece)
     if len(groups) > 1:

@@ -35,7 +35,7 @@ def brute(docs, items, width=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,shard,block", [(1, 400_000, 4 << 20), (2, 300, 200), (3, 50, 1)])
+@pytest.mark.parametrize("seed,shard,block", [(1, 400_000, 4 << 20), (2, 300, 200), (3, 50, 1), (4, 12, 300)])
 def test_against_brute_force(spark, seed, shard, block):
     rnd = random.Random(seed)
     vocabulary = ["a", "été", "Zwei", "b3", "x-y", "ñ!", "LA"]
@@ -72,5 +72,35 @@ def test_suffix_array():
 def test_located_places():
     docs = [words_of(t)[0] for t in (b"a b a b a", b"", b"b a b", b"a b a b a")]
     index = FMIndex(docs)
-    lo, hi = index.search(index.symbols(words_of(b"a b")[0]).reshape(1, 2))
+    lo, hi = index.search(index.symbols(words_of(b"a b")[0]), np.array([0]), 2)
     assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == [0, 2, 8, 11, 13]
+
+
+def test_a_benchmark_takes_little_memory():
+    """Under 100 MB a worker for a benchmark of the broadcast limit and four times as much."""
+    import tracemalloc
+
+    from sparsetrack.llm.op8_decontaminate import BLOCK_BYTES, Phrases
+
+    rnd = np.random.default_rng(3)
+    items = [(str(i), " ".join(f"w{x}" for x in rnd.integers(0, 10_000, 200))) for i in range(4 * BLOCK_BYTES // 1200)]
+    tracemalloc.start()
+    phrases = Phrases(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and len(phrases.groups) == 1
+
+
+def test_a_very_long_document(spark):
+    """Longer than a shard; hits at the seams of its pieces."""
+    item = [f"i{j}" for j in range(12)]
+    text = [f"w{j % 977}" for j in range(30_000)]
+    for at in (0, 991, 1000, 15_995, 29_988):
+        text[at : at + 12] = item
+    docs = spark.createDataFrame([(1, " ".join(text), "", 0), (2, None, "", 0)], SCHEMA)
+    bench = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate(docs, bench, shard_words=1000).collect()}
+    covered = {at + j for at in (0, 991, 1000, 15_995, 29_988) for j in range(12) if text[at + j] == item[j]}
+    assert (got[1].n_words, got[2].n_words, list(got[1]["items"])) == (30_000, 0, ["a"])
+    want = brute([(1, " ".join(text))], [("a", " ".join(item))])[0]
+    assert got[1].n_hit == want[2] and want[2] <= len(covered)

@@ -168,3 +168,30 @@ def test_pages_table(spark):
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got}[None] == "Just this"
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_other_scripts_have_a_perplexity_of_their_own(spark):
+    """Text of the trusted kind is likelier than shuffled letters of the same script."""
+    rnd = random.Random(8)
+    for words in ("привет мир река дом вода лодка город старый", "日本 東京 大阪 京都 名古屋 札幌 横浜 神戸"):
+        words = words.split()
+        text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+        odd = "".join(rnd.choice("".join(words)) for _ in range(120))
+        docs = [(i, "x", text(40)) for i in range(60)] + [(100, "x", text(40)), (101, "x", odd)]
+        df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+        got = {r.doc_id: r.perplexity for r in kn.quality(df, labels).where("doc_id >= 100").collect()}
+        assert got[101] > 5 * got[100] > 5
+
+
+def test_quality_without_labels_and_languages(spark):
+    docs = spark.createDataFrame([(1, None, "some text"), (1, None, "some text"), (None, "x", "a"), (2, "x", None), (3, "y", "other")], "doc_id long, lang string, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = kn.quality(docs, none).collect()
+    assert len(got) == 5 and all(r.keep for r in got) and {r.threshold for r in got} == {None}
+    assert kn.quality(docs.limit(0), none).count() == 0
+    # ties: all trusted texts alike, so the threshold is their perplexity, and they stay
+    same = spark.createDataFrame([(i, None, "the same words") for i in range(40)] + [(99, None, "zzzz qqqq")], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in kn.quality(same, labels).collect()}
+    assert not got.pop(99) and all(got.values()) and len(got) == 40

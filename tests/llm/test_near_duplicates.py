@@ -6,6 +6,7 @@ import re
 import pytest
 
 from sparsetrack.llm.components import components
+from sparsetrack.llm import op6_minmax_dedup as near
 from sparsetrack.llm.op6_minmax_dedup import near_duplicates
 
 SCHEMA = "doc_id long, text string, n string, label int"
@@ -35,8 +36,10 @@ def brute(rows, percent):
     return {(None if docs[i][0] == -1 else docs[i][0], len(s[i])): None if docs[find(i)][0] == -1 else docs[find(i)][0] for i in range(len(docs))}
 
 
-@pytest.mark.parametrize("seed,percent", [(1, 85), (2, 80)])
-def test_against_all_pairs(spark, seed, percent):
+@pytest.mark.parametrize("seed,percent,few", [(1, 85, 16), (2, 80, 0), (3, 50, 16)])
+def test_against_all_pairs(spark, monkeypatch, seed, percent, few):
+    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "SHARE", 3)
     rnd = random.Random(seed)
     word = lambda: rnd.choice("alpha Beta gamma été ñu x1 zz of the to".split()) + str(rnd.randint(0, 99))
     rows, i = [], 0
@@ -65,3 +68,17 @@ def test_empty(spark):
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.label for r in components(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_bands_follow_the_similarity():
+    for percent in range(30, 101, 5):
+        r = near.band_rows(percent)
+        assert near.VALUES % r == 0 and (1 - (percent / 100) ** r) ** (near.VALUES // r) < 1e-5
+    assert near.band_rows(85) == near.band_rows(80) == 4
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 5003}x{i // 700}" for i in range(40_000))
+    rows = [(1, long, "", 0), (2, long + " and more", "", 0), (3, long[: len(long) // 2], "", 0)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
