@@ -1,14 +1,18 @@
 """Nearest neighbours by collision counting on query-aware single projections.
 
-Every block of vectors is indexed by ``PROJECTIONS`` sorted arrays of its projections on random directions.  A query's
+Every block of vectors is indexed, once, by ``PROJECTIONS`` sorted arrays of its projections on random directions.  A query's
 window opens around its own projection in all arrays at once and widens by a constant factor (virtual rehashing: a wider
-window is only the old one and what it gains on either side).  A vector met in at least the share ``ALPHA`` of the arrays
-has collided often enough and is verified by its exact distance.  Widening ends when anything nearer than the k-th best
-found would have collided often enough with great probability, or when all is verified.
+window is only the old one and what it gains on either side).  A vector met in at least the share ``ALPHA`` of the arrays has
+collided often enough and is verified by its exact distance.  Widening ends when anything nearer than the k-th best found
+would have collided often enough with great probability, or when all is verified.
 
-Every row is indexed.  Queries are a stated set; ``QUERY_BLOCK`` of them at a time pass through the driver to all blocks,
-and what they find is written before the next go, so neither the driver nor a plan grows with their number.  Of a block
-only each query's k nearest come back, so the last ranking sees k rows for each block and query.
+Wide windows tell near from far best, and most entries lie in them.  So the first window is guessed from the distances to
+``PROBE`` vectors of the block, and its collisions are counted by what lies outside, the shorter ends of the arrays.
+
+Every row is indexed.  Queries are a stated set: they are written to the shared folder in files of ``QUERY_BLOCK``, and each
+task reads them file by file for the blocks it holds, so one job and one pass over the vectors serve all queries, and nothing
+of them passes the driver.  Of a block only each query's k nearest come back, so the last ranking sees k rows for each block
+and query.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows without vec_id, take no part; vectors
 of another length than the query's are no candidates.  A query isn't its own candidate, nor are other rows with its id.
@@ -22,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, record, written
+from .shared import fresh_dir, record
 
 K, EVERY = 10, 100
-PROJECTIONS, ALPHA, SURE, WIDEN, BLOCK, QUERY_BLOCK = 224, 0.575, 2.2, 1.18, 20_000, 2_000
+PROJECTIONS, ALPHA, SURE, WIDEN, PROBE, BLOCK, QUERY_BLOCK = 128, 0.9, 0.5, 1.03, 256, 20_000, 2_000
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 FOUND_SQL = "query_id long, vec_id long, score double"
 
@@ -54,59 +60,74 @@ class Arrays:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int, seed: int = 7):
         self.ids, self.vectors, self.m = ids, vectors, m
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
-        projected = (vectors @ self.directions).T
-        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        ranked = np.take_along_axis(projected, self.order.astype(np.int64), axis=1)
+        projected = np.ascontiguousarray((vectors @ self.directions).T)
+        order = np.argsort(projected, axis=1, kind="stable")
+        ranked = np.take_along_axis(projected, order, axis=1)
         self.reach = 4 * (float(np.abs(ranked).max()) + 1)
-        self.flat = (ranked + np.arange(m)[:, None] * self.reach).ravel()
-        self.order = self.order.ravel()
-        self.size = float(np.linalg.norm(vectors, axis=1).max())
+        self.base = np.arange(m) * self.reach
+        self.flat, self.order = (ranked + self.base[:, None]).ravel(), order.ravel()
+        self.probe = vectors[:: max(1, len(vectors) // PROBE)]
+
+    def _ends(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows begin and end; one beyond the block's reach holds a whole array and nothing of the next."""
+        lo, hi = (np.clip(x, -self.reach / 2, self.reach / 2) + self.base for x in (at - half, at + half))
+        return self.flat.searchsorted(lo), self.flat.searchsorted(hi, "right")
 
-    def nearest(self, q_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, m = len(self.ids), self.m
+    def _met(self, *ranges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        parts = [self.order[a:b] for lo, hi in ranges for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids))
+
+    def nearest(self, q_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and distances of the nearest found, and how many vectors were verified."""
         at = q @ self.directions
-        # a window past a block's reach holds the whole array and nothing of the next one
-        base = np.arange(m) * self.reach
-        lo = hi = np.searchsorted(self.flat, np.clip(at, -self.reach / 2, self.reach / 2) + base)
-        count = np.zeros(n, np.int32)
+        near = np.sqrt(((self.probe - q) ** 2).sum(axis=1))
+        half = 1.9 * max(0.9 * float(near.min()), 0.3 * float(np.median(near)), 1e-9)
         own = self.ids == q_id
-        seen, need = own.copy(), math.ceil(ALPHA * m)
+        seen, need = own.copy(), math.ceil(ALPHA * self.m)
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-        half = 0.05 * (self.size + float(np.linalg.norm(q)))
+        lo, hi = self._ends(at, half)
+        bounds = np.arange(self.m + 1) * len(self.ids)
+        count = self.m - self._met((bounds[:-1], lo), (hi, bounds[1:]))
         while True:
-            a = np.searchsorted(self.flat, np.clip(at - half, -self.reach / 2, self.reach / 2) + base)
-            b = np.searchsorted(self.flat, np.clip(at + half, -self.reach / 2, self.reach / 2) + base, "right")
-            a, b = np.minimum(a, lo), np.maximum(b, hi)
-            for start, stop in ((a, lo), (hi, b)):
-                size = stop - start
-                place = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-                count += np.bincount(self.order[place], minlength=n).astype(np.int32)
-            lo, hi = a, b
             new = np.flatnonzero((count >= need) & ~seen)
             if len(new):
                 seen[new] = True
-                d = np.sqrt(((self.vectors[new] - q) ** 2).sum(axis=1))
+                # summed from the first component to the last
+                d = np.sqrt(np.add.accumulate((self.vectors[new] - q) ** 2, axis=1)[:, -1])
                 best_d, best_i = np.concatenate((best_d, d)), np.concatenate((best_i, self.ids[new]))
                 top = np.lexsort((best_i, best_d))[:k]
                 best_d, best_i = best_d[top], best_i[top]
-            if seen.all() or (len(best_d) == k and _likely(best_d[-1], half, m)):
-                return best_i, best_d
+            if seen.all() or (len(best_d) == k and _likely(best_d[-1], half, self.m)):
+                return best_i, best_d, int(seen.sum() - own.sum())
             half *= WIDEN
+            while len(best_d) == k and not _likely(best_d[-1], half, self.m):  # as wide as the present k-th asks for
+                half *= WIDEN
+            a, b = self._ends(at, half)
+            count += self._met((a, lo), (hi, b))
+            lo, hi = a, b
+
+
+def _asked(path: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The queries of one file after the other."""
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    for f in sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if f.path.endswith(".parquet")):
+        table = pyarrow.parquet.read_table(f, filesystem=fs, partitioning=None)
+        yield [(i, v.values.to_numpy()) for i, v in zip(table.column("vec_id").to_pylist(), table.column("embedding"), strict=True)]
 
 
-def _search(queries, k: int, m: int, block: int):
+def _search(path: str, k: int, m: int, block: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(i, np.frombuffer(raw)) for i, raw in queries.value]
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         def work(rows):
             index = Arrays(np.array([r[0] for r in rows], np.int64), np.stack([r[1] for r in rows]), m)
-            out = []
-            for q_id, q in asked:
-                if len(q) == index.vectors.shape[1]:
-                    ids, d = index.nearest(q_id, q, k)
-                    out += zip([q_id] * len(ids), ids.tolist(), d.tolist(), strict=True)
-            return record(FOUND, zip(*out, strict=True) if out else [[]] * 3)
+            for asked in _asked(path):
+                out = []
+                for q_id, q in asked:
+                    if len(q) == index.vectors.shape[1]:
+                        ids, d, _ = index.nearest(q_id, q, k)
+                        out += zip([q_id] * len(ids), ids.tolist(), d.tolist(), strict=True)
+                yield record(FOUND, zip(*out, strict=True) if out else [[]] * 3)
 
         for b in it:
             for i, v in zip(b.column("vec_id").to_pylist(), b.column("embedding"), strict=True):
@@ -116,11 +137,11 @@ def _search(queries, k: int, m: int, block: int):
                 rows = held.setdefault(len(x), [])
                 rows.append((i, x))
                 if len(rows) >= block:
-                    yield work(rows)
+                    yield from work(rows)
                     held[len(x)] = []
         for rows in held.values():
             if rows:
-                yield work(rows)
+                yield from work(rows)
 
     return run
 
@@ -131,25 +152,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = PROJECT
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
     asked = queries.select(queries["vec_id"].cast("long").alias("vec_id"), queries["embedding"].cast("array<double>").alias("embedding")).where("vec_id is not null")
     sound = asked.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0))
-    path, part, blocks = fresh_dir(spark, "found"), [], 0
-
-    def flush():
-        nonlocal part, blocks
-        sent = spark.sparkContext.broadcast(part)
-        rows.mapInArrow(_search(sent, k, m, block), FOUND_SQL).write.parquet(f"{path}/block={blocks}")
-        sent.destroy()
-        part, blocks = [], blocks + 1
-
-    # the iterator holds one partition of the written queries at a time
-    for r in written(sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries").toLocalIterator():
-        part.append((r["vec_id"], np.array(r["embedding"], np.float64).tobytes()))
-        if len(part) >= query_block:
-            flush()
-    if part:
-        flush()
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = spark.read.schema(FOUND_SQL).parquet(path)
+    once = sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    path = fresh_dir(spark, "queries")
+    once.write.option("maxRecordsPerFile", query_block).parquet(path)
+    found = rows.mapInArrow(_search(path, k, m, block), FOUND_SQL)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
     return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
 
