@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, written
+from .shared import settle, small_batches, written
 from .windows import U, mix, word_hashes
 
 
@@ -37,7 +37,7 @@ SAMPLE, CANDIDATES, CHOSEN, SUPPORT, AGAINST = 4_000, 20_000, 400, 3, 3
 #: Shares of a document's distinct words from which on a feature counts as frequent (two words at least).
 DENSE = (0.005, 0.01, 0.015, 0.02, 0.03, 0.04)
 #: Words a worker remembers to hold nothing of interest (bounds its memory, not the result).
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 # Signs read as letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 BETWEEN = frozenset(".-_*~'`,:;/\\ ")
@@ -293,6 +293,7 @@ def _score(model, chosen, carry: tuple[str, ...]):
         r = Restorer(model.value)
         weights, bias = chosen.value
         wanted = {f.partition("\t")[0] for f in weights}
+        heads = {f.rstrip("$")[:3] for f in wanted}
         clean: set[str] = set()
         hot: dict[str, tuple[str, ...]] = {}  # restored words that hold a wanted feature, by spelling
 
@@ -304,7 +305,7 @@ def _score(model, chosen, carry: tuple[str, ...]):
                 if len(clean) > REMEMBERED:
                     clean.clear()
                 for w in spelt.difference(clean).difference(hot):
-                    found = tuple(x for x in r.reading(w) if not wanted.isdisjoint(features(x)))
+                    found = tuple(x for x in r.reading(w) if x[:3] in heads and not wanted.isdisjoint(features(x)))
                     if found:
                         hot[w] = found
                     else:
@@ -315,7 +316,7 @@ def _score(model, chosen, carry: tuple[str, ...]):
                 words.update(r.spaced(text))
                 counts: dict[str, int] = {}
                 for w in words:
-                    for f in wanted.intersection(features(w)):
+                    for f in wanted.intersection(features(w)) if w[:3] in heads else ():
                         counts[f] = counts.get(f, 0) + 1
                 z = bias + sum(weights[f] for f in sorted(graded(counts, len(spelt))) if f in weights)
                 scores.append(0.0 if not weights else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
@@ -329,6 +330,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: tu
 
     ``teaching``: the documents of the labelled rows, if other than ``docs``.
     """
+    small_batches(docs.sparkSession)
     spark, teaching = docs.sparkSession, docs if teaching is None else teaching
     taught = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0")
     taught = taught.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))

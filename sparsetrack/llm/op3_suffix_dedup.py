@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import CROWD, MARKS, by_anchor, leaders, repeated
+from .repeats import MARKS, by_anchor, leaders, repeated
 from .shared import keyed, merged, record
 
 WIDTH, ANCHOR = 100, 16
@@ -114,7 +114,7 @@ def _order_suffixes(width: int):
     return by_anchor(work)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, crowd: int = CROWD, carry: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, crowd: int | None = None, carry: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, spans ([start, end, ...] in bytes), kept (the remaining
     bytes), clean_text (only if asked for: the text without any character that lost a byte) and the columns ``carry``."""
     base = keyed(docs, *carry)

@@ -27,7 +27,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, settle, written
+from .shared import fresh_dir, settle, small_batches, written
 
 ORDER, QUANTILE, SHARD_ROWS, PARTS = 5, 0.995, 4_000_000, 64
 _SYMBOL = np.full(0x100, 1, np.uint8)
@@ -223,6 +223,7 @@ def perplexity(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS)
 
 def quality(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row per document: doc_id, lang, n_symbols, perplexity, threshold, keep."""
+    small_batches(docs.sparkSession)
     good = labels.where("quality = 1 and doc_id is not null").select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))

@@ -31,7 +31,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, record
+from .shared import fresh_dir, record, small_batches
 
 K, EVERY = 10, 100
 PROJECTIONS, ALPHA, SURE, WIDEN, PROBE, BLOCK, QUERY_BLOCK = 128, 0.9, 0.5, 1.03, 256, 20_000, 2_000
@@ -148,6 +148,7 @@ def _search(path: str, k: int, m: int, block: int):
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, m: int = PROJECTIONS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """For each query its k nearest rows found: query_id, rank (from 1), vec_id, score (Euclidean distance)."""
+    small_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"))
     asked = queries.select(queries["vec_id"].cast("long").alias("vec_id"), queries["embedding"].cast("array<double>").alias("embedding")).where("vec_id is not null")

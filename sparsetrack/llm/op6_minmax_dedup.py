@@ -32,7 +32,7 @@ from .components import components
 from .shared import LEAST, discard, keyed, record, settle, written
 from .windows import BASE, BASE2, BASE_INV, U, mix, prefix, span, word_hashes
 
-SIZE, PERCENT, VALUES, SKETCH, STARS, FEW, SHARE = 5, 85, 96, 16, 6, 16, 1_000
+SIZE, PERCENT, VALUES, SKETCH, STARS, FEW, SHARE = 5, 85, 96, 16, 4, 100, 1_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLY = mix(np.arange(1, VALUES // 2 + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, VALUES // 2 + 1001, dtype=U))
@@ -143,9 +143,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     def worth(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, shares) that pass the bounds."""
         fa, fb = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+        return pairs.join(fa, "a").join(fb, "b").where(near()).select("a", "b", "shares")
+
+    def near():
         sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
         apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH)), F.lit(0))
-        return pairs.join(fa, "a").join(fb, "b").where(sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b", "shares")
+        return sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b, shares): b's text goes to so many shares of its partners."""
@@ -175,9 +178,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         if left <= FEW:
             break
     if left:
-        x, y = (rest.select("bucket", "members", F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab")
-        across = x.join(y, ["bucket", "members"]).where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")))
-        more = written(confirmed(worth(across.select("a", "b", (1 + F.floor(F.col("members") / SHARE)).alias("shares")).groupBy("a", "b").agg(F.max("shares").alias("shares")))), "links")
+        known = rest.join(facts, "node")
+        x, y = (known.select("bucket", "members", F.col("node").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+        across = x.join(y, ["bucket", "members"]).where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & near())
+        more = written(confirmed(across.groupBy("a", "b").agg((1 + F.floor(F.max("members") / SHARE)).alias("shares"))), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
     discard(buckets, rest)

@@ -25,7 +25,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, record
+from .shared import fresh_dir, record, small_batches
 from .windows import BASE, BASE2, BASE2_INV, BASE_INV, BYTE, PIECE, U, mix, prefix, span
 
 WIDTH, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 400_000, 8, 1 << 20
@@ -323,6 +323,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     The benchmark is a query set.  Its size is measured first: up to ``block_bytes`` it is broadcast; beyond, nothing of it
     passes the driver, and tasks read it file by file.
     """
+    small_batches(docs.sparkSession)
     spark, sent, path = docs.sparkSession, None, None
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     bytes_of = F.coalesce(F.octet_length("item_id"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)) + 16

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import record
+from .shared import record, small_batches
 
 # Element names and naming habits of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,6 +250,7 @@ def _extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row per page, nothing shuffled."""
+    small_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 

@@ -7,8 +7,8 @@ Each pass is on less data; what stands alone in a pass is not looked at again:
    ranges of (anchor, context), which split a hot anchor between tasks, a sorted stream settles equal contexts; anchors with
    two or more contexts go on, one row each, and so do anchors at the edge of a range, whose rest a neighbour may have.
 2. Those rows fetch their run's tokens from the documents and are dealt by anchor; how an anchor's runs are compared is the
-   operator's own method (``order``).  Anchors with more than ``crowd`` contexts are dealt by the windows' own hashes
-   instead, so no task gets them whole.
+   operator's own method (``order``).  A crowded anchor, one with more contexts than a task's fair share, is dealt by its
+   windows' own hashes instead, so no task gets it whole.
 3. Marks are merged per document.
 
 Equal contexts, and windows dealt singly, agree in two independent 64-bit hashes.
@@ -28,7 +28,7 @@ from .windows import BASE, BASE2, BASE2_INV, BASE_INV, U, batches, byte_values,
 
 #: Contexts remembered by a task for combining (bounds its memory, not the result).
 REMEMBERED = 400_000
-#: Contexts of one anchor beyond which its windows are dealt out singly.
+#: An anchor with more contexts than this, and than a task's fair share of all, is split between tasks.
 CROWD = 1_000
 RUN, MARK, OPEN = 0, 1, 2
 FOUND = pa.schema([("kind", pa.int8()), ("akey", pa.int64()), ("ckey", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("reach", pa.int32())])
@@ -211,7 +211,7 @@ def _single_windows(unit: str, width: int):
     return run
 
 
-def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool, order, crowd: int = CROWD) -> DataFrame:
+def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool, order, crowd: int | None = None) -> DataFrame:
     """Window starts that repeat an earlier one, of ``keyed`` documents: (did, th, spans array<long>, packed lo << 32 | hi).
 
     ``order``: the comparison of an anchor's runs, a function for mapInArrow from ``SLICE`` to ``MARKS`` rows.
@@ -228,6 +228,8 @@ def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool,
     still = found.filter(F.col("kind") == OPEN)
     runs = still.groupBy("did", "th").agg(F.collect_list(F.struct("akey", "lo", "reach")).alias("runs"))
     slices = runs.join(texts, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_slices(unit, width), SLICE_SQL)
+    if crowd is None:
+        crowd = max(CROWD, still.count() // int(spark.conf.get("spark.sql.shuffle.partitions")))
     crowded = still.groupBy("akey").count().filter(F.col("count") > crowd).select("akey", F.lit(True).alias("crowd"))
     if crowded.isEmpty():
         few = slices

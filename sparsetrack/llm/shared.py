@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Whole texts go to Python workers at most so many at a time: bounds what a task holds on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no DataFrame still to be run reads."""
     for t in tables:
@@ -59,6 +66,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     Repeated equal rows have equal keys: operators treat them as one document and return its result for each.
     Other columns of the input, whatever their names, are left out.
     """
+    small_batches(docs.sparkSession)
     did = F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     repeats = not docs.select(did.alias("did")).groupBy("did").count().filter("count > 1").isEmpty()
