@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ints, keyed, record, settle, written
+from .shared import enter, ints, keyed, record, settle, written
 from .tokenize import encoder, public_path
 
 END, WIDTH = 1, 2048
@@ -32,6 +32,7 @@ PIECE_SQL = "doc_id long, did long, th long, start long, length int, ids_crc32 l
 
 def _pieces(vocabulary: str, width: int, cut: int, keep_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         enc = encoder(vocabulary)
         for b in it:
             for lo in range(0, b.num_rows, 200):

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import settle, small_batches, written
+from .shared import enter, settle, small_batches, written
 from .windows import U, mix, word_hashes
 
 
 SAMPLE, CANDIDATES, CHOSEN, SUPPORT, AGAINST = 4_000, 20_000, 400, 3, 3
 #: Shares of a document's distinct words from which on a feature counts as frequent (two words at least).
-DENSE = (0.005, 0.01, 0.015, 0.02, 0.03, 0.04)
+DENSE = (0.005, 0.01, 0.02, 0.04)
 #: Words a worker remembers to hold nothing of interest (bounds its memory, not the result).
 REMEMBERED = 400_000
 # Signs read as letters.
@@ -195,16 +195,26 @@ class Restorer:
 
 
 def _candidates(model):
-    """Features of sampled rows with the labels' document counts, summed over a task's rows."""
+    """Features of sampled rows with the labels' document counts, summed over some rows of a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, counts = Restorer(model.value), {}
+        enter("toxicity")
+        r = Restorer(model.value)
+        counts: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            clean, toxic = ([v[i] for v in counts.values()] for i in (0, 1))
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], names=["f", "clean", "toxic"])
+            counts.clear()
+            return out
+
         for b in it:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                for f in _all_features(r, text or ""):
-                    pair = counts.setdefault(f, [0, 0])
-                    pair[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["f", "clean", "toxic"])
+            for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
+                for f in _all_features(r, text.as_py() or ""):
+                    counts.setdefault(f, [0, 0])[toxic] += 1
+                if len(counts) > 100_000:
+                    yield flush()
+        yield flush()
 
     return run
 
@@ -231,11 +241,15 @@ def _group(text: str) -> int:
 
 def _present(model, wanted):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         r, number = Restorer(model.value), {f: i for i, f in enumerate(wanted.value)}
         for b in it:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            found = [sorted(number[f] for f in _all_features(r, t) if f in number) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([_group(t) for t in texts], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "grp", "found"])
+            groups, found = [], []
+            for x in b.column("text"):
+                text = x.as_py() or ""
+                groups.append(_group(text))
+                found.append(sorted(number[f] for f in _all_features(r, text) if f in number))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(groups, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "grp", "found"])
 
     return run
 
@@ -290,6 +304,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int
 
 def _score(model, chosen, carry: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         r = Restorer(model.value)
         weights, bias = chosen.value
         wanted = {f.partition("\t")[0] for f in weights}

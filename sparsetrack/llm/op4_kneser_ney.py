@@ -27,7 +27,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, settle, small_batches, written
+from .shared import enter, fresh_dir, kept, settle, small_batches, written
 
 ORDER, QUANTILE, SHARD_ROWS, PARTS = 5, 0.995, 4_000_000, 64
 _SYMBOL = np.full(0x100, 1, np.uint8)
@@ -139,6 +139,7 @@ class Model:
 
 
 _loaded: dict[tuple, Model] = {}
+kept(_loaded.clear)
 
 
 def _load(path: str, parts: tuple[int, ...]) -> Model:
@@ -165,6 +166,7 @@ def _load(path: str, parts: tuple[int, ...]) -> Model:
 
 def _score(path: str, parts: tuple[int, ...], mine: np.ndarray):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         model = _load(path, parts)
         for b in it:
             got = [model(lang, symbols_of(text.as_py()), mine) for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True)]

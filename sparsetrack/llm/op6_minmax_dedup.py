@@ -3,8 +3,8 @@
 Every permutation gives two signature values, the smallest and the largest hash of a document's shingles, so half the
 evaluations fill the same signature; bands of four values deal documents into buckets.  Documents with the same shingle
 set are one class from the start.  In a bucket, classes are compared with its best connected member (a star, not all pairs),
-which then leaves; buckets that still hold different components go through up to ``STARS`` more rounds.  Only what is left
-when a bucket holds few on average is compared pair by pair.  Two bounds stand before each comparison and drop no true link:
+which then leaves; buckets that still hold different components go through up to ``STARS`` more rounds, as long as a round
+halves what is left.  What is left after that is compared pair by pair.  Two bounds stand before each comparison and drop no true link:
 set sizes, and the popcount of the xor of 1,024-bit parity sketches, which is never more than the symmetric difference.
 Every link is confirmed on the full shingle sets; the text of a member that many are compared with is dealt out in shares.
 Components are found by label propagation; no links, fingerprints or members come to the driver.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LEAST, discard, keyed, record, settle, written
+from .shared import LEAST, discard, enter, keyed, record, settle, written
 from .windows import BASE, BASE2, BASE_INV, U, mix, prefix, span, word_hashes
 
 SIZE, PERCENT, VALUES, SKETCH, STARS, FEW, SHARE = 5, 85, 96, 16, 4, 100, 1_000
@@ -76,6 +76,7 @@ def _sign(size: int, rows: int):
     many = VALUES // rows
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         for b in it:
             out = []
             for did, th, text in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("text"), strict=True):
@@ -100,6 +101,7 @@ def _confirm(size: int, percent: int):
     schema = pa.schema([("a_did", pa.int64()), ("a_th", pa.int64()), ("b_did", pa.int64()), ("b_th", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near")
         recent: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
         held = 0
 
@@ -159,7 +161,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         found = pairs.join(a, ["a_did", "a_th"]).join(b, ["b_did", "b_th", "share"]).mapInArrow(_confirm(size, percent), "a_did long, a_th long, b_did long, b_th long")
         return found.select(F.struct(F.col("a_did").alias("did"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_did").alias("did"), F.col("b_th").alias("th")).alias("b")).distinct()
 
-    rest, links, labels = buckets.withColumn("label", F.col("node")), None, None
+    rest, links, labels, before = buckets.withColumn("label", F.col("node")), None, None, float("inf")
     for _ in range(1 + STARS):
         degree = rest.groupBy("node").agg(F.sum("members").alias("degree"))
         centres = written(rest.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "label", "degree"), F.struct("degree", "node")).alias("c")).select("bucket", "c.*"), "centres")
@@ -175,8 +177,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         rest = written(now.join(mixed, "bucket"), "mixed")
         discard(centres)
         left = rest.agg(F.coalesce(F.avg(F.col("members") - 1), F.lit(0.0))).first()[0]  # mean partners of a row
-        if left <= FEW:
+        if left <= FEW or left > before / 2:
             break
+        before = left
     if left:
         known = rest.join(facts, "node")
         x, y = (known.select("bucket", "members", F.col("node").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")

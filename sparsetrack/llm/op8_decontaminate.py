@@ -25,7 +25,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_dir, record, small_batches
+from .shared import enter, fresh_dir, record, small_batches
 from .windows import BASE, BASE2, BASE2_INV, BASE_INV, BYTE, PIECE, U, mix, prefix, span
 
 WIDTH, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 400_000, 8, 1 << 20
@@ -247,6 +247,7 @@ def _files(path: str) -> Iterator[list[tuple[str | None, str | None]]]:
 
 def _scan(sent, path: str | None, width: int, shard_words: int, carry: tuple[str, ...], clean: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontamination")
         phrases: list[Phrases] = []  # of the broadcast, made once
         held: list[tuple] = []
         size = 0

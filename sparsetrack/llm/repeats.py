@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ints, record, settle, written
+from .shared import enter, ints, record, settle, written
 from .windows import BASE, BASE2, BASE2_INV, BASE_INV, U, batches, byte_values, mix, prefix, span, word_hashes, word_spans
 
 #: Contexts remembered by a task for combining (bounds its memory, not the result).
@@ -50,6 +50,7 @@ def _scan(unit: str, width: int, k: int, by_document: bool):
     values = values_of(unit)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("repeats")
         known: dict[tuple[int, int], tuple[int, int, int]] = {}
 
         def texts():
@@ -182,6 +183,7 @@ def by_anchor(work):
     """Rows come with an anchor's runs together; whole anchors are worked on, many at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("repeats")
         held: list[dict] = []
         for b in it:
             for at in range(0, b.num_rows, 8_000):
@@ -200,6 +202,7 @@ def by_anchor(work):
 
 def _single_windows(unit: str, width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("repeats")
         for b in it:
             rows = b.to_pylist()
             for at in range(0, len(rows), 2_000):

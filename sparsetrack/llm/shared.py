@@ -6,7 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,26 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: What workers keep from task to task: functions that drop it.
+_kept: list[Callable[[], None]] = []
+_step = ""
+
+
+def kept(drop: Callable[[], None]) -> None:
+    _kept.append(drop)
+
+
+def enter(step: str) -> None:
+    """A worker that turns to another step drops what the one before kept."""
+    global _step
+    if step != _step:
+        for drop in _kept:
+            drop()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _step = step
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that no DataFrame still to be run reads."""
     for t in tables:

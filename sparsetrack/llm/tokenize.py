@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .shared import kept
+
 #: Words and pieces remembered by a worker, some 130 bytes each (bounds its memory, not the result).
 REMEMBERED = 500_000
 #: Characters for which the shortcut isn't known to hold; \\x1c-\\x1f and \\x85 are white space to one pattern language only.
@@ -113,6 +115,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+kept(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:

@@ -13,6 +13,8 @@ from typing import NamedTuple
 
 import numpy as np
 
+from .shared import kept
+
 U = np.uint64
 BASE, BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 BASE2, BASE2_INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
@@ -34,6 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE = mix(np.arange(1, 257, dtype=U) * U(BASE))
 _powers: dict[int, np.ndarray] = {}
+kept(_powers.clear)
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -60,3 +60,31 @@ def test_cutting_stages_carry_rows(spark, tmp_path):
         assert all(r.n_chars == len(r.text or "") for r in got.values()) and (got[3].lang, got[3].source) == ("fr", "t")
         assert got[3].text == third if third else "item5" not in got[3].text and "before" in got[3].text
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_whole_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from sparsetrack.llm.tokenize import encoder, public_path
+
+    docs, labels = teaching(spark)
+    item = " ".join(f"item{i}" for i in range(40))
+    rows = [(r.doc_id, r.text, "en", None, len(r.text)) for r in docs.collect()]
+    rows += [(900, TEXT, "en", "s", 0), (901, TEXT + " tail", "en", "s", 0), (902, None, None, None, None), (903, f"start {item} end", "fr", "t", 0)]
+    spark.createDataFrame(rows, ROW).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    clean = [r for r in rows if not {"idiot", "loser", "stupid"} & set((r[1] or "").split())]
+    assert {r.doc_id for r in got} == {g[0][1] for g in plain_near(clean)}
+    pieces, sequences = {}, {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r.length)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(pieces[r.doc_id]) == r.doc_tokens for r in got)
+    for at in sequences.values():
+        assert sorted(at) == [(sum(n for _, n in sorted(at)[:i]), n) for i, (_, n) in enumerate(sorted(at))]
+    assert {r.doc_tokens for r in got if r.doc_id == 903} == {len(encoder(public_path()).encode("start  end")) // 2 + 1}
+    (tmp_path / "none").mkdir()
+    for name, kind in (("documents", ROW), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
