@@ -15,7 +15,7 @@ STAGES = [
     ("packing", op10_packing.stage),
 ]
 
-#: No stage but the last could be put as SQL; the tests hold the stages against brute force.
+#: Toxicity and packing have no SQL form; tests/llm/test_stages.py holds the stages and run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -1,10 +1,9 @@
-"""Column builders: predicates, re-centred windows, quantile names, C-style number text."""
+"""Column builders: predicates, re-centred windows, quantile names."""
 
 from __future__ import annotations
 
 import operator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,13 +54,3 @@ def position_label(offset: Column, left: int, firstbase: bool = False) -> Column
     """Offsets as positions around the anchor: -left .. -1, 1 .. right; with ``firstbase`` 0 is the base itself."""
     p = offset - left
     return p if firstbase else F.when(p >= 0, p + 1).otherwise(p)
-
-
-def c_number(column: Column, decimals: int = 2) -> Column:
-    """Text as C's printf gives it (the exact binary value, ties to even); NULL is ``NA``."""
-
-    @F.pandas_udf("string")
-    def text(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: "NA" if pd.isna(x) else f"{x:.{decimals}f}")
-
-    return text(column.cast("double"))

@@ -47,14 +47,17 @@ def aggregate(regions: dict[str, DataFrame], signals: dict[str, DataFrame], left
     for name, r in regions.items():
         part = centred(r, left, right, anchor, firstbase).select("row_id", "chrom", "start", "end", "strand").withColumn("region_set", F.lit(name))
         windows = part if windows is None else windows.unionByName(part)
-    rows = _all_signals(windows, signals, fill)
+    return _by_position(_all_signals(windows, signals, fill), regions, signals, left, left + right + bool(firstbase), firstbase, expanded)
+
+
+def _by_position(rows: DataFrame, regions: dict[str, DataFrame], signals: dict[str, DataFrame], left: int, width: int, firstbase: bool, expanded: bool) -> DataFrame:
+    """Statistics of (region_set, signal, offset, value) rows for every set, signal and position."""
     v = F.col("value")
     wanted = [F.avg(v).alias("mean")]
     if expanded:
         wanted += [F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n"), (F.var_pop(v) * F.count(v)).alias("sum_squares")]
     got = rows.groupBy("region_set", "signal", position_label(F.col("offset"), left, firstbase).alias("position")).agg(*wanted)
     spark = rows.sparkSession
-    width = left + right + bool(firstbase)
     grid = spark.createDataFrame([(r, s) for r in regions for s in signals], "region_set string, signal string").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
     grid = grid.select("region_set", "signal", position_label(F.col("o"), left, firstbase).alias("position"))
     out = grid.join(got, ["region_set", "signal", "position"], "left")
@@ -98,6 +101,32 @@ def meta_vectors(regions: DataFrame, signal: DataFrame, left: int, meta: int, ri
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def aggregate_meta(regions: dict[str, DataFrame], signals: dict[str, DataFrame], left: int, meta: int, right: int, expanded: bool = False, fill: float | None = None) -> DataFrame:
+    """As ``aggregate``, for stretched profiles; positions are -left .. -1, 1 .. meta + right."""
+    rows = None
+    for r, bed in regions.items():
+        for s, signal in signals.items():
+            part = meta_vectors(bed, signal, left, meta, right)
+            if fill is not None:
+                grid = bed.select("row_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left + meta + right - 1).cast("long"))).alias("offset"))
+                part = grid.join(part, ["row_id", "offset"], "left").withColumn("value", F.coalesce("value", F.lit(float(fill))))
+            part = part.select("offset", "value", F.lit(r).alias("region_set"), F.lit(s).alias("signal"))
+            rows = part if rows is None else rows.unionByName(part)
+    return _by_position(rows, regions, signals, left, left + meta + right, False, expanded)
+
+
+def matrix_meta(regions: DataFrame, signals: dict[str, DataFrame], left: int, meta: int, right: int) -> DataFrame:
+    """As ``matrix``, for stretched profiles."""
+    cells = None
+    for i, signal in enumerate(signals.values()):
+        part = meta_vectors(regions, signal, left, meta, right).withColumn("s", F.lit(i))
+        cells = part if cells is None else cells.unionByName(part)
+    strand = F.col("strand") if "strand" in regions.columns else F.lit("+")
+    grid = regions.select("row_id", "chrom", "start", "end", F.coalesce(strand, F.lit("+")).alias("strand"), F.explode(F.sequence(F.lit(0), F.lit(len(signals) - 1))).alias("s")).withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left + meta + right - 1).cast("long"))))
+    packed = F.array_sort(F.collect_list(F.struct("s", "offset", "value")))
+    return grid.join(cells, ["row_id", "s", "offset"], "left").groupBy("row_id", "chrom", "start", "end", "strand").agg(F.transform(packed, lambda x: x["value"]).alias("values"))
+
+
 def matrix_long(regions: DataFrame, signals: dict[str, DataFrame], left: int, right: int, anchor: str = "centre", tile: int = 1, fill: float | None = None) -> DataFrame:
     """(row_id, chrom, start, end, strand, signal, position, value), a row for every region, signal and column.
 
@@ -154,11 +183,11 @@ def extract(signal: DataFrame, regions: DataFrame, fill: float | None = None) ->
     return regions.join(vectors, "row_id", "left").withColumn("length", F.col("end") - F.col("start"))
 
 
-def extract_lines(signal: DataFrame, regions: DataFrame, locus_name: bool = False) -> DataFrame:
+def extract_lines(signal: DataFrame, regions: DataFrame, locus_name: bool = False, fill: float | None = None) -> DataFrame:
     """(row_id, name, idx, value): extracts base by base; the name is the locus, or the region's own name or number."""
     own = F.when(F.col("name").isNull() | (F.col("name") == "."), F.concat(F.lit("region_"), F.col("row_id").cast("string"))).otherwise(F.col("name")) if "name" in regions.columns else F.concat(F.lit("region_"), F.col("row_id").cast("string"))
     name = F.concat("chrom", F.lit(":"), (F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string")) if locus_name else own
-    return extract(signal, regions).select("row_id", name.alias("name"), F.posexplode("values").alias("idx", "value"))
+    return extract(signal, regions, fill).select("row_id", name.alias("name"), F.posexplode("values").alias("idx", "value"))
 
 
 def maxima(signal: DataFrame, regions: DataFrame, median_base: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +25,20 @@ def local_extrema(signal: DataFrame, min_sep: int = 0, kind: str | None = None,
     """
     if kind not in (None, "maxima", "minima"):
         raise ValueError("kind is maxima or minima")
-    w = Window.partitionBy("chrom").orderBy("start")
-    flat = condense(signal).withColumn("b", F.when(F.lag("end").over(w) == F.col("start"), F.lag("value").over(w))).withColumn("a", F.when(F.lead("start").over(w) == F.col("end"), F.lead("value").over(w)))
+    # a neighbour touches, so it is found by its end or start
+    flat = condense(signal)
+    before, after = flat.select("chrom", F.col("end").alias("start"), F.col("value").alias("b")), flat.select("chrom", F.col("start").alias("end"), F.col("value").alias("a"))
+    flat = flat.join(before, ["chrom", "start"]).join(after, ["chrom", "end"])
     strand = F.when((F.col("value") > F.col("b")) & (F.col("value") > F.col("a")), "+").when((F.col("value") < F.col("b")) & (F.col("value") < F.col("a")), "-")
     out = flat.withColumn("strand", strand).where("strand is not null").select("chrom", F.col("start").alias("pos"), "value", "strand")
     if kind:
         out = out.where(F.col("strand") == ("+" if kind == "maxima" else "-"))
     if min_sep > 0:
-        out = out.groupBy("chrom", "strand").applyInPandas(_apart(min_sep), "chrom string, pos long, value double, strand string")
+        # extrema farther apart than that are independent: clusters without such a gap are worked on by themselves
+        reach = merge(out.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + min_sep).alias("end")), ("chrom", "strand"))
+        points = out.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
+        clusters = overlaps(points, reach).where("strand = r_strand").select("chrom", "pos", "value", "strand", F.col("r_start").alias("cluster"))
+        out = clusters.groupBy("chrom", "strand", "cluster").applyInPandas(_apart(min_sep), "chrom string, pos long, value double, strand string")
     if against is not None:
         other = local_extrema(against, kind=kind).select("chrom", (F.col("pos") - shift).alias("start"), (F.col("pos") + shift + 1).alias("end"), F.col("pos").alias("other_pos"), "strand")
         met = overlaps(out.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1), other).where("strand = r_strand")
@@ -43,18 +50,15 @@ def local_extrema(signal: DataFrame, min_sep: int = 0, kind: str | None = None,
 
 def _apart(min_sep: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-
-        high = rows["strand"].iloc[0] == "+"
-        order = sorted(zip(rows["value"] * (-1 if high else 1), rows["pos"], range(len(rows)), strict=True))
-        taken: list[int] = []
-        keep = []
-        for _, pos, i in order:
-            at = bisect.bisect_left(taken, pos)
-            if (at == 0 or pos - taken[at - 1] >= min_sep) and (at == len(taken) or taken[at] - pos >= min_sep):
-                taken.insert(at, pos)
-                keep.append(i)
-        return rows.iloc[sorted(keep)]
+        rows = rows.sort_values("pos", ignore_index=True)
+        pos, value = rows["pos"].to_numpy(), rows["value"].to_numpy() * (-1 if rows["strand"].iloc[0] == "+" else 1)
+        free, keep = np.ones(len(rows), bool), np.zeros(len(rows), bool)
+        first, last = np.searchsorted(pos, pos - min_sep, "right"), np.searchsorted(pos, pos + min_sep, "left")
+        for i in np.lexsort((pos, value)).tolist():
+            if free[i]:
+                keep[i] = True
+                free[first[i] : last[i]] = False
+        return rows.loc[keep, ["chrom", "pos", "value", "strand"]]
 
     return run
 
@@ -127,7 +131,8 @@ def random_regions(signal: DataFrame, sections: DataFrame, n: int, size: int, ma
     # the place comes from a hash, so that a lost task gives the same places again
     at = F.col("start") + F.pmod(F.xxhash64("section_id", "k", F.lit(seed), F.lit("place")), F.col("end") - F.col("start") - size + 1)
     picks = tries.select("chrom", at.alias("start"), F.xxhash64("section_id", "k", F.lit(seed)).alias("order")).withColumn("end", F.col("start") + size)
-    have = overlaps(picks, signal.select("chrom", "start", "end")).groupBy("chrom", "start", "end", "order").agg(F.sum(F.col("o_end") - F.col("o_start")).alias("have"))
+    met = overlaps(picks, signal.select("chrom", "start", "end")).groupBy("chrom", "start", "end", "order").agg(F.sum(F.col("o_end") - F.col("o_start")).alias("have"))
+    have = picks.join(met, ["chrom", "start", "end", "order"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
     good = have.where(size - F.col("have") <= max_na * size)
     if blacklist is not None:
         hit = overlaps(good.select("chrom", "start", "end"), blacklist.select("chrom", "start", "end")).select("chrom", "start", "end").distinct()

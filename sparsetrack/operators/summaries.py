@@ -10,7 +10,7 @@ from ..plans.intervals import overlaps, sections_of, tiled
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def _stats(v: Column, w: Column, quantiles: bool, with_sum: bool, squares: bool, median: bool) -> list[Column]:
+def _stats(v: Column, w: Column, quantiles: bool, with_sum: bool, median: bool) -> list[Column]:
     out = [F.sum(w).alias("num_data"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * w) / F.sum(w)).alias("mean")]
     if quantiles:
         out.append(F.percentile(v, F.array(*map(F.lit, QUANTILES)), w).alias("q"))
@@ -18,11 +18,16 @@ def _stats(v: Column, w: Column, quantiles: bool, with_sum: bool, squares: bool,
         out.append(F.percentile(v, F.lit(0.5), w).alias("median"))
     if with_sum:
         out.append(F.sum(v * w).alias("sum"))
-    if squares:
-        out.append(F.sum(v * v * w).alias("vv"))
     return out
 
 
+def _apart(pieces: DataFrame, means: DataFrame, keys: list[str]) -> DataFrame:
+    """The weighted sum of squared deviations from the mean, by key; a second pass, since a difference of squares cancels."""
+    both = pieces.join(means, keys) if keys else pieces.crossJoin(F.broadcast(means))  # one row
+    d = F.col("v") - F.col("mean")
+    return both.groupBy(*keys).agg(F.sum(d * d * F.col("w")).alias("sum_squares"))
+
+
 def summary(signal: DataFrame, regions: DataFrame | int, sections: DataFrame | None = None, quantiles: bool = False, with_sum: bool = False, squares: bool = False, median: bool = True, fill: float | None = None, zero_remove: float | None = None, total: bool = False) -> DataFrame:
     """A row per region (all its columns stay) or, for an integer, per tile of the sections.
 
@@ -30,48 +35,64 @@ def summary(signal: DataFrame, regions: DataFrame | int, sections: DataFrame | N
     ``quantiles`` adds q10, q25, q75, q90 (linear interpolation); ``squares`` the sum of squared deviations; ``total`` pools all
     regions into one row, overlapping ones counted as often as they overlap.  ``zero_remove``: values nearer to 0 are no data.
     """
-    if isinstance(regions, int):
-        regions = tiled(sections, regions)
+    if total and fill is not None:
+        raise ValueError("a total over all regions can't be filled")
     if zero_remove is not None:
         signal = signal.where(F.abs("value") >= zero_remove)
+    width = regions if isinstance(regions, int) else None
+    regions = tiled(sections, width) if width else regions
     keys = regions.columns
-    one = regions.withColumn("rid", F.xxhash64(*keys)).distinct()
-    met = overlaps(one.select("rid", "chrom", "start", "end"), signal.select("chrom", "start", "end", "value"))
-    pieces = met.select("rid", F.col("r_value").alias("v"), (F.col("o_end") - F.col("o_start")).alias("w"))
+    rid = F.struct(*keys)
+    one = regions.withColumn("rid", rid).distinct()
+    if width:  # runs are cut at the tiles' bounds; nothing is looked up
+        met = overlaps(signal.select("chrom", "start", "end", "value"), sections.select("section_id", "chrom", "start", "end"))
+        first = lambda c: F.col("r_start") + F.floor((c - F.col("r_start")) / width) * width
+        met = met.withColumn("t", F.explode(F.sequence(first(F.col("o_start")), first(F.col("o_end") - 1), F.lit(width).cast("long"))))
+        tile = F.struct(F.col("r_section_id").alias("section_id"), F.col("chrom"), F.col("t").alias("start"), F.least(F.col("t") + width, "r_end").alias("end"))
+        pieces = met.select(tile.alias("rid"), F.col("value").alias("v"), (F.least("o_end", F.col("t") + width) - F.greatest("o_start", "t")).alias("w"))
+    else:
+        met = overlaps(one.select("rid", "chrom", "start", "end"), signal.select("chrom", "start", "end", "value"))
+        pieces = met.select("rid", F.col("r_value").alias("v"), (F.col("o_end") - F.col("o_start")).alias("w"))
     if total:
-        one = regions.withColumn("rid", F.xxhash64(*keys)).groupBy("rid").agg(F.count("*").alias("times"), F.sum(F.col("end") - F.col("start")).alias("size"))
+        one = regions.withColumn("rid", rid).groupBy("rid").agg(F.count("*").alias("times"), F.sum(F.col("end") - F.col("start")).alias("size"))
         pieces = pieces.join(one.select("rid", "times"), "rid").withColumn("w", F.col("w") * F.col("times"))
     if fill is not None:
         have = pieces.groupBy("rid").agg(F.sum("w").alias("have"))
         size = one.select("rid", F.col("size") if total else (F.col("end") - F.col("start")).alias("size"))
         rest = size.join(have, "rid", "left").select("rid", F.lit(float(fill)).alias("v"), (F.col("size") - F.coalesce("have", F.lit(0))).alias("w")).where("w > 0")
         pieces = pieces.select("rid", "v", "w").union(rest)
-    wanted = _stats(F.col("v"), F.col("w"), quantiles, with_sum, squares, median)
+    wanted = _stats(F.col("v"), F.col("w"), quantiles, with_sum, median)
     if total:
         sizes = one.agg(F.sum("size").alias("size"))
-        out = sizes.crossJoin(pieces.agg(*wanted))  # one row each
+        found = pieces.agg(*wanted)
+        if squares:
+            found = found.crossJoin(_apart(pieces, found.select("mean"), []))
+        out = sizes.crossJoin(found)  # one row each
     else:
-        out = regions.withColumn("rid", F.xxhash64(*keys)).withColumn("size", F.col("end") - F.col("start")).join(pieces.groupBy("rid").agg(*wanted), "rid", "left").drop("rid")
+        found = pieces.groupBy("rid").agg(*wanted)
+        if squares:
+            found = found.join(_apart(pieces, found.select("rid", "mean"), ["rid"]), "rid")
+        out = regions.withColumn("rid", rid).withColumn("size", F.col("end") - F.col("start")).join(found, "rid", "left").drop("rid")
     out = out.withColumn("num_data", F.coalesce("num_data", F.lit(0)).cast("long"))
     if quantiles:
         out = out.select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q25", "median", "q75", "q90")))).drop("q")
-    if squares:
-        apart = F.greatest(F.lit(0.0), F.col("vv") - F.col("mean") * F.col("mean") * F.col("num_data"))
-        out = out.withColumn("sum_squares", F.when(F.col("num_data") > 0, apart)).drop("vv")
     return out
 
 
 def whole(signal: DataFrame) -> DataFrame:
     """One row: mean, total, covered bases, smallest, largest, sample standard deviation."""
-    w = F.col("end") - F.col("start")
-    n, s, ss = F.sum(w), F.sum(F.col("value") * w), F.sum(F.col("value") * F.col("value") * w)
-    return signal.agg((s / n).alias("mean"), s.alias("total"), n.alias("covered"), F.min("value").alias("min"), F.max("value").alias("max"), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(ss - s * s / n, n - 1))).alias("std"))
+    rows = signal.select(F.col("value").alias("v"), (F.col("end") - F.col("start")).alias("w"))
+    n, s = F.sum("w"), F.sum(F.col("v") * F.col("w"))
+    found = rows.agg((s / n).alias("mean"), s.alias("total"), n.alias("covered"), F.min("v").alias("min"), F.max("v").alias("max"))
+    both = found.crossJoin(_apart(rows, found.select("mean"), []))  # one row each
+    return both.withColumn("std", F.sqrt(F.try_divide("sum_squares", F.col("covered") - 1))).drop("sum_squares")
 
 
 def distribution(signal: DataFrame, mult: float = 1.0) -> DataFrame:
     """(bin, count): bases by their value times ``mult`` cut to an integer; bins between the extremes are all there."""
     bins = signal.groupBy((F.col("value") * mult).cast("long").alias("bin")).agg(F.sum(F.col("end") - F.col("start")).alias("count"))
-    reach = bins.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("bin"))
+    lo, hi = signal.agg(F.min((F.col("value") * mult).cast("long")), F.max((F.col("value") * mult).cast("long"))).first()  # two numbers
+    reach = signal.sparkSession.range(0 if lo is None else lo, 0 if lo is None else hi + 1).withColumnRenamed("id", "bin")
     return reach.join(bins, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.intervals import bases, clip, dense, merge
+from ..plans.intervals import SMALL, bases, clip, cover, cut_at, dense, merge
 from .summaries import whole
 
 TILE = 1 << 16
@@ -52,9 +52,16 @@ def roll(signal: DataFrame, sections: DataFrame, fn: str, size: int, step: int =
         raise ValueError(f"unknown function: {fn}")
     limit = size // 2 if max_na is None else (size - 1 if max_na > size else max_na)
     o = size // 2 - step // 2
-    # a window is read from its first base: rows 0 .. size - 1 ahead; it stands at first base + o
-    w = Window.partitionBy("section_id", "tile").orderBy("pos").rowsBetween(0, size - 1)
-    rows = haloed(dense(signal, sections, fill), 0, size - 1).withColumn("n", F.count("value").over(w)).withColumn("s", F.sum("value").over(w))
+    bounds = sections.select("section_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    if fill is None:  # only windows near data can have some
+        near = merge(clip(signal, sections).withColumn("start", F.col("start") - size + 1), ("section_id", "chrom")).join(bounds, "section_id")
+        near = near.select("section_id", "chrom", F.greatest("start", "s_start").alias("start"), F.least("end", "s_end").alias("end"))
+    else:
+        near = sections
+    grid = dense(signal, near, fill).drop("s_start", "s_end").join(bounds, "section_id")
+    # a window is read from its first base: places 0 .. size - 1 ahead; it stands at first base + o
+    w = Window.partitionBy("section_id", "tile").orderBy("pos").rangeBetween(0, size - 1)
+    rows = haloed(grid, 0, size - 1).withColumn("n", F.count("value").over(w)).withColumn("s", F.sum("value").over(w))
     rows = rows.where("own").where((F.col("pos") + size <= F.col("s_end")) & ((F.col("pos") - F.col("s_start")) % step == 0) & (size - F.col("n") <= limit))
     mean = F.try_divide("s", "n")
     rows = rows.where(mean.isNotNull() if min_mean is None else mean >= min_mean)
@@ -62,27 +69,39 @@ def roll(signal: DataFrame, sections: DataFrame, fn: str, size: int, step: int =
     return rows.select("section_id", "chrom", (F.col("pos") + o).alias("start"), (F.col("pos") + o + step).alias("end"), value.alias("value"))
 
 
-def paste(signals: dict[str, DataFrame], sections: DataFrame, skip_na: bool = False, skip_min: float | None = None, consts: dict[str, float] | None = None, means: bool = False, totals: bool = False, covs: bool = False) -> DataFrame:
+def paste_runs(signals: dict[str, DataFrame], sections: DataFrame) -> DataFrame:
+    """(section_id, chrom, start, end, one column for each signal): stretches of the sections in which no signal changes."""
+    rows = None
+    for i, signal in enumerate(signals.values()):
+        mine = cut_at(cover(signal, sections), SMALL)
+        part = mine.select("section_id", "chrom", "tile", "start", *(F.struct("end", "value").alias(f"x{j}") if i == j else F.lit(None).cast("struct<end:bigint,value:double>").alias(f"x{j}") for j in range(len(signals))))
+        rows = part if rows is None else rows.unionByName(part)
+    # every signal covers a tile from its start, so each has a run wherever another begins one
+    w = Window.partitionBy("section_id", "chrom", "tile").orderBy("start")
+    x = [f"x{j}" for j in range(len(signals))]
+    at = rows.select("section_id", "chrom", "start", F.lead("start").over(w).alias("next"), *(F.last(c, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias(c) for c in x))
+    once = at.where(~F.col("start").eqNullSafe(F.col("next")))
+    return once.select("section_id", "chrom", "start", F.least(*(F.col(c)["end"] for c in x)).alias("end") if len(x) > 1 else F.col("x0")["end"].alias("end"), *(F.col(c)["value"].alias(n) for c, n in zip(x, signals, strict=True)))
+
+
+def paste(signals: dict[str, DataFrame], sections: DataFrame, skip_na: bool = False, skip_min: float | None = None, consts: dict[str, float] | None = None, means: bool = False, totals: bool = False, covs: bool = False, fill: float | None = None) -> DataFrame:
     """(section_id, chrom, pos, one column for each signal, constants): a row for each base of the sections.
 
     ``skip_na`` wants data in all signals; ``skip_min`` drops bases where one is smaller (no data is not).  Whole-signal
-    means, totals and covered bases can stand beside them as constants.
+    means, totals and covered bases can stand beside them as constants.  Signals are laid side by side as runs; bases come last.
     """
     names = list(signals)
-    tagged = None
-    for i, name in enumerate(names):
-        part = bases(clip(signals[name], sections)).select("section_id", "pos", F.lit(i).alias("i"), "value")
-        tagged = part if tagged is None else tagged.unionByName(part)
-    wide = tagged.groupBy("section_id", "pos").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(n) for i, n in enumerate(names)))
-    out = bases(sections).join(wide, ["section_id", "pos"], "left").select("section_id", "chrom", "pos", *names)
-    if skip_na:
-        for n in names:
-            out = out.where(F.col(n).isNotNull())
-    if skip_min is not None:
-        for n in names:
-            out = out.where(~F.coalesce(F.col(n) < skip_min, F.lit(False)))
-    for name, x in (consts or {}).items():
-        out = out.withColumn(name, F.lit(float(x)))
+    inner = [f"s{i}" for i in range(len(names))]  # whatever the names hold
+    runs = paste_runs(dict(zip(inner, signals.values(), strict=True)), sections)
+    for n in inner:
+        if fill is not None:
+            runs = runs.withColumn(n, F.coalesce(n, F.lit(float(fill))))
+        if skip_na:
+            runs = runs.where(F.col(n).isNotNull())
+        if skip_min is not None:
+            runs = runs.where(~F.coalesce(F.col(n) < skip_min, F.lit(False)))
+    extra = [F.lit(float(x)).alias(name) for name, x in (consts or {}).items()]
+    out = bases(runs).select("section_id", "chrom", "pos", *(F.col(c).alias(n) for c, n in zip(inner, names, strict=True)), *extra)
     for n in names:
         cols = [c for c, on in (("mean", means), ("total", totals), ("covered", covs)) if on]
         if cols:  # one row

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,15 @@ E = """
  ev AS (SELECT event_type AS chrom, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', date_trunc('hour', ts)) AS BIGINT) AS pos,
    CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2),
  ch AS (SELECT DISTINCT chrom FROM ev),
- grid AS (SELECT chrom, CAST(g AS BIGINT) AS pos, v, n FROM ch CROSS JOIN range(0, 720) t(g) LEFT JOIN ev USING (chrom) WHERE false),
  d AS (SELECT c.chrom, CAST(t.g AS BIGINT) AS pos, ev.v, ev.n FROM ch c CROSS JOIN range(0, 720) t(g) LEFT JOIN ev ON ev.chrom = c.chrom AND ev.pos = t.g),
  rg AS (SELECT chrom || ':' || n_nationkey AS row_id, chrom, CAST(n_nationkey * 30 AS BIGINT) AS s, CAST(n_nationkey * 30 + 10 + n_nationkey % 7 AS BIGINT) AS e, n_name AS name,
    CASE WHEN n_nationkey % 2 = 1 THEN '-' ELSE '+' END AS strand FROM nation CROSS JOIN ch),
  mk AS (SELECT chrom, CAST(r_regionkey * 140 AS BIGINT) AS s, CAST(r_regionkey * 140 + 37 AS BIGINT) AS e FROM region CROSS JOIN ch)"""
-E = "\n".join(x for x in E.split("\n") if not x.startswith(" grid"))
 
 
 def query(sql: str | None):
     def add(f: Query) -> Query:
-        _found[f.__name__] = (f, sql and (f"WITH {E.strip()}{sql}" if sql.startswith(",") else f"WITH {E.strip()} {sql}"))
+        _found[f.__name__] = (f, sql and (f"WITH RECURSIVE {E.strip()}{sql}" if sql.startswith(",") else f"WITH {E.strip()} {sql}"))
         return f
 
     return add
@@ -80,11 +79,14 @@ def summary_quantiles(spark, sf_dir):
     return _r(summaries.summary(e, inputs.regions(spark, sf_dir, e).drop("row_id", "strand"), quantiles=True), *q).select("chrom", "start", "name", "num_data", *q)
 
 
-@query(f"SELECT rg.chrom, s AS start, round(var_pop(v) * count(v), 2) AS sum_squares, round(sum(v), 4) AS sum {_REGION} GROUP BY ALL")
+@query(
+    f", j AS (SELECT rg.row_id, rg.chrom, s, v, avg(v) OVER (PARTITION BY rg.row_id) AS m {_REGION})"
+    " SELECT chrom, s AS start, round(sum((v - m) * (v - m)), 6) AS sum_squares, round(sum(v), 4) AS sum FROM j GROUP BY row_id, chrom, s"
+)
 def summary_sos(spark, sf_dir):
     e, _ = _e(spark, sf_dir)
     out = summaries.summary(e, inputs.regions(spark, sf_dir, e).drop("row_id", "strand"), squares=True, with_sum=True)
-    return out.select("chrom", "start", F.round("sum_squares", 2).alias("sum_squares"), F.round("sum", 4).alias("sum"))
+    return out.select("chrom", "start", F.round("sum_squares", 6).alias("sum_squares"), F.round("sum", 4).alias("sum"))
 
 
 @query(f"SELECT CAST((SELECT sum(e - s) FROM rg) AS BIGINT) AS size, {_STATS} FROM rg JOIN ev ON ev.chrom = rg.chrom AND ev.pos >= rg.s AND ev.pos < rg.e")
@@ -146,7 +148,18 @@ def find_extrema(spark, sf_dir):
     return shapes.local_extrema(inputs.events(spark, sf_dir, what="count"))
 
 
-@query(None)
+_FLAT = (
+    ", r AS (SELECT chrom, pos, v, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(v) OVER w = v THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY chrom ORDER BY pos)),"
+    " g AS (SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY pos) AS i FROM r), f AS (SELECT chrom, min(pos) AS s, max(pos) + 1 AS e, any_value(v) AS v FROM g GROUP BY chrom, i),"
+    " x AS (SELECT *, CASE WHEN lag(e) OVER w = s THEN lag(v) OVER w END AS b, CASE WHEN lead(s) OVER w = e THEN lead(v) OVER w END AS a FROM f WINDOW w AS (PARTITION BY chrom ORDER BY s))"
+)
+
+
+@query(
+    _FLAT + ", m AS (SELECT chrom, s AS pos, v, row_number() OVER (PARTITION BY chrom ORDER BY v DESC, s) AS i FROM x WHERE v > b AND v > a),"
+    " t(chrom, i, taken) AS (SELECT chrom, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM ch UNION ALL SELECT t.chrom, m.i, CASE WHEN len(list_filter(t.taken, lambda y: abs(y - m.pos) < 10)) > 0 THEN t.taken ELSE list_append(t.taken, m.pos) END FROM t JOIN m ON m.chrom = t.chrom AND m.i = t.i + 1),"
+    " k AS (SELECT chrom, unnest(arg_max(taken, i)) AS pos FROM t GROUP BY chrom) SELECT k.chrom, k.pos, m.v AS value, '+' AS strand FROM k JOIN m ON m.chrom = k.chrom AND m.pos = k.pos"
+)
 def find_extrema_apart(spark, sf_dir):
     return shapes.local_extrema(_e(spark, sf_dir)[0], min_sep=10, kind="maxima")
 
@@ -419,15 +432,33 @@ def lift_signal(spark, sf_dir):
 @query(_LIFT + " SELECT chrom, pos, CASE WHEN k = 0 THEN 'deleted' ELSE 'duplicated' END AS reason FROM m WHERE k <> 1 UNION ALL SELECT chrom, pos, 'multi_mapped' FROM o WHERE n > 1")
 def lift_unlifted(spark, sf_dir):
     e, _ = _e(spark, sf_dir)
-    return lift(e, inputs.chain(spark, sf_dir, e))[1]
+    return lift(e, inputs.chain(spark, sf_dir, e))[1].select("chrom", "pos", "reason")
 
 
-@query(None)
+_CLOSED = "(q.gap + r.have + q.e - q.s > 500 AND (q.gap >= 3 OR q.chrom <> r.chrom))"
+
+
+@query(
+    ", u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS chrom, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', date_trunc('hour', ts)) AS BIGINT) AS pos FROM events),"
+    " y AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS k FROM u), z AS (SELECT chrom, min(pos) AS s, max(pos) + 1 AS e FROM y GROUP BY chrom, k),"
+    " q AS (SELECT *, CASE WHEN lag(chrom) OVER o = chrom THEN s - lag(e) OVER o ELSE 0 END AS gap, row_number() OVER o AS i FROM z WINDOW o AS (ORDER BY chrom, s)),"
+    # a row for each stretch: the chunk it is in, and what was closed before it
+    " r(i, chrom, s, e, have, chunk, c_chrom, c_s, c_e, c_chunk) AS (SELECT i, chrom, s, e, e - s, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), s, e, CAST(0 AS BIGINT) FROM q WHERE i = 1 UNION ALL"
+    f" SELECT q.i, q.chrom, CASE WHEN {_CLOSED} OR q.chrom <> r.chrom THEN q.s ELSE r.s END, q.e, CASE WHEN {_CLOSED} THEN q.e - q.s ELSE r.have + q.gap + q.e - q.s END, CASE WHEN {_CLOSED} THEN r.chunk + 1 ELSE r.chunk END,"
+    f" CASE WHEN {_CLOSED} OR q.chrom <> r.chrom THEN r.chrom END, r.s, r.e, r.chunk FROM r JOIN q ON q.i = r.i + 1)"
+    " SELECT c_chunk AS chunk, c_chrom AS chrom, c_s AS start, c_e AS \"end\" FROM r WHERE c_chrom IS NOT NULL UNION ALL (SELECT chunk, chrom, s, e FROM r ORDER BY i DESC LIMIT 1)"
+)
 def split_chunks(spark, sf_dir):
     return shapes.split_chunks(inputs.events(spark, sf_dir, chrom="user_id"), 500, 3)
 
 
-@query(None)
+_EIGHTHS = " + ".join(f"(z >= {NormalDist().inv_cdf(i / 8)!r})::INT" for i in range(1, 8))
+
+
+@query(
+    ", m AS (SELECT avg(v) AS m, stddev_samp(v) AS sd FROM ev), z AS (SELECT chrom, pos, (v - m) / sd AS z, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM ev, m)"
+    f" SELECT chrom, min(pos) AS start, max(pos) + 1 AS \"end\", string_agg(substr('ACGTVLIM', 1 + {_EIGHTHS}, 1), '' ORDER BY pos) AS word FROM z GROUP BY chrom, g"
+)
 def sax_words(spark, sf_dir):
     return shapes.sax_words(*_e(spark, sf_dir), 8)
 
@@ -443,7 +474,13 @@ def random_regions(spark, sf_dir):
     return shapes.random_regions(*_e(spark, sf_dir), 20, 15, blacklist=inputs.mask(spark, sf_dir, inputs.events(spark, sf_dir)))
 
 
-@query(None)
+@query(
+    ", b AS (SELECT rg.*, CAST(t.o AS BIGINT) AS o, CASE WHEN strand = '-' THEN e - 1 - t.o ELSE s + t.o END AS pos FROM rg, range(0, 20) t(o) WHERE t.o < e - s),"
+    " body AS (SELECT row_id, CAST(floor(o * 10 / (e - s)) AS BIGINT) + 5 AS c, avg(v) AS x FROM b JOIN ev ON ev.chrom = b.chrom AND ev.pos = b.pos GROUP BY ALL),"
+    " side AS (SELECT rg.chrom, CAST(t.o AS BIGINT) AS c, CASE WHEN strand = '-' THEN e + 4 - t.o ELSE s - 5 + t.o END AS pos FROM rg, range(0, 5) t(o)"
+    " UNION ALL SELECT rg.chrom, CAST(t.o AS BIGINT) + 15, CASE WHEN strand = '-' THEN s - 1 - t.o ELSE e + t.o END FROM rg, range(0, 5) t(o)),"
+    " k AS (SELECT c, x FROM body UNION ALL SELECT c, v FROM side JOIN ev ON ev.chrom = side.chrom AND ev.pos = side.pos) SELECT c AS \"offset\", round(avg(x), 9) AS mean FROM k GROUP BY c"
+)
 def aggregate_meta(spark, sf_dir):
     e, _ = _e(spark, sf_dir)
     return profiles.meta_vectors(inputs.regions(spark, sf_dir, e), e, 5, 10, 5).groupBy("offset").agg(F.round(F.avg("value"), 9).alias("mean"))

@@ -1,7 +1,7 @@
 """Interval algebra on DataFrames of half-open, 0-based (chrom, start, end) rows.
 
-Joins are dealt by (chrom, bin), never by chromosome alone, so one long chromosome is no hot key.  ``merge`` and
-``condense`` first work inside tiles and only then across them, on what is left.
+Joins are dealt by (chrom, bin), never by chromosome alone, so one long chromosome is no hot key.  ``merge``, ``condense``
+and ``depth`` cut intervals at tile bounds and work inside tiles; across them goes only what touches a bound.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN, TILE = 1 << 14, 1 << 20
+BIN, TILE, SMALL = 1 << 14, 1 << 20, 1 << 14
 
 
 def sections_of(sizes: DataFrame) -> DataFrame:
@@ -46,11 +46,32 @@ def _join_touching(df: DataFrame, keys: list[str], same: list[str]) -> DataFrame
     return marked.groupBy(*keys, *same, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def cut_at(intervals: DataFrame, tile: int) -> DataFrame:
+    """Intervals cut at multiples of ``tile``, with their ``tile`` number."""
+    each = intervals.where("end > start").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))))
+    return each.withColumn("start", F.greatest("start", F.col("tile") * tile)).withColumn("end", F.least("end", (F.col("tile") + 1) * tile))
+
+
 def merge(intervals: DataFrame, keys: tuple[str, ...] = ("chrom",), same: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
-    """Maximal unions of touching or overlapping intervals with equal ``keys`` (and equal ``same``)."""
+    """Maximal unions of touching or overlapping intervals with equal ``keys`` (and equal ``same``).
+
+    Intervals are joined inside tiles; only those that touch a tile's bound are joined across, a few for each tile.
+    """
     keys, same = list(keys), list(same)
-    rows = intervals.where("end > start").select(*keys, *same, "start", "end").withColumn("tile", F.floor(F.col("start") / tile))
-    return _join_touching(_join_touching(rows, [*keys, "tile"], same).drop("tile"), keys, same).select(*keys, "start", "end", *same)
+    inner = _join_touching(cut_at(intervals.select(*keys, *same, "start", "end"), tile), [*keys, "tile"], same)
+    bound = (F.col("start") % tile == 0) | (F.col("end") % tile == 0)
+    across = _join_touching(inner.where(bound).drop("tile"), keys, same)
+    return inner.where(~bound).drop("tile").unionByName(across).select(*keys, "start", "end", *same)
+
+
+def depth(intervals: DataFrame, tile: int = TILE) -> DataFrame:
+    """(chrom, start, end, depth): stretches of one depth of cover, cut at tile bounds; nothing where there is no cover."""
+    cut = cut_at(intervals.select("chrom", "start", "end"), tile)
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))
+    events = cut.select("chrom", "tile", F.explode(ends).alias("x")).select("chrom", "tile", "x.pos", "x.d")
+    w = Window.partitionBy("chrom", "tile").orderBy("pos")
+    steps = events.groupBy("chrom", "tile", "pos").agg(F.sum("d").alias("d")).withColumn("depth", F.sum("d").over(w)).withColumn("end", F.lead("pos").over(w))
+    return steps.where("depth > 0").select("chrom", F.col("pos").alias("start"), "end", "depth")
 
 
 def condense(signal: DataFrame) -> DataFrame:
@@ -70,34 +91,49 @@ def gaps(start: Column, end: Column, cuts: Column) -> Column:
     return F.filter(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda g: g["end"] > g["start"])
 
 
-def subtract(signal: DataFrame, mask: DataFrame) -> DataFrame:
-    """What of the signal lies outside the mask."""
-    met = overlaps(signal, merge(mask)).groupBy("chrom", "start", "end", "value").agg(F.sort_array(F.collect_list(F.struct(F.col("o_start").alias("start"), F.col("o_end").alias("end")))).alias("cuts"))
-    cut = met.select("chrom", F.explode(gaps(F.col("start"), F.col("end"), F.col("cuts"))).alias("g"), "value").select("chrom", "g.start", "g.end", "value")
-    return signal.join(met.select("chrom", "start", "end"), ["chrom", "start", "end"], "left_anti").select("chrom", "start", "end", "value").union(cut)
+def subtract(signal: DataFrame, mask: DataFrame, tile: int = SMALL) -> DataFrame:
+    """What of the signal lies outside the mask; runs are cut at tile bounds."""
+    cuts = cut_at(_join_touching(cut_at(mask.select("chrom", "start", "end"), tile), ["chrom", "tile"], []), tile)
+    cuts = cuts.groupBy("chrom", "tile").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    both = cut_at(signal.select("chrom", "start", "end", "value"), tile).join(cuts, ["chrom", "tile"], "left")
+    mine = F.filter(F.coalesce("cuts", none), lambda c: (c["start"] < F.col("end")) & (c["end"] > F.col("start")))
+    return both.select("chrom", F.explode(gaps(F.col("start"), F.col("end"), mine)).alias("g"), "value").select("chrom", "g.start", "g.end", "value")
 
 
-def complement(signal: DataFrame, sections: DataFrame, tile: int = TILE) -> DataFrame:
+def complement(signal: DataFrame, sections: DataFrame, tile: int = SMALL) -> DataFrame:
     """(section_id, chrom, start, end): the parts of sections without signal, cut at tile bounds."""
-    tiles = sections.select("section_id", "chrom", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("t"), "start", "end").where("end > start")
-    tiles = tiles.select("section_id", "chrom", F.greatest("start", F.col("t") * tile).alias("start"), F.least("end", (F.col("t") + 1) * tile).alias("end"))
-    met = overlaps(tiles, signal.select("chrom", "start", "end")).groupBy("section_id", "chrom", "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("o_start").alias("start"), F.col("o_end").alias("end")))).alias("cuts"))
-    all_ = tiles.join(met, ["section_id", "chrom", "start", "end"], "left")
+    return _gaps(signal, sections, tile).select("section_id", "chrom", "start", "end")
+
+
+def _gaps(signal: DataFrame, sections: DataFrame, tile: int = SMALL) -> DataFrame:
+    keys = ["section_id", "chrom", "s_start", "s_end", "start", "end"]
+    tiles = cut_at(sections.select("section_id", "chrom", F.col("start").alias("s_start"), F.col("end").alias("s_end"), "start", "end"), tile).select(*keys)
+    met = overlaps(tiles, signal.select("chrom", "start", "end")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("o_start").alias("start"), F.col("o_end").alias("end")))).alias("cuts"))
+    all_ = tiles.join(met, keys, "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return all_.select("section_id", "chrom", F.explode(gaps(F.col("start"), F.col("end"), F.coalesce("cuts", none))).alias("g")).select("section_id", "chrom", "g.start", "g.end")
+    return all_.select(*keys[:4], F.explode(gaps(F.col("start"), F.col("end"), F.coalesce("cuts", none))).alias("g")).select(*keys[:4], "g.start", "g.end")
+
+
+def cover(signal: DataFrame, sections: DataFrame, fill: float | None = None, tile: int = SMALL) -> DataFrame:
+    """(section_id, chrom, s_start, s_end, start, end, value): all of the sections in runs, cut at tile bounds.
+
+    Where there is no signal, runs have NULL or ``fill``.
+    """
+    runs = overlaps(signal, sections).select(F.col("r_section_id").alias("section_id"), "chrom", F.col("r_start").alias("s_start"), F.col("r_end").alias("s_end"), F.col("o_start").alias("start"), F.col("o_end").alias("end"), "value")
+    rest = _gaps(signal, sections, tile).withColumn("value", F.lit(fill).cast("double"))
+    return cut_at(runs, tile).drop("tile").unionByName(rest)
 
 
-def bases(intervals: DataFrame) -> DataFrame:
-    """A row for each base: ``pos`` in place of start and end."""
-    return intervals.where("end > start").withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).drop("start", "end")
+def bases(intervals: DataFrame, tile: int = SMALL) -> DataFrame:
+    """A row for each base: ``pos`` in place of start and end.  Long intervals are cut first: no array holds more than a tile."""
+    each = cut_at(intervals, tile).drop("tile")
+    return each.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("end") - 1))).drop("start", "end")
 
 
 def dense(signal: DataFrame, sections: DataFrame, fill: float | None = None) -> DataFrame:
     """(section_id, chrom, s_start, s_end, pos, value) for every base of the sections; NULL (or ``fill``) where there is no signal."""
-    grid = bases(sections.withColumn("s_start", F.col("start")).withColumn("s_end", F.col("end")))
-    values = bases(signal).select("chrom", "pos", "value")
-    out = grid.join(values, ["chrom", "pos"], "left").select("section_id", "chrom", "s_start", "s_end", "pos", "value")
-    return out if fill is None else out.withColumn("value", F.coalesce("value", F.lit(float(fill))))
+    return bases(cover(signal, sections, fill)).select("section_id", "chrom", "s_start", "s_end", "pos", "value")
 
 
 def tiled(sections: DataFrame, width: int) -> DataFrame:

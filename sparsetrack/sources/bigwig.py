@@ -6,15 +6,20 @@ zlib-compressed; an R-tree over the sections; a summary of the whole.  Values ar
 
 from __future__ import annotations
 
+import shutil
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from .text import located
+
 # Fixed values of the format.
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BLOCK, SLOT = 256, 1024
@@ -149,6 +154,7 @@ class BigWig(DataSource):
 
 
 def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
+    path = located(path)
     spark.dataSource.register(BigWig)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("bigwig").load(path)
@@ -158,8 +164,48 @@ def bigwig_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(list(File(path).chroms.values()), "chrom string, size long")
 
 
+PACKED = "chrom string, first long, last long, raw binary, covered long, least double, most double, total double, squares double"
+
+
+def _pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sections of sorted rows, without their chromosome's number; whole ones but at the end of a task or chromosome."""
+    held = None
+    for part in parts:
+        held = part if held is None else pd.concat((held, part), ignore_index=True)
+        yield from _sections(held, False)
+        held = held.iloc[len(held) - _left(held) :].reset_index(drop=True)
+    if held is not None:
+        yield from _sections(held, True)
+
+
+def _left(rows: pd.DataFrame) -> int:
+    """Rows of the last section, which may go on."""
+    return int((rows["chrom"] == rows["chrom"].iloc[-1]).sum() - 1) % SLOT + 1 if len(rows) else 0
+
+
+def _sections(rows: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+    rows = rows if last else rows.iloc[: len(rows) - _left(rows)]
+    out = []
+    for chrom, mine in rows.groupby("chrom", sort=False):
+        for at in range(0, len(mine), SLOT):
+            x = mine.iloc[at : at + SLOT]
+            items = np.rec.fromarrays((x["start"], x["end"], x["value"]), dtype="<u4,<u4,<f4")
+            v, w = x["value"].to_numpy(), (x["end"] - x["start"]).to_numpy()
+            out.append((chrom, x["start"].iloc[0], x["end"].iloc[-1], struct.pack("<H", len(x)) + items.tobytes(), w.sum(), v.min(), v.max(), (v * w).sum(), (v * v * w).sum()))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
+
+
 def write_bigwig(signal: DataFrame, sizes: DataFrame, path: str) -> None:
-    """Write one file; sorted rows stream through the driver a partition at a time (the format is one file in one order)."""
+    """Write one file.  Tasks pack sections of sorted rows; these stream through the driver, which sets them one behind the
+    other and writes the index (the format is one file in one order).  A path with a scheme is written by its file system.
+    """
+    if "://" in path:
+        with tempfile.NamedTemporaryFile(suffix=".bw") as whole:  # the driver's own
+            write_bigwig(signal, sizes, whole.name)
+            fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+            with open(whole.name, "rb") as f, fs.open_output_stream(inner) as out:
+                shutil.copyfileobj(f, out, 1 << 20)
+        return
     chroms = sorted((r["chrom"], r["size"]) for r in sizes.collect())
     number = {n: i for i, (n, _) in enumerate(chroms)}
     key = max([1, *(len(n) for n, _ in chroms)])
@@ -175,28 +221,13 @@ def write_bigwig(signal: DataFrame, sizes: DataFrame, path: str) -> None:
             out.write(n.encode().ljust(key, b"\0") + struct.pack("<II", i, size))
         data = out.tell()
         out.write(b"\0" * 8)
-        held: list[tuple[int, int, float]] = []
-        now = None
-
-        def flush():
-            nonlocal held
-            if held:
-                body = b"".join(struct.pack("<IIf", *x) for x in held)
-                raw = zlib.compress(struct.pack("<IIIIIBBH", now, held[0][0], held[-1][1], 0, 0, 1, 0, len(held)) + body)
-                leaves.append((now, held[0][0], held[-1][1], out.tell(), len(raw)))
-                out.write(raw)
-                held = []
-
-        for r in signal.orderBy("chrom", "start").toLocalIterator():
-            if r["chrom"] != (None if now is None else chroms[now][0]):
-                flush()
-                now = number[r["chrom"]]
-            held.append((r["start"], r["end"], r["value"]))
-            w = r["end"] - r["start"]
-            stats = [stats[0] + w, min(stats[1], r["value"]), max(stats[2], r["value"]), stats[3] + w * r["value"], stats[4] + w * r["value"] ** 2]
-            if len(held) == SLOT:
-                flush()
-        flush()
+        dealt = signal.where("value is not null").select("chrom", "start", "end", "value").repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
+        for r in dealt.mapInPandas(_pack, PACKED).toLocalIterator():
+            i, n = number[r["chrom"]], struct.unpack("<H", r["raw"][:2])[0]
+            raw = zlib.compress(struct.pack("<IIIIIBBH", i, r["first"], r["last"], 0, 0, 1, 0, n) + r["raw"][2:])
+            leaves.append((i, r["first"], r["last"], out.tell(), len(raw)))
+            out.write(raw)
+            stats = [stats[0] + r["covered"], min(stats[1], r["least"]), max(stats[2], r["most"]), stats[3] + r["total"], stats[4] + r["squares"]]
         if not leaves:
             raise ValueError("a signal without data can't be written")
         index = out.tell()

@@ -30,22 +30,46 @@ def write_wig(signal: DataFrame, out: IO[str], kind: str = "var", decimals: int
         before = (r["chrom"], r["end"])
 
 
-def write_table(df: DataFrame, out: IO[str], columns: list[str], decimals: int = 2, order: list[str] | None = None, header: bool = False, missing: str = "NA") -> None:
-    """Tab-separated columns; arrays become comma lists."""
+def write_table(df: DataFrame, out: IO[str], columns: list[str], decimals: int = 2, order: list[str] | None = None, header: bool = False, missing: str = "NA", between: str = ",", labels: list[str] | None = None) -> None:
+    """Tab-separated columns; arrays become lists, with ``between`` between their values."""
     if header:
-        out.write("#" + "\t".join(columns) + "\n")
+        out.write("#" + "\t".join(labels or columns) + "\n")
 
     def text(v):
         if v is None:
             return missing
         if isinstance(v, float):
             return number(v, decimals)
-        return ",".join(map(text, v)) if isinstance(v, list) else str(v)
+        return between.join(map(text, v)) if isinstance(v, list) else str(v)
 
     for r in (df.orderBy(*order) if order else df).toLocalIterator():
         out.write("\t".join(text(r[c]) for c in columns) + "\n")
 
 
+def write_steps(df: DataFrame, out: IO[str], columns: list[str], kind: str, decimals: int, order: list[str], step: int = 1) -> None:
+    """Rows with start and end as bg, var or fix text; the latter two have a new header wherever rows don't follow each other."""
+    before = None
+    for r in df.orderBy(*order).toLocalIterator():
+        values = "\t".join(number(r[c], decimals) for c in columns)
+        if kind == "bg":
+            out.write(f"{r['chrom']}\t{r['start']}\t{r['end']}\t{values}\n")
+            continue
+        if before != (r["chrom"], r["start"]):
+            out.write(f"fixedStep chrom={r['chrom']} start={r['start'] + 1} step={step} span={step}\n" if kind == "fix" else f"variableStep chrom={r['chrom']} span={step}\n")
+        out.write((f"{r['start'] + 1}\t" if kind == "var" else "") + values + "\n")
+        before = (r["chrom"], r["start"] + step)
+
+
+def write_listed(lines: DataFrame, out: IO[str], decimals: int = 2) -> None:
+    """Values one below the other, under a line with the name of each region."""
+    before = None
+    for r in lines.orderBy("row_id", "idx").toLocalIterator():
+        if r["row_id"] != before:
+            out.write(f"# {r['name']}\n")
+            before = r["row_id"]
+        out.write(number(r["value"], decimals) + "\n")
+
+
 def write_words(words: DataFrame, out: IO[str], width: int = 60) -> None:
     """Symbolic words, 60 letters to a line under a name for each stretch."""
     for r in words.orderBy("chrom", "start").toLocalIterator():
@@ -56,21 +80,20 @@ def write_words(words: DataFrame, out: IO[str], width: int = 60) -> None:
 
 def write_matrix(matrix: DataFrame, path: str, labels: bool = False) -> None:
     """The binary matrix: nine 64-bit numbers, rows of doubles at 4,096, then (optionally) the regions as text."""
-    columns = ["chrom", "start", "end", "strand"]
+    columns = [c for c in ("chrom", "start", "end", "name", "score", "strand") if c in matrix.columns]
     rows = cols = 0
-    lines = []
     with open(path, "wb") as out:
         out.write(b"\0" * ALIGN)
-        for r in matrix.orderBy("row_id").toLocalIterator():
+        for r in matrix.orderBy("row_id").select("values").toLocalIterator():
             v = np.array([np.nan if x is None else x for x in r["values"]], "<f8")
             out.write(v.tobytes())
             rows, cols = rows + 1, len(v)
-            lines.append("\t".join(str(r[c]) for c in columns))
         size = rows * cols * 8
         at = -(-(ALIGN + size) // ALIGN) * ALIGN if labels else 0
-        if labels:
+        if labels:  # a second pass, so nothing is held
             out.seek(at)
-            out.write(("\n".join(lines) + "\n").encode())
+            for r in matrix.orderBy("row_id").select(*columns).toLocalIterator():
+                out.write(("\t".join(map(str, r)) + "\n").encode())
         out.seek(0)
         out.write(struct.pack("<9Q", MATRIX_MAGIC, MATRIX_VERSION, 0, rows, cols, 8, size, ALIGN, at))
 

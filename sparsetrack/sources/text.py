@@ -12,44 +12,102 @@ from pyspark.sql import functions as F
 SIGNAL = "chrom string, start long, end long, value double"
 
 
+def located(path: str) -> str:
+    """A local file by its whole path, since Spark and its tasks have folders of their own; other paths as they are."""
+    return os.path.abspath(path) if "://" not in path and os.path.exists(path) else path
+
+
+class Steps:
+    """Runs of the lines of a signal text, from any place in it: after ``since`` values under the step line ``header``.
+
+    Positions in fixed and variable steps are 1-based there and 0-based here.
+    """
+
+    def __init__(self, header: str | None = None, since: int = 0):
+        self.mode, self.chrom, self.at, self.step, self.width = "bed", "", 0, 1, 1
+        self.header, self.since = header, since
+        if header is not None:
+            self._begin(header)
+            self.at += since * self.step
+
+    def _begin(self, header: str) -> None:
+        self.mode, *options = header.split()
+        o = dict(x.split("=", 1) for x in options)
+        self.chrom, self.at, self.step, self.width = o["chrom"], int(o.get("start", 1)) - 1, int(o.get("step", 1)), int(o.get("span", 1))
+
+    def rows(self, lines: Iterable[str], values: bool = True) -> Iterator[tuple[str, int, int, float]]:
+        """Runs, or (not ``values``) nothing, but the place is kept."""
+        for line in lines:
+            f = line.split()
+            if not f or f[0].startswith("#") or f[0] in ("track", "browser"):
+                continue
+            if f[0] in ("fixedStep", "variableStep"):
+                self.header, self.since = line, 0
+                self._begin(line)
+                continue
+            self.since += 1
+            if not values:
+                continue
+            if len(f) == 4:
+                yield f[0], int(f[1]), int(f[2]), float(f[3])
+            elif self.mode == "fixedStep":
+                yield self.chrom, self.at, self.at + self.width, float(f[0])
+                self.at += self.step
+            elif self.mode == "variableStep":
+                yield self.chrom, int(f[0]) - 1, int(f[0]) - 1 + self.width, float(f[1])
+            else:
+                raise ValueError(f"no signal line: {line!r}")
+
+
 def signal_rows(lines: Iterable[str]) -> Iterator[tuple[str, int, int, float]]:
-    """Runs of one signal text; positions in fixed and variable steps are 1-based there and 0-based here."""
-    mode, chrom, at, step, width = "bed", "", 0, 1, 1
-    for line in lines:
-        f = line.split()
-        if not f or f[0].startswith("#") or f[0] in ("track", "browser"):
-            continue
-        if f[0] in ("fixedStep", "variableStep"):
-            o = dict(x.split("=", 1) for x in f[1:])
-            mode, chrom, at, step, width = f[0], o["chrom"], int(o.get("start", 1)) - 1, int(o.get("step", 1)), int(o.get("span", 1))
-        elif len(f) == 4:
-            yield f[0], int(f[1]), int(f[2]), float(f[3])
-        elif mode == "fixedStep":
-            yield chrom, at, at + width, float(f[0])
-            at += step
-        elif mode == "variableStep":
-            yield chrom, int(f[0]) - 1, int(f[0]) - 1 + width, float(f[1])
-        else:
-            raise ValueError(f"no signal line: {line!r}")
+    """Runs of one signal text."""
+    return Steps().rows(lines)
+
+
+def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], pd.Series]]:
+    """Lines of a task, by file and block; those of a block follow each other."""
+    for part in parts:
+        key = part["path"] + "\0" + part["block"].astype(str)
+        for _, mine in part.groupby((key != key.shift()).cumsum()):
+            yield (mine["path"].iloc[0], int(mine["block"].iloc[0])), mine["value"]
+
+
+def _ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last step line of each block, and how many values come after it."""
+    found: dict[tuple[str, int], Steps] = {}
+    for key, lines in _blocks(parts):
+        for _ in found.setdefault(key, Steps()).rows(lines, values=False):
+            pass
+    yield pd.DataFrame([(*k, s.header, s.since) for k, s in found.items()], columns=["path", "block", "header", "since"])
 
 
 def read_wig(spark: SparkSession, path: str) -> DataFrame:
-    """A signal from one or more text files; a file is read by one task, since its headers hold for what follows them.
+    """A signal from one or more text files; NaN values are no data.
 
-    NaN values are no data.
+    Step lines hold for what follows them, so files are read twice, block by block: first for each block's last step line (a
+    row for each block passes the driver), then for the values, with the step line that each block begins under.
     """
+    lines = spark.read.text(located(path)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    begin: dict[tuple[str, int], tuple[str | None, int]] = {}
+    before: dict[str, tuple[str | None, int]] = {}
+    for r in lines.mapInPandas(_ends, "path string, block long, header string, since long").orderBy("path", "block").collect():
+        header, since = before.get(r["path"], (None, 0))
+        begin[(r["path"], r["block"])] = header, since
+        before[r["path"]] = (header, since + r["since"]) if r["header"] is None else (r["header"], r["since"])
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for text in part["value"]:
-                yield pd.DataFrame(list(signal_rows(text.splitlines())), columns=["chrom", "start", "end", "value"])
+        open_: dict[tuple[str, int], Steps] = {}
+        for key, block in _blocks(parts):
+            if key not in open_:
+                open_ = {key: Steps(*begin[key])}
+            yield pd.DataFrame(list(open_[key].rows(block)), columns=["chrom", "start", "end", "value"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, SIGNAL).where(~F.isnan("value"))
+    return lines.mapInPandas(parse, SIGNAL).where(~F.isnan("value"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """Regions with row_id in file order; missing names, scores and strands are ``.``, 0 and ``+``; blocks become arrays."""
-    lines = spark.read.text(path).withColumn("row_id", F.monotonically_increasing_id()).where("value <> '' and not value rlike '^(#|track|browser)'")
+    lines = spark.read.text(located(path)).withColumn("row_id", F.monotonically_increasing_id()).where("value <> '' and not value rlike '^(#|track|browser)'")
     f = F.split("value", r"\s+")
     get = lambda i, kind: F.try_element_at(f, F.lit(i + 1)).try_cast(kind)
     ints = lambda i: F.transform(F.filter(F.split(get(i, "string"), ","), lambda x: x != ""), lambda x: x.cast("long"))
@@ -60,7 +118,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema="chrom string, size long")
+    return spark.read.csv(located(path), sep="\t", schema="chrom string, size long")
 
 
 def chain_rows(lines: Iterable[str]) -> Iterator[tuple]:
@@ -89,7 +147,7 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
             for text in part["value"]:
                 yield pd.DataFrame(list(chain_rows(text.splitlines())), columns=names)
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, kinds)
+    return spark.read.text(located(path), wholetext=True).mapInPandas(parse, kinds)
 
 
 def chain_sizes(blocks: DataFrame) -> DataFrame:
@@ -105,7 +163,7 @@ def labelled_files(names: str | list[str], index: int | None = None) -> list[tup
         for line in open(paths[0], encoding="utf-8"):
             f = line.split()
             if f and os.path.exists(f[0]):
-                out.append((f[1] if len(f) > 1 else os.path.basename(f[0]), f[0]))
+                out.append((f[1] if len(f) > 1 else f[0], f[0]))
     else:
-        out = [(os.path.basename(p), p) for p in paths]
+        out = [(p, p) for p in paths]
     return out if index is None else out[index : index + 1]

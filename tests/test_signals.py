@@ -134,9 +134,9 @@ def test_command_line(s, spark, tmp_path):
     assert out.read_text().splitlines()[0] == "c\t2\t3\t3.00"
     (tmp_path / "r.bed").write_text("c\t2\t6\tn\n")
     run("matrix", "2:2", tmp_path / "r.bed", wig, out)
-    assert out.read_text() == "3.00,3.00,5.00,4.00\n"
+    assert out.read_text() == "3.00\t3.00\t5.00\t4.00\n"
     run("agg", "2:2", tmp_path / "r.bed", wig, out)
-    assert out.read_text().splitlines()[0].endswith("-2\t3.000000")
+    assert out.read_text().splitlines()[0] == "-2\t3.000000"
 
 
 def test_stream(s, spark, tmp_path):
@@ -146,3 +146,94 @@ def test_stream(s, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("tiles"), "start", "num_data") == [(0, 7), (8, 7)]
+
+
+RUNS = "chrom string, start long, end long, value double"
+
+
+def test_second_moments_do_not_cancel(spark):
+    v = spark.createDataFrame([("c", i, i + 1, 1e8 + i % 3) for i in range(30)], RUNS)
+    r = spark.createDataFrame([("c", 0, 30)], "chrom string, start long, end long")
+    assert summaries.summary(v, r, squares=True).first().sum_squares == pytest.approx(20, abs=1e-9)
+    assert summaries.summary(v, r, squares=True, total=True).first().sum_squares == pytest.approx(20, abs=1e-9)
+    assert summaries.whole(v).first()["std"] == pytest.approx((20 / 29) ** 0.5, abs=1e-12)
+    with pytest.raises(ValueError):
+        summaries.summary(v, r, fill=0.0, total=True)
+
+
+def test_distribution_of_a_wide_range(spark):
+    v = spark.createDataFrame([("c", 0, 5, -2.5), ("c", 9, 10, 3e9)], RUNS)
+    d = summaries.distribution(v)
+    assert d.count() == 3_000_000_003 and rows(d.where("count > 0"), "bin", "count") == [(-2, 5), (3_000_000_000, 1)]
+    assert summaries.distribution(v.limit(0)).count() == 0
+
+
+def test_a_whole_chromosome(spark):
+    """Two hundred and fifty million bases, nearly all without data."""
+    n = 250_000_000
+    sec = sections_of(spark.createDataFrame([("c", n)], "chrom string, size long"))
+    v = spark.createDataFrame([("c", 5_000_000, 5_000_003, 2.0), ("c", 249_999_999, n, 1.0)], RUNS)
+    assert rows(windows.roll(v, sec, "total", 3, max_na=0), "start", "value") == [(5_000_001, 6.0)]
+    assert rows(windows.window(v, sec, 2, skip_na=True), "start") == [(5_000_000,), (5_000_001,)]
+    assert rows(windows.paste({"a.x": v, "b": v}, sec, skip_na=True), "pos", "a.x", "b") == [(p, x, x) for p, x in ((5_000_000, 2.0), (5_000_001, 2.0), (5_000_002, 2.0), (249_999_999, 1.0))]
+    runs = windows.paste_runs({"a": v, "b": v.limit(1)}, sec)
+    assert runs.selectExpr("sum(end - start)").first()[0] == n
+    empty = v.limit(0)
+    assert windows.roll(empty, sec, "mean", 24).count() == 0
+    assert filters.find_threshold(spark.createDataFrame([("c", 0, n, 1.0)], RUNS), "more", 0).first()["end"] == n
+
+
+def test_depth_and_merge_across_tiles(spark):
+    from sparsetrack.plans.intervals import depth
+
+    r = spark.createDataFrame([("c", 2, 50), ("c", 10, 20), ("c", 15, 33), ("c", 60, 61), ("d", 0, 4)], "chrom string, start long, end long")
+    deep = {p: x.depth for x in depth(r, 8).collect() if x.chrom == "c" for p in range(x.start, x.end)}
+    assert deep == {p: (2 <= p < 50) + (10 <= p < 20) + (15 <= p < 33) + (p == 60) for p in range(61) if 2 <= p < 50 or p == 60}
+    assert rows(merge(r, tile=8), "chrom", "start", "end") == [("c", 2, 50), ("c", 60, 61), ("d", 0, 4)]
+
+
+def test_paste_of_changing_runs(s, sec, spark):
+    other = spark.createDataFrame([("c", 1, 9, 4.0), ("c", 9, 11, 5.0), ("c", 15, 16, 1.0)], RUNS)
+    got = {r.pos: (r.a, r.b) for r in windows.paste({"a": condense(s), "b": other}, sec).collect()}
+    assert got == {p: (None if VALUES[p] is None else float(VALUES[p]), 4.0 if 1 <= p < 9 else 5.0 if 9 <= p < 11 else 1.0 if p == 15 else None) for p in range(16)}
+    filled = windows.paste({"a": s, "b": other}, sec, fill=0.5).where("b = 0.5")
+    assert filled.count() == 5
+
+
+def test_text_in_blocks(spark, tmp_path):
+    """A step line holds in the blocks after its own, however small these are."""
+    lines = ["track type=wiggle_0", "fixedStep chrom=c start=3 step=2 span=1", *(str(i) for i in range(400)), "variableStep chrom=d span=2", *(f"{5 * i + 1}\t{i}" for i in range(300)), "e\t7\t9\t1.5"]
+    (tmp_path / "a.wig").write_text("\n".join(lines) + "\n")
+    want = sorted(text.signal_rows(lines))
+    for size in ("134217728", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert rows(text.read_wig(spark, str(tmp_path / "a.wig")), "chrom", "start", "end", "value") == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_random_regions_without_data(s, sec):
+    assert shapes.random_regions(s.limit(0), sec, 3, 4, max_na=1.0).count() == 3
+    assert shapes.random_regions(s.limit(0), sec, 3, 4).count() == 0
+
+
+def test_lift_runs(spark):
+    chain = "chain 1 c 100 + 0 40 d 90 + 10 50 1\n40\n\nchain 1 c 100 + 30 60 d 90 - 0 30 2\n30\n\nchain 1 c 100 + 70 80 d 90 + 45 55 3\n10\n"
+    kinds = "chain_id string, t_name string, t_start long, t_end long, q_name string, q_start long, q_size long, q_strand string, chain_t_start long, chain_t_end long"
+    blocks = spark.createDataFrame(list(text.chain_rows(chain.splitlines())), kinds)
+    one = spark.createDataFrame([("c", 0, 90, 1.0)], RUNS)
+    each = spark.createDataFrame([("c", p, p + 1, 1.0) for p in range(90)], RUNS)
+    bases = lambda df: sorted((r["chrom"], p, r["value"]) for r in df.collect() for p in range(r["start"], r["end"]))
+    (a, left), (b, rest) = lift(one, blocks), lift(each, blocks)
+    assert bases(a) == bases(b) and rows(left, "pos", "reason") == rows(rest, "pos", "reason")
+    target = {}
+    for p in range(90):
+        hits = [10 + p] * (p < 40) + [89 - (p - 30)] * (30 <= p < 60) + [45 + p - 70] * (70 <= p < 80)
+        if len(hits) == 1:
+            target.setdefault(hits[0], []).append(p)
+    assert bases(a) == [("d", q, 1.0) for q in sorted(target) if len(target[q]) == 1]
+    assert {r.pos for r in left.where("reason = 'multi_mapped'").collect()} == {p for ps in target.values() if len(ps) > 1 for p in ps}
+    small = spark.createDataFrame([("d", 20)], "chrom string, size long")
+    up, left = lift(one, blocks, small)
+    assert all(q < 20 for _, q, _ in bases(up)) and left.where("reason = 'off_end'").count() == len([q for q, ps in target.items() if len(ps) == 1 and q >= 20])
