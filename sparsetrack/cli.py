@@ -325,7 +325,7 @@ def _matrix(spark, o) -> None:
             return _clusters_long(o, df, names, columns)
         df = df.withColumn("label", F.coalesce("label", F.lit(-1)))
         order, front = ["label", "distance", "row_id"], [*front, "label", "distance"]
-        df = df.withColumn("distance", F.format_number(F.coalesce("distance", F.lit(0.0)), "0.000000"))
+        df = df.withColumn("distance", F.format_string("%.6f", F.coalesce("distance", F.lit(0.0))))
     if o.binary_matrix:
         sinks.write_matrix(df, o.out, o.keep_bed)
         return

@@ -64,7 +64,7 @@ def _apart(min_sep: int):
 
 
 def sax(signal: DataFrame, k: int, mean: float | None = None, std: float | None = None) -> DataFrame:
-    """(chrom, start, end, bin, letter) of each run: its z-value's place among k equally likely normal intervals.
+    """(chrom, start, end, value, bin, letter) of each run: its z-value's place among k equally likely normal intervals.
 
     Without ``mean`` and ``std`` those of the whole signal (sample deviation) are taken.
     """
@@ -79,7 +79,7 @@ def sax(signal: DataFrame, k: int, mean: float | None = None, std: float | None
     z = (F.col("value") - F.col("m")) / F.col("sd")
     bin_ = sum((F.when(z >= b, 1).otherwise(0) for b in breaks), F.lit(0))
     letters = LETTERS.get(k, "".join(chr(65 + i) for i in range(k)))
-    return rows.withColumn("bin", bin_).select("chrom", "start", "end", "bin", F.substring(F.lit(letters), F.col("bin") + 1, F.lit(1)).alias("letter"))
+    return rows.withColumn("bin", bin_).select("chrom", "start", "end", "value", "bin", F.substring(F.lit(letters), F.col("bin") + 1, F.lit(1)).alias("letter"))
 
 
 def sax_words(signal: DataFrame, sections: DataFrame, k: int, mean: float | None = None, std: float | None = None) -> DataFrame:
