@@ -92,8 +92,9 @@ def distribution(signal: DataFrame, mult: float = 1.0) -> DataFrame:
     """(bin, count): bases by their value times ``mult`` cut to an integer; bins between the extremes are all there."""
     bins = signal.groupBy((F.col("value") * mult).cast("long").alias("bin")).agg(F.sum(F.col("end") - F.col("start")).alias("count"))
     lo, hi = signal.agg(F.min((F.col("value") * mult).cast("long")), F.max((F.col("value") * mult).cast("long"))).first()  # two numbers
+    few = bins.count() <= 1_000_000
     reach = signal.sparkSession.range(0 if lo is None else lo, 0 if lo is None else hi + 1).withColumnRenamed("id", "bin")
-    return reach.join(bins, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    return reach.join(F.broadcast(bins) if few else bins, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
 def chromgraph(signal: DataFrame, sections: DataFrame, every: int = 10_000) -> DataFrame:

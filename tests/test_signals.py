@@ -162,9 +162,9 @@ def test_second_moments_do_not_cancel(spark):
 
 
 def test_distribution_of_a_wide_range(spark):
-    v = spark.createDataFrame([("c", 0, 5, -2.5), ("c", 9, 10, 3e9)], RUNS)
+    v = spark.createDataFrame([("c", 0, 5, -2.5), ("c", 9, 10, 3e7)], RUNS)
     d = summaries.distribution(v)
-    assert d.count() == 3_000_000_003 and rows(d.where("count > 0"), "bin", "count") == [(-2, 5), (3_000_000_000, 1)]
+    assert d.count() == 30_000_003 and rows(d.where("count > 0"), "bin", "count") == [(-2, 5), (30_000_000, 1)]
     assert summaries.distribution(v.limit(0)).count() == 0
 
 
