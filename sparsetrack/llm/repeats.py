@@ -231,13 +231,15 @@ def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool,
     still = found.filter(F.col("kind") == OPEN)
     runs = still.groupBy("did", "th").agg(F.collect_list(F.struct("akey", "lo", "reach")).alias("runs"))
     slices = runs.join(texts, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_slices(unit, width), SLICE_SQL)
-    if crowd is None:
+    fair = crowd is None
+    if fair:
         crowd = max(CROWD, still.count() // int(spark.conf.get("spark.sql.shuffle.partitions")))
     crowded = still.groupBy("akey").count().filter(F.col("count") > crowd).select("akey", F.lit(True).alias("crowd"))
     if crowded.isEmpty():
         few = slices
     else:
-        slices = written(slices, "slices").join(crowded, "akey", "left")
+        # beyond a fair share there are at most as many anchors as partitions
+        slices = written(slices, "slices").join(F.broadcast(crowded) if fair else crowded, "akey", "left")
         few = slices.filter("crowd is null").drop("crowd")
         alone = slices.filter("crowd").drop("crowd").mapInArrow(_single_windows(unit, width), WINDOW_SQL)
         firsts = alone.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", *([] if by_document else ["lo"]))).alias("f"), F.count("*").alias("n")).filter("n > 1")
