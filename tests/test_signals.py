@@ -32,7 +32,9 @@ def rows(df, *cols):
 
 def test_runs_and_bases_agree(s, sec):
     a, b = (summaries.summary(x, 5, sec, quantiles=True, squares=True).drop("section_id").orderBy("start").collect() for x in (s, condense(s)))
-    assert a == b
+    # deviations around a mean are summed in another order
+    plain = lambda r: {k: v for k, v in r.asDict().items() if k != "chrom"}
+    assert len(a) == len(b) and all(x.chrom == y.chrom and plain(x) == pytest.approx(plain(y), rel=1e-12) for x, y in zip(a, b))
     assert a[1].num_data == 3 and a[1].median == 4.0
 
 
