@@ -77,6 +77,22 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(c.n_hit, 0) as n_
 from words w left join covered c using (doc_id) left join named n using (doc_id)
 """
 
+RANKED_SEARCH = """
+with items as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark),
+words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+counts as (select doc_id, x, count(*) as tf from (select doc_id, unnest(w) as x from words) group by doc_id, x),
+sizes as (select doc_id, len(w) as n from words where len(w) > 0),
+whole as (select count(*) as many, cast(sum(n) as bigint) as total from sizes),
+weights as (select x, cast(floor(1000 * ln((2 * any_value(many) + 2)::double / (2 * count(*) + 1)::double)) as bigint) as weight from counts, whole group by x),
+asked as (select item_id, x, count(*) as times from (select item_id, unnest(w) as x from items) group by item_id, x),
+scores as (
+  select item_id, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * many) // total)))) as bigint) as score
+  from asked join weights using (x) join counts using (x) join sizes using (doc_id), whole group by item_id, doc_id
+),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scores where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": SUFFIX_DEDUP, "op6_minmax_dedup": NEAR_DUPLICATES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_decontaminate": DECONTAMINATION}
+    return {"op3_suffix_dedup": SUFFIX_DEDUP, "op6_minmax_dedup": NEAR_DUPLICATES, "op7_substring_dedup": SUBSTRING_DEDUP, "op8_decontaminate": DECONTAMINATION, "op13_ranked_search": RANKED_SEARCH}
