@@ -107,9 +107,9 @@ class Lists:
         lower, met = np.zeros(len(self.did), np.int64), np.zeros((len(self.did), t), bool)
         live = np.arange(len(self.did))  # documents that may still be among the best
         among = np.ones(len(self.did), bool)
-        limit = int((self.part[lo] * weights).max())
+        ahead = self.part[lo] * weights
         for left in range(ROUNDS, -1, -1):
-            limit = limit * 3 // 4 if left else 0
+            limit = int(ahead.max()) * 3 // 4 if left else 0
             for j in range(t):  # the next stretch of each list, down to the limit
                 stretch = self.part[place[j] : hi[j]]
                 end = place[j] + int(np.searchsorted(-stretch, -(limit // weights[j]), "right"))
