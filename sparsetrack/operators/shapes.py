@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -9,8 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ..plans.intervals import clip, condense, merge, overlaps
+from ..plans.intervals import SMALL, clip, condense, cut_at, merge, overlaps, subtract
 from .summaries import whole
 
 #: Letters of the alphabets of 4 and 8 symbols; others take A, B, C and so on.
@@ -82,11 +84,30 @@ def sax(signal: DataFrame, k: int, mean: float | None = None, std: float | None
     return rows.withColumn("bin", bin_).select("chrom", "start", "end", "value", "bin", F.substring(F.lit(letters), F.col("bin") + 1, F.lit(1)).alias("letter"))
 
 
-def sax_words(signal: DataFrame, sections: DataFrame, k: int, mean: float | None = None, std: float | None = None) -> DataFrame:
-    """(chrom, start, end, word): one word for each gap-free stretch."""
+def sax_words(signal: DataFrame, sections: DataFrame, k: int, mean: float | None = None, std: float | None = None, window: int = 1) -> DataFrame:
+    """(chrom, start, end, word): one word for each gap-free stretch.
+
+    With a ``window`` of more than one base a letter stands for the mean of so many, from the stretch's start; the last may be short.
+    """
+    if window < 1:
+        raise ValueError("a window has at least one base")
     runs = merge(clip(signal, sections), ("section_id", "chrom")).withColumnsRenamed({"start": "s", "end": "e"}).withColumn("start", F.col("s")).withColumn("end", F.col("e"))
-    letters = overlaps(runs, sax(signal, k, mean, std)).select("chrom", "s", "e", "o_start", F.repeat("r_letter", (F.col("o_end") - F.col("o_start")).cast("int")).alias("x"))
-    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_start", "x"))), lambda r: r["x"]), "")
+    if window == 1:
+        letters = overlaps(runs, sax(signal, k, mean, std)).select("chrom", "s", "e", F.col("o_start").alias("at"), F.repeat("r_letter", (F.col("o_end") - F.col("o_start")).cast("int")).alias("x"))
+    else:
+        if mean is None and std is None:  # those of the bases, not of their means
+            mean, std = whole(signal).select("mean", "std").first()
+            if std is None or std <= 0:
+                raise ValueError("a signal without deviation has no symbols")
+        met = overlaps(runs, signal.select("chrom", "start", "end", "value"))
+        place = lambda c: F.floor((c - F.col("s")) / window)
+        each = met.withColumn("at", F.explode(F.sequence(place(F.col("o_start")), place(F.col("o_end") - 1))))
+        first = F.col("s") + F.col("at") * window
+        w = F.least("o_end", first + window) - F.greatest("o_start", first)
+        means = each.withColumn("w", w).groupBy("chrom", "s", "e", "at").agg((F.sum(F.col("r_value") * F.col("w")) / F.sum("w")).alias("value"))
+        whose = F.struct("chrom", "s", "e").alias("chrom")  # carried through as one column
+        letters = sax(means.select(whose, F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "value"), k, mean, std).select("chrom.*", F.col("start").alias("at"), F.col("letter").alias("x"))
+    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda r: r["x"]), "")
     return letters.groupBy("chrom", F.col("s").alias("start"), F.col("e").alias("end")).agg(word.alias("word"))
 
 
@@ -124,17 +145,77 @@ def split_chunks(signal: DataFrame, size: int, min_gap: int = 1) -> DataFrame:
     return runs.mapInPandas(fold, "chunk long, chrom string, start long, end long")
 
 
-def random_regions(signal: DataFrame, sections: DataFrame, n: int, size: int, max_na: float = 0.4, blacklist: DataFrame | None = None, seed: int = 1) -> DataFrame:
-    """``n`` random regions of ``size`` bases with at most the share ``max_na`` without data, off the blacklist."""
-    room = sections.where(F.col("end") - F.col("start") >= size)
-    tries = room.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20 * n))))
-    # the place comes from a hash, so that a lost task gives the same places again
-    at = F.col("start") + F.pmod(F.xxhash64("section_id", "k", F.lit(seed), F.lit("place")), F.col("end") - F.col("start") - size + 1)
-    picks = tries.select("chrom", at.alias("start"), F.xxhash64("section_id", "k", F.lit(seed)).alias("order")).withColumn("end", F.col("start") + size)
-    met = overlaps(picks, signal.select("chrom", "start", "end")).groupBy("chrom", "start", "end", "order").agg(F.sum(F.col("o_end") - F.col("o_start")).alias("have"))
-    have = picks.join(met, ["chrom", "start", "end", "order"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    good = have.where(size - F.col("have") <= max_na * size)
+def random_places(signal: DataFrame, sections: DataFrame, size: int, max_na: float = 0.4, blacklist: DataFrame | None = None, tile: int = SMALL) -> DataFrame:
+    """(chrom, tile, start, end): disjoint stretches of places where a region of ``size`` bases may start, cut at tile bounds.
+
+    Such a region lies in its section, has at most the share ``max_na`` of its bases without data, and meets nothing of the blacklist.
+    What a window covers grows by one a base, stays or falls by one between the places where its start or end meets the bound
+    of a run; so places are found from bounds alone, tile by tile, from the cover at the tile's start.
+    """
+    need = size - math.floor(max_na * size)  # bases with data
+    data = merge(signal.select("chrom", "start", "end"))
+    room = merge(sections.select("chrom", "start", (F.col("end") - size + 1).alias("end")).where("end > start"))
+    room = cut_at(room, tile).select("chrom", "tile", F.col("start").alias("a"), F.col("end").alias("b"))
+    # at the first place of each tile: what its window covers, and whether the cover is about to grow or fall
+    met = overlaps(room.select("chrom", "tile", "a", F.col("a").alias("start"), (F.col("a") + size + 1).alias("end")), data)
+    lo, hi = F.greatest("r_start", "a"), F.least("r_end", F.col("a") + size)
+    begins, ends = (F.col("r_start") <= F.col("a")).cast("long"), (F.col("r_end") > F.col("a") + size).cast("long")
+    at_first = met.groupBy("chrom", "tile", "a").agg(F.sum(F.greatest(hi - lo, F.lit(0))).alias("have"), F.sum(ends - begins).alias("slope"))
+    first = room.join(at_first, ["chrom", "tile", "a"], "left").select("chrom", "tile", "a", "b", F.col("a").alias("p"), F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("slope", F.lit(0)).alias("turn"))
+    turns = F.array(*(F.struct((F.col(c) - d).alias("p"), F.lit(t).alias("turn")) for c, d, t in (("start", size, 1), ("end", size, -1), ("start", 0, -1), ("end", 0, 1))))
+    bends = data.select("chrom", F.explode(turns).alias("x")).select("chrom", F.col("x.p").alias("start"), (F.col("x.p") + 1).alias("end"), "x.turn")
+    inner = overlaps(bends, room.select("chrom", "tile", "a", "b", F.col("a").alias("start"), F.col("b").alias("end"))).where("start > r_a")
+    inner = inner.select("chrom", F.col("r_tile").alias("tile"), F.col("r_a").alias("a"), F.col("r_b").alias("b"), F.col("start").alias("p"), F.lit(0).cast("long").alias("have"), F.col("turn").cast("long").alias("turn"))
+    steps = first.unionByName(inner).groupBy("chrom", "tile", "a", "b", "p").agg(F.sum("have").alias("have"), F.sum("turn").alias("turn"))
+    w = Window.partitionBy("chrom", "tile", "a", "b").orderBy("p")
+    steps = steps.withColumn("slope", F.sum("turn").over(w)).withColumn("next", F.coalesce(F.lead("p").over(w), F.col("b")))
+    gain = F.col("slope") * (F.col("next") - F.col("p"))
+    steps = steps.withColumn("now", F.sum(F.col("have") + gain).over(w) - gain)
+    short = need - F.col("now")  # bases with data that the first window of the step lacks
+    good = steps.select(
+        "chrom",
+        "tile",
+        F.when(F.col("slope") > 0, F.greatest(F.col("p"), F.col("p") + short)).otherwise(F.col("p")).alias("start"),
+        F.when((F.col("slope") < 0) & (short <= 0), F.least(F.col("next"), F.col("p") - short + 1)).when((F.col("slope") <= 0) & (short > 0), F.col("p")).otherwise(F.col("next")).alias("end"),
+    ).where("end > start")
     if blacklist is not None:
-        hit = overlaps(good.select("chrom", "start", "end"), blacklist.select("chrom", "start", "end")).select("chrom", "start", "end").distinct()
-        good = good.join(hit, ["chrom", "start", "end"], "left_anti")
-    return good.orderBy("order").limit(n).select("chrom", "start", "end")
+        barred = blacklist.where("end > start").select("chrom", (F.col("start") - size + 1).alias("start"), "end")
+        good = subtract(good.select("chrom", "start", "end", F.lit(0.0).alias("value")), barred, tile)
+        good = good.select("chrom", F.floor(F.col("start") / tile).alias("tile"), "start", "end")
+    return good
+
+
+def random_regions(signal: DataFrame, sections: DataFrame, n: int, size: int, max_na: float = 0.4, blacklist: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """``n`` different random regions of ``size`` bases with at most the share ``max_na`` without data, off the blacklist.
+
+    They are drawn by inverse cumulative length from all places where one may start, each as likely as any other; an error, if
+    there are fewer than ``n``.  Draws come from hashes, so a lost task draws the same again.
+    """
+    places = random_places(signal, sections, size, max_na, blacklist).persist(StorageLevel.DISK_ONLY)  # read four times
+    # cumulative over chromosomes, over tiles within one, over stretches within a tile
+    length = F.col("end") - F.col("start")
+    tiles = places.groupBy("chrom", "tile").agg(F.sum(length).alias("many"))
+    chroms = tiles.groupBy("chrom").agg(F.sum("many").alias("many"))
+    total = chroms.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    if total < n:
+        raise ValueError(f"{n} regions asked for, but only {total} places hold one")
+    before = lambda of, w: F.sum(of).over(w) - of
+    chroms = chroms.select("chrom", before(F.col("many"), Window.orderBy("chrom")).alias("c"))  # a row for each chromosome
+    tiles = tiles.select("chrom", "tile", before(F.col("many"), Window.partitionBy("chrom").orderBy("tile")).alias("t"))
+    own = places.withColumn("o", before(length, Window.partitionBy("chrom", "tile").orderBy("start")))
+    axis = own.join(tiles, ["chrom", "tile"]).join(chroms, "chrom").select("chrom", F.col("start").alias("from"), (F.col("c") + F.col("t") + F.col("o")).alias("start"), length.alias("many"))
+    axis = axis.select(F.lit("").alias("chrom"), F.col("chrom").alias("on"), "from", "start", (F.col("start") + F.col("many")).alias("end"))
+    spark = signal.sparkSession
+    if 2 * n >= total:  # every place, in an order of its own
+        draws = spark.range(total).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    else:
+        tries = n
+        while True:
+            draws = spark.range(tries).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("place"), "id").groupBy("place").agg(F.min("id").alias("id"))
+            if draws.count() >= n:
+                break
+            tries += n
+        draws = draws.orderBy("id").limit(n).select(F.col("place").alias("id"))
+    points = draws.select(F.lit("").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
+    at = F.col("r_from") + F.col("start") - F.col("r_start")
+    return overlaps(points, axis).select(F.col("r_on").alias("chrom"), at.alias("start"), (at + size).alias("end"))

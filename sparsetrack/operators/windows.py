@@ -1,14 +1,16 @@
-"""Sliding and rolling windows, several signals side by side.
+"""Sliding and rolling windows, autocorrelation, several signals side by side.
 
 Frames run inside tiles of a section, each with a halo of the frame's reach, so a long section is dealt to many tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.intervals import SMALL, bases, clip, cover, cut_at, dense, merge
+from ..plans.intervals import SMALL, bases, clip, cover, cut_at, dense, merge, overlaps
 from .summaries import whole
 
 TILE = 1 << 16
@@ -52,21 +54,72 @@ def roll(signal: DataFrame, sections: DataFrame, fn: str, size: int, step: int =
         raise ValueError(f"unknown function: {fn}")
     limit = size // 2 if max_na is None else (size - 1 if max_na > size else max_na)
     o = size // 2 - step // 2
-    bounds = sections.select("section_id", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    if fill is None:  # only windows near data can have some
-        near = merge(clip(signal, sections).withColumn("start", F.col("start") - size + 1), ("section_id", "chrom")).join(bounds, "section_id")
-        near = near.select("section_id", "chrom", F.greatest("start", "s_start").alias("start"), F.least("end", "s_end").alias("end"))
-    else:
-        near = sections
-    grid = dense(signal, near, fill).drop("s_start", "s_end").join(bounds, "section_id")
-    # a window is read from its first base: places 0 .. size - 1 ahead; it stands at first base + o
-    w = Window.partitionBy("section_id", "tile").orderBy("pos").rangeBetween(0, size - 1)
-    rows = haloed(grid, 0, size - 1).withColumn("n", F.count("value").over(w)).withColumn("s", F.sum("value").over(w))
-    rows = rows.where("own").where((F.col("pos") + size <= F.col("s_end")) & ((F.col("pos") - F.col("s_start")) % step == 0) & (size - F.col("n") <= limit))
-    mean = F.try_divide("s", "n")
-    rows = rows.where(mean.isNotNull() if min_mean is None else mean >= min_mean)
+    here = F.struct(F.col("section_id"), F.col("start").alias("s_start"))  # of the section; steps count from its start
+    inside = sections.select(here.alias("section_id"), "chrom", "start", "end")
+    if fill is None:  # only windows near data can have some; what is near holds such windows whole
+        reach = clip(signal, inside).withColumn("start", F.col("start") - size + 1).withColumn("end", F.col("end") + size - 1)
+        inside = overlaps(merge(reach, ("section_id", "chrom")).withColumnRenamed("section_id", "mine"), inside).where("mine = r_section_id")
+        inside = inside.select(F.col("mine").alias("section_id"), "chrom", F.col("o_start").alias("start"), F.col("o_end").alias("end"))
+    tile = max(TILE, size)
+    # A stretch is laid out in blocks as long as a window, which is then the end of one block and the beginning of the next:
+    # two running sums, whatever the size, and nothing is subtracted.
+    rel = F.col("pos") - F.col("s_start")
+    grid = haloed(dense(signal, inside, fill), 0, size - 1, tile).withColumn("block", F.floor(rel / size))
+    part = ["section_id", "chrom", "s_start", "tile"]
+    block = Window.partitionBy(*part, "block")
+    run = lambda order: block.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {}
+    for name, order in (("head", F.asc("pos")), ("tail", F.desc("pos"))):
+        sums |= {f"{name}_n": F.count("value").over(run(order)), f"{name}_s": F.coalesce(F.sum("value").over(run(order)), F.lit(0.0))}
+    ahead = Window.partitionBy(*part).orderBy("pos")
+    aligned = rel % size == 0  # the window is the block
+    rows = grid.withColumns(sums).withColumns({c: F.when(~aligned, F.lead(c, size - 1).over(ahead)) for c in ("head_n", "head_s")})
+    rows = rows.withColumns({"n": F.col("tail_n") + F.coalesce("head_n", F.lit(0)), "s": F.col("tail_s") + F.coalesce("head_s", F.lit(0.0))})
+    rows = rows.where("own").where((F.col("pos") + size <= F.col("s_end")) & ((F.col("pos") - F.col("section_id.s_start")) % step == 0) & (size - F.col("n") <= limit) & (F.col("n") > 0))
+    mean = F.col("s") / F.col("n")
+    if min_mean is not None:
+        rows = rows.where(mean >= min_mean)
     value = mean if fn == "mean" else F.col("s")
-    return rows.select("section_id", "chrom", (F.col("pos") + o).alias("start"), (F.col("pos") + o + step).alias("end"), value.alias("value"))
+    return rows.select("section_id.section_id", "chrom", (F.col("pos") + o).alias("start"), (F.col("pos") + o + step).alias("end"), value.alias("value"))
+
+
+def autocorrelation(signal: DataFrame, sections: DataFrame, max_lag: int, tile: int = TILE) -> DataFrame:
+    """(lag, n, covariance, correlation) for lags from 0 to ``max_lag``, over all pairs of bases with data so far apart in a section.
+
+    The covariance is the mean product of deviations from the signal's mean (of its data within the sections); the correlation
+    its share of that at lag 0, NULL if that is 0.  Lags without pairs have n 0 and NULLs.  Tiles, with a halo of ``max_lag``
+    bases ahead, are multiplied with themselves by Fourier transforms of overlapping blocks; gaps count as 0 in a second
+    product of presence, so they are counted out.
+    """
+    rows = overlaps(signal, sections).select(F.col("r_section_id").alias("section_id"), "chrom", F.col("o_start").alias("start"), F.col("o_end").alias("end"), "value", F.col("r_start").alias("s_start"))
+    mean = F.broadcast(whole(rows.select("chrom", "start", "end", "value")).select(F.coalesce("mean", F.lit(0.0)).alias("m")))  # one row
+    rel = rows.select("section_id", "chrom", (F.col("start") - F.col("s_start")).alias("start"), (F.col("end") - F.col("s_start")).alias("end"), "value")
+    each = rel.withColumn("tile", F.explode(F.sequence(F.floor(F.greatest(F.col("start") - max_lag, F.lit(0)) / tile), F.floor((F.col("end") - 1) / tile))))
+    first = F.col("tile") * tile
+    each = each.select("section_id", "chrom", "tile", (F.greatest("start", first) - first).alias("start"), (F.least("end", first + tile + max_lag) - first).alias("end"), "value").where("end > start").crossJoin(mean)
+    lags = max_lag + 1
+
+    def products(t: pa.Table) -> pa.Table:
+        x, have = np.zeros(tile + max_lag), np.zeros(tile + max_lag)
+        for s, e, v in zip(t["start"].to_numpy(), t["end"].to_numpy(), (t["value"].to_numpy() - t["m"][0].as_py()), strict=True):
+            x[s:e], have[s:e] = v, 1.0
+        total, count = np.zeros(lags), np.zeros(lags)
+        block = min(tile, max(1024, 4 * lags))  # blocks of the tile, each with what lies ahead of it
+        for at in range(0, tile, block):
+            to = min(at + block, tile)
+            if have[at:to].any():
+                width = 1 << (to - at + 2 * max_lag).bit_length()
+                for y, out in ((x, total), (have, count)):
+                    f, g = np.fft.rfft(y[at:to], width), np.fft.rfft(y[at : to + max_lag], width)
+                    out += np.fft.irfft(np.conj(f) * g, width)[:lags]
+        return pa.table({"lag": np.arange(lags), "n": np.rint(count).astype(np.int64), "s": total})
+
+    sums = each.groupBy("section_id", "chrom", "tile").applyInArrow(products, "lag long, n long, s double").groupBy("lag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    out = signal.sparkSession.range(lags).withColumnRenamed("id", "lag").join(sums, "lag", "left")  # lags + 1 rows at most
+    cov = F.try_divide("s", "n")
+    zero = sums.where("lag = 0").select(cov.alias("zero"))
+    out = out.select("lag", F.coalesce("n", F.lit(0)).cast("long").alias("n"), cov.alias("covariance")).join(F.broadcast(zero), F.lit(True), "left")  # one row
+    return out.select("lag", "n", "covariance", F.try_divide("covariance", "zero").alias("correlation"))
 
 
 def paste_runs(signals: dict[str, DataFrame], sections: DataFrame) -> DataFrame:

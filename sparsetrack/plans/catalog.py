@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import filters, profiles, shapes, summaries, windows
 from ..operators.lift import lift
 from . import inputs
-from .intervals import condense, dense, sections_of
+from .intervals import bases, condense, dense, merge, sections_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -463,15 +463,72 @@ def sax_words(spark, sf_dir):
     return shapes.sax_words(*_e(spark, sf_dir), 8)
 
 
+@query(
+    ", m AS (SELECT avg(v) AS m, stddev_samp(v) AS sd FROM ev), g AS (SELECT chrom, pos, v, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM ev),"
+    " i AS (SELECT chrom, g, v, min(pos) OVER o AS s, max(pos) OVER o + 1 AS e, (pos - min(pos) OVER o) // 4 AS i FROM g WINDOW o AS (PARTITION BY chrom, g)),"
+    f" z AS (SELECT chrom, s, e, i, (avg(v) - any_value(m)) / any_value(sd) AS z FROM i, m GROUP BY ALL)"
+    f" SELECT chrom, s AS start, e AS \"end\", string_agg(substr('ACGTVLIM', 1 + {_EIGHTHS}, 1), '' ORDER BY i) AS word FROM z GROUP BY chrom, s, e"
+)
+def sax_words_window(spark, sf_dir):
+    return shapes.sax_words(*_e(spark, sf_dir), 8, window=4)
+
+
+@query(
+    "SELECT rg.chrom, s AS start, name, count(v) AS num_data, round(quantile_cont(v, 0.1), 9) AS q10, round(quantile_cont(v, 0.25), 9) AS q25, round(quantile_cont(v, 0.5), 9) AS median, "
+    f"round(quantile_cont(v, 0.75), 9) AS q75, round(quantile_cont(v, 0.9), 9) AS q90 {_REGION} GROUP BY ALL"
+)
+def summary_quantiles_long(spark, sf_dir):
+    """As summary_quantiles, with regions of more than 12 bases taken as long."""
+    e, _ = _e(spark, sf_dir)
+    q = ("q10", "q25", "median", "q75", "q90")
+    return _r(summaries.summary(e, inputs.regions(spark, sf_dir, e).drop("row_id", "strand"), quantiles=True, long=12), *q).select("chrom", "start", "name", "num_data", *q)
+
+
 @query(None)
 def matrix_cluster(spark, sf_dir):
     e, _ = _e(spark, sf_dir)
     return profiles.cluster(profiles.matrix(inputs.regions(spark, sf_dir, e), {"e": e}, 5, 5, fill=0.0), 3)[0].select("row_id", "label", "distance")
 
 
-@query(None)
+_HOLDS = (
+    ", w AS (SELECT chrom, pos, count(v) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS k FROM d),"
+    " ok AS (SELECT chrom, pos, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM w WHERE pos + 15 <= 720 AND 15 - k <= 12 AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.chrom = w.chrom AND pos < e AND pos + 15 > s))"
+)
+
+
+@query(_HOLDS + " SELECT chrom, min(pos) AS start, max(pos) + 1 AS \"end\" FROM ok GROUP BY chrom, g")
+def random_places(spark, sf_dir):
+    e, c = _e(spark, sf_dir)
+    return merge(shapes.random_places(e, c, 15, 0.8, blacklist=inputs.mask(spark, sf_dir, e)))
+
+
+@query(_HOLDS + " SELECT CAST(20 AS BIGINT) AS regions, CAST(20 AS BIGINT) AS places, CAST(20 AS BIGINT) AS allowed, CAST(15 AS BIGINT) AS shortest, CAST(15 AS BIGINT) AS longest, (SELECT count(*) FROM ok) > 20 AS room")
 def random_regions(spark, sf_dir):
-    return shapes.random_regions(*_e(spark, sf_dir), 20, 15, blacklist=inputs.mask(spark, sf_dir, inputs.events(spark, sf_dir)))
+    """Drawn by hashes, so SQL can only tell what must hold of them: number, distinct places, allowed places, sizes."""
+    e, c = _e(spark, sf_dir)
+    mask = inputs.mask(spark, sf_dir, e)
+    found = shapes.random_regions(e, c, 20, 15, 0.8, blacklist=mask)
+    # allowed: gaps and blacklist, counted anew from bases
+    kept = bases(found.select("chrom", F.col("start").alias("at"), "start", "end"))
+    have = kept.join(e.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("v")), ["chrom", "pos"], "left")
+    barred = bases(mask).select("chrom", "pos", F.lit(1).alias("m")).distinct()
+    facts = have.join(barred, ["chrom", "pos"], "left").groupBy("chrom", "at").agg(F.count("v").alias("v"), F.count("m").alias("m"))
+    allowed = facts.where("15 - v <= 12 and m = 0").agg(F.count("*").alias("allowed"))
+    size = F.col("end") - F.col("start")
+    one = found.agg(F.count("*").alias("regions"), F.countDistinct("chrom", "start").alias("places"), F.min(size).alias("shortest"), F.max(size).alias("longest"), (F.count("*") == 20).alias("room"))
+    return one.crossJoin(allowed)
+
+
+_LAGS = ", m AS (SELECT avg(v) AS m FROM ev), x AS (SELECT chrom, pos, v - m AS x FROM ev, m), k AS (SELECT CAST(unnest(range(0, 31)) AS BIGINT) AS lag)"
+
+
+@query(
+    _LAGS + ", s AS (SELECT lag, count(*) AS n, avg(a.x * b.x) AS c FROM k JOIN x a ON true JOIN x b ON b.chrom = a.chrom AND b.pos = a.pos + lag GROUP BY lag)"
+    " SELECT lag, n, round(c, 6) AS covariance, round(c / (SELECT c FROM s WHERE lag = 0), 9) AS correlation FROM s"
+)
+def autocorrelation(spark, sf_dir):
+    out = windows.autocorrelation(*_e(spark, sf_dir), 30)
+    return out.select("lag", "n", F.round("covariance", 6).alias("covariance"), F.round("correlation", 9).alias("correlation"))
 
 
 @query(
