@@ -36,11 +36,7 @@ def local_extrema(signal: DataFrame, min_sep: int = 0, kind: str | None = None,
     if kind:
         out = out.where(F.col("strand") == ("+" if kind == "maxima" else "-"))
     if min_sep > 0:
-        # extrema farther apart than that are independent: clusters without such a gap are worked on by themselves
-        reach = merge(out.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + min_sep).alias("end")), ("chrom", "strand"))
-        points = out.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
-        clusters = overlaps(points, reach).where("strand = r_strand").select("chrom", "pos", "value", "strand", F.col("r_start").alias("cluster"))
-        out = clusters.groupBy("chrom", "strand", "cluster").applyInPandas(_apart(min_sep), "chrom string, pos long, value double, strand string")
+        out = kept_apart(out, min_sep)
     if against is not None:
         other = local_extrema(against, kind=kind).select("chrom", (F.col("pos") - shift).alias("start"), (F.col("pos") + shift + 1).alias("end"), F.col("pos").alias("other_pos"), "strand")
         met = overlaps(out.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1), other).where("strand = r_strand")
@@ -50,6 +46,37 @@ def local_extrema(signal: DataFrame, min_sep: int = 0, kind: str | None = None,
     return out
 
 
+def local_winners(points: DataFrame, min_sep: int) -> DataFrame:
+    """One round over (chrom, strand, pos, value, kept): undecided points with nothing better undecided within reach are kept,
+    and what is within their reach goes.  Tiles with a halo of twice the reach make it the same however long a cluster is."""
+    near, tile = min_sep - 1, max(1 << 16, 8 * min_sep)
+    each = points.withColumn("tile", F.explode(F.sequence(F.floor((F.col("pos") - 2 * near) / tile), F.floor((F.col("pos") + 2 * near) / tile))))
+    w = Window.partitionBy("chrom", "strand", "tile").orderBy("pos").rangeBetween(-near, near)
+    score = F.when(F.col("strand") == "+", F.col("value")).otherwise(-F.col("value"))
+    mine = F.struct(score.alias("score"), (-F.col("pos")).alias("at"))
+    each = each.withColumn("best", F.max(F.when(~F.col("kept"), mine)).over(w))
+    each = each.withColumn("wins", ~F.col("kept") & (F.col("best.at") == -F.col("pos")))
+    each = each.withColumn("near", F.max("wins").over(w)).where(F.floor(F.col("pos") / tile) == F.col("tile"))
+    return each.where(F.col("kept") | F.col("wins") | ~F.col("near")).select("chrom", "strand", "pos", "value", (F.col("kept") | F.col("wins")).alias("kept"))
+
+
+def kept_apart(points: DataFrame, min_sep: int, rounds: int = 3) -> DataFrame:
+    """Of (chrom, strand, pos, value) the best, then the best of those at least ``min_sep`` from it, and so on.
+
+    Some rounds of local winners decide nearly all; what they leave is in small clusters, each worked on by itself.
+    """
+    state = points.select("chrom", "strand", "pos", "value", F.lit(False).alias("kept"))
+    for _ in range(rounds):
+        state = local_winners(state, min_sep)
+    state = state.persist(StorageLevel.DISK_ONLY)  # read four times; made anew where an executor is lost
+    left = state.where(~F.col("kept")).drop("kept")
+    # points farther apart than that are independent
+    reach = merge(left.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + min_sep).alias("end")), ("chrom", "strand"))
+    clusters = overlaps(left.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1), reach).where("strand = r_strand").select("chrom", "pos", "value", "strand", F.col("r_start").alias("cluster"))
+    late = clusters.groupBy("chrom", "strand", "cluster").applyInPandas(_apart(min_sep), "chrom string, pos long, value double, strand string")
+    return state.where("kept").select("chrom", "pos", "value", "strand").unionByName(late)
+
+
 def _apart(min_sep: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos", ignore_index=True)
@@ -189,7 +216,7 @@ def random_regions(signal: DataFrame, sections: DataFrame, n: int, size: int, ma
     """``n`` different random regions of ``size`` bases with at most the share ``max_na`` without data, off the blacklist.
 
     They are drawn by inverse cumulative length from all places where one may start, each as likely as any other; an error, if
-    there are fewer than ``n``.  Draws come from hashes, so a lost task draws the same again.
+    there are fewer than ``n``, but none where nothing can be drawn from.  Draws come from hashes, so a lost task draws the same again.
     """
     places = random_places(signal, sections, size, max_na, blacklist).persist(StorageLevel.DISK_ONLY)  # read four times
     # cumulative over chromosomes, over tiles within one, over stretches within a tile
@@ -197,7 +224,7 @@ def random_regions(signal: DataFrame, sections: DataFrame, n: int, size: int, ma
     tiles = places.groupBy("chrom", "tile").agg(F.sum(length).alias("many"))
     chroms = tiles.groupBy("chrom").agg(F.sum("many").alias("many"))
     total = chroms.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
-    if total < n:
+    if 0 < total < n:
         raise ValueError(f"{n} regions asked for, but only {total} places hold one")
     before = lambda of, w: F.sum(of).over(w) - of
     chroms = chroms.select("chrom", before(F.col("many"), Window.orderBy("chrom")).alias("c"))  # a row for each chromosome

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -87,18 +88,25 @@ class File:
         return sorted(out)
 
 
-def items(raw: bytes, order: str) -> Iterator[tuple[int, int, int, float]]:
-    """Items of one section: chromosome number, start, end, value."""
+def columns(raw: bytes, order: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one section: chromosome number, starts, ends, values, as views or sums of views of its bytes."""
     chrom, start, _, step, width, kind, _, n = struct.unpack_from(order + "IIIIIBBH", raw)
-    if kind == 1:
-        for s, e, v in struct.iter_unpack(order + "IIf", raw[24 : 24 + 12 * n]):
-            yield chrom, s, e, v
-    elif kind == 2:
-        for s, v in struct.iter_unpack(order + "If", raw[24 : 24 + 8 * n]):
-            yield chrom, s, s + width, v
-    else:
-        for i, (v,) in enumerate(struct.iter_unpack(order + "f", raw[24 : 24 + 4 * n])):
-            yield chrom, start + i * step, start + i * step + width, v
+    fields = {1: [("s", order + "u4"), ("e", order + "u4"), ("v", order + "f4")], 2: [("s", order + "u4"), ("v", order + "f4")], 3: [("v", order + "f4")]}
+    x = np.frombuffer(raw, fields[kind], n, 24)
+    first = x["s"].astype(np.int64) if kind < 3 else start + np.arange(n, dtype=np.int64) * step
+    return chrom, first, x["e"].astype(np.int64) if kind == 1 else first + width, x["v"].astype(np.float64)
+
+
+def ranges(blocks: list[tuple[int, int]], gap: int = 1 << 16, most: int = 1 << 23) -> Iterator[list[tuple[int, int]]]:
+    """Sections in order of their places, gathered into stretches of the file that one read fetches."""
+    held: list[tuple[int, int]] = []
+    for at, n in blocks:
+        if held and (at - sum(held[-1]) > gap or at + n - held[0][0] > most):
+            yield held
+            held = []
+        held.append((at, n))
+    if held:
+        yield held
 
 
 class Reader(DataSourceReader):
@@ -132,13 +140,22 @@ class Reader(DataSourceReader):
         return [Section(self.path, file.order, names, blocks[i : i + self.per_task], file.packed) for i in range(0, len(blocks), self.per_task)] or [Section(self.path, file.order, names, [], file.packed)]
 
     def read(self, partition: Section):
+        """Arrow batches, one for each stretch read."""
+        names = pa.array(list(partition.names.values()), pa.string())
+        place = {c: i for i, c in enumerate(partition.names)}
         with _open(partition.path) as f:
-            for at, n in partition.blocks:
-                f.seek(at)
-                raw = f.read(n)
-                for c, s, e, v in items(zlib.decompress(raw) if partition.packed else raw, partition.order):
-                    if v == v:
-                        yield partition.names[c], s, e, float(v)
+            for stretch in ranges(partition.blocks):
+                base = stretch[0][0]
+                f.seek(base)
+                raw = f.read(sum(stretch[-1]) - base)
+                parts = []
+                for at, n in stretch:
+                    section = raw[at - base : at - base + n]
+                    c, start, end, value = columns(zlib.decompress(section) if partition.packed else section, partition.order)
+                    parts.append((np.full(len(start), place[c]), start, end, value))
+                chrom, start, end, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+                sound = ~np.isnan(value)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(chrom[sound])), pa.array(start[sound]), pa.array(end[sound]), pa.array(value[sound])], names=["chrom", "start", "end", "value"])
 
 
 class BigWig(DataSource):

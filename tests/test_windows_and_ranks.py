@@ -181,3 +181,59 @@ def test_random_regions_are_as_many_as_asked_for(spark):
         shapes.random_regions(signal, one, places + 1, 40)
     spread = np.array([r.start // 5000 for r in shapes.random_regions(signal, one, 300, 40).collect()])
     assert len(np.unique(spread)) == 20 and np.bincount(spread).max() < 40
+
+
+def greedy(points, sep):
+    """Best first, ties to the left."""
+    kept = []
+    for pos, _ in sorted(points, key=lambda x: (-x[1], x[0])):
+        if all(abs(pos - p) >= sep for p in kept):
+            kept.append(pos)
+    return sorted(kept)
+
+
+@pytest.mark.parametrize(("sep", "shape"), [(10, "random"), (40, "ties"), (25, "ramp"), (1, "random")])
+def test_points_kept_apart(spark, sep, shape):
+    """A cluster as long as the axis; a ramp is decided from its top, one after the other, so its rest is left to the last step."""
+    rng = random.Random(4)
+    at = sorted(rng.sample(range(4000), 900))
+    value = {"random": lambda i: rng.random(), "ties": lambda i: float(rng.randrange(3)), "ramp": lambda i: float(i)}[shape]
+    points = [(p, value(i)) for i, p in enumerate(at)]
+    rows = [("a", "+", p, v) for p, v in points] + [("a", "-", p, -v) for p, v in points[:300]]
+    df = spark.createDataFrame(rows, "chrom string, strand string, pos long, value double")
+    got = shapes.kept_apart(df, sep).collect()
+    assert sorted(r.pos for r in got if r.strand == "+") == greedy(points, sep)
+    assert sorted(r.pos for r in got if r.strand == "-") == greedy(points[:300], sep)
+    if shape == "random":
+        state = df.where("strand = '+'").withColumn("kept", F.lit(False))
+        for _ in range(3):
+            state = shapes.local_winners(state, sep)
+        assert state.where("not kept").count() < 90
+
+
+def test_bigwig_sections_in_columns(tmp_path):
+    import struct
+    import zlib
+
+    from sparsetrack.sources import bigwig
+
+    for order in "<>":
+        head = lambda kind, n, o=order: struct.pack(o + "IIIIIBBH", 3, 100, 200, 10, 4, kind, 0, n)
+        one = head(1, 2) + struct.pack(order + "IIfIIf", 5, 9, 1.5, 12, 13, -2)
+        two = head(2, 2) + struct.pack(order + "IfIf", 7, 0.25, 70, 8)
+        three = head(3, 3) + struct.pack(order + "fff", 1, float("nan"), 3)
+        plain = [[c if isinstance(c, int) else c.tolist() for c in bigwig.columns(x, order)] for x in (one, two)]
+        assert plain == [[3, [5, 12], [9, 13], [1.5, -2.0]], [3, [7, 70], [11, 74], [0.25, 8.0]]]
+        _, start, end, value = bigwig.columns(three, order)
+        assert (start.tolist(), end.tolist(), value.tolist()[::2]) == ([100, 110, 120], [104, 114, 124], [1.0, 3.0])
+        path, blocks = tmp_path / "x", []
+        with path.open("wb") as f:
+            for x in (one, two, three):
+                f.write(b"?" * 7)
+                z = zlib.compress(x)
+                blocks.append((f.tell(), len(z)))
+                f.write(z)
+        part = bigwig.Section(str(path), order, {3: "c"}, blocks, True)
+        batches = list(bigwig.Reader(str(path), 1).read(part))
+        assert len(batches) == 1 and batches[0].num_rows == 6 and batches[0].column("chrom").to_pylist() == ["c"] * 6  # without the missing value
+    assert [len(x) for x in bigwig.ranges([(0, 10), (10, 10), (100_000, 5), (100_005, 5), (8_488_000, 1_000_000)])] == [2, 2, 1]
