@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIGNAL = "chrom string, start long, end long, value double"
@@ -122,6 +122,7 @@ def read_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chain_rows(lines: Iterable[str]) -> Iterator[tuple]:
+    """The plain reading of a whole text, line by line; ``read_chain`` gives the same from splits."""
     head, t, q = None, 0, 0
     for line in lines:
         f = line.split()
@@ -138,16 +139,38 @@ def chain_rows(lines: Iterable[str]) -> Iterator[tuple]:
 
 
 def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """Chain blocks, one row each."""
-    kinds = "chain_id string, t_name string, t_start long, t_end long, q_name string, q_start long, q_size long, q_strand string, chain_t_start long, chain_t_end long"
-    names = [x.split()[0] for x in kinds.split(", ")]
+    """Chain blocks, one row each.
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for text in part["value"]:
-                yield pd.DataFrame(list(chain_rows(text.splitlines())), columns=names)
-
-    return spark.read.text(located(path), wholetext=True).mapInPandas(parse, kinds)
+    Files are read in splits.  A block's place is its chain's start and the sum of the blocks and gaps before it: within a split
+    a running sum; what a split leaves behind of its last chain, a row for each split, is carried to those after it.
+    """
+    raw = spark.read.text(located(path)).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    f = F.split("line", "\\s+")
+    at = lambda i: F.try_element_at(f, F.lit(i + 1))
+    long = lambda c: c.cast("long")
+    begins = at(0) == "chain"
+    head = F.struct(
+        F.coalesce(at(12), F.lit("0")).alias("chain_id"), at(2).alias("t_name"), long(at(5)).alias("chain_t_start"), long(at(6)).alias("chain_t_end"), at(7).alias("q_name"), long(at(8)).alias("q_size"), at(9).alias("q_strand"), long(at(10)).alias("chain_q_start")
+    )
+    lines = raw.where("line <> '' and line not like '#%'").select("file", "split", "n", F.when(begins, head).alias("head"), F.when(~begins, long(at(0))).alias("size"), *(F.when(~begins, long(F.coalesce(at(i), F.lit("0")))).alias(c) for i, c in ((1, "dt"), (2, "dq"))))
+    w = Window.partitionBy("file", "split").orderBy("n")
+    lines = lines.withColumn("chain", F.count("head").over(w))  # of the split; 0 for what belongs to an earlier one
+    own = Window.partitionBy("file", "split", "chain").orderBy("n")
+    moved = {c: F.coalesce(F.col("size") + F.col(d), F.lit(0)) for c, d in (("t", "dt"), ("q", "dq"))}
+    lines = lines.withColumns({c: F.sum(m).over(own) - m for c, m in moved.items()} | {f"{c}_step": m for c, m in moved.items()}).withColumn("mine", F.last("head", ignorenulls=True).over(w))
+    # a row for each split: its last chain, and how far its blocks have moved
+    last = F.max("chain").over(Window.partitionBy("file", "split"))
+    ends = lines.withColumn("last", last).groupBy("file", "split").agg(F.max_by("mine", "n").alias("open"), F.max((F.col("chain") > 0).cast("int")).alias("begins"), *(F.sum(F.when(F.col("chain") == F.col("last"), F.col(f"{c}_step")).otherwise(0)).alias(f"left_{c}") for c in "tq"))
+    files = Window.partitionBy("file").orderBy("split")
+    ends = ends.withColumn("since", F.sum("begins").over(files))
+    so_far = Window.partitionBy("file", "since").orderBy("split")
+    ends = ends.withColumns({f"left_{c}": F.sum(f"left_{c}").over(so_far) for c in "tq"} | {"open": F.last("open", ignorenulls=True).over(files)})
+    carried = ends.select("file", "split", *(F.lag(c).over(files).alias(f"c_{c}") for c in ("open", "left_t", "left_q")))
+    first = F.col("chain") == 0
+    blocks = lines.where("size is not null").join(carried, ["file", "split"])
+    blocks = blocks.select("size", F.when(first, F.col("c_open")).otherwise(F.col("mine")).alias("h"), *(F.when(first, F.col(f"c_left_{c}") + F.col(c)).otherwise(F.col(c)).alias(c) for c in "tq"))
+    start = F.col("h.chain_t_start") + F.col("t")
+    return blocks.select("h.chain_id", "h.t_name", start.alias("t_start"), (start + F.col("size")).alias("t_end"), "h.q_name", (F.col("h.chain_q_start") + F.col("q")).alias("q_start"), "h.q_size", "h.q_strand", "h.chain_t_start", "h.chain_t_end")
 
 
 def chain_sizes(blocks: DataFrame) -> DataFrame:

@@ -237,3 +237,25 @@ def test_bigwig_sections_in_columns(tmp_path):
         batches = list(bigwig.Reader(str(path), 1).read(part))
         assert len(batches) == 1 and batches[0].num_rows == 6 and batches[0].column("chrom").to_pylist() == ["c"] * 6  # without the missing value
     assert [len(x) for x in bigwig.ranges([(0, 10), (10, 10), (100_000, 5), (100_005, 5), (8_488_000, 1_000_000)])] == [2, 2, 1]
+
+
+@pytest.mark.parametrize("split", [64, 700, 1 << 20])
+def test_chains_cut_into_splits(spark, tmp_path, split):
+    from sparsetrack.sources import text
+
+    rng, files = random.Random(1), []
+    for name in ("one", "two"):
+        lines = ["# a comment", ""]
+        for i in range(6):
+            lines.append(f"chain 10 c{i} 90000 {'+'} {i * 100} 80000 d{name} 70000 {'+-'[i % 2]} {i * 7} 60000" + (f" {i}" if i else ""))
+            lines += [f"{rng.randrange(1, 90)}{sep}{rng.randrange(9)}{sep}{rng.randrange(9)}" for sep in ("\t", "  ") for _ in range((1, 60, 3, 0, 200, 9)[i])] + [str(rng.randrange(1, 50)), ""]
+        (tmp_path / f"{name}.chain").write_text("\n".join(lines))
+        files += text.chain_rows(lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = text.read_chain(spark, str(tmp_path))
+        assert got.columns == "chain_id t_name t_start t_end q_name q_start q_size q_strand chain_t_start chain_t_end".split()
+        assert sorted(map(tuple, got.collect())) == sorted(files)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
