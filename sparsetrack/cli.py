@@ -19,14 +19,14 @@ from .sources import bigwig, sinks, text
 ALIASES = {"dist": "distribution", "agg": "aggregate", "cg": "chromgraph", "win": "window", "ex": "extract"}
 ARGUMENTS = {
     "remove": "op what signal out", "fill": "value signal out", "shift": "n signal out", "find": "op rest*", "distribution": "signal out", "chromgraph": "signal out", "aggregate": "window regions signals out",
-    "summary": "loci signal out", "split": "size signal out", "matrix": "window regions signals out", "sax": "alphabet signal out", "lift": "signal chain out", "paste": "signals+", "window": "size signal", "extract": "style regions signal out", "roll": "fn size signal out", "random": "n size signal out",
+    "summary": "loci signal out", "split": "size signal out", "matrix": "window regions signals out", "sax": "alphabet signal out", "lift": "signal chain out", "paste": "signals+", "window": "size signal", "extract": "style regions signal out", "roll": "fn size signal out", "random": "n size signal out", "autocorr": "lags signal out",
 }
 FLAGS = "inverse condense wig-only keep-bed header total starts ends firstbase expanded skip-NA center maxima minima median-base with-max with-quantiles with-sum with-sum-of-squares skip-median locus-name tabs bed4 add-wig-out zero-remove consts-means consts-totals consts-covs long-form-header"
 NUMBERS: dict[str, tuple[Callable, object]] = {
     "decimals": (int, 2), "fill": (float, None), "step": (int, 1), "min-sep": (int, 0), "max-NA": (int, None), "min-mean": (float, None), "every": (int, 10_000), "mult": (float, 1.0), "cluster": (int, None), "tiled-averages": (int, 1), "skip-min": (float, None), "mean": (float, None), "std": (float, None),
-    "min-gap": (int, 1), "seed": (int, 1), "bed-ix": (int, None), "bw-ix": (int, None),
+    "min-gap": (int, 1), "seed": (int, 1), "NA-perc": (float, 0.4), "sax-window": (int, 0), "bed-ix": (int, None), "bw-ix": (int, None),
 }
-WORDS = "regions wigtype unlifted sizes o consts against binary-matrix cluster-sets cluster-centroids long-form"
+WORDS = "blacklist regions wigtype unlifted sizes o consts against binary-matrix cluster-sets cluster-centroids long-form"
 #: What makes no use of -regions: they read whole signals around regions of their own.
 UNRESTRICTED = {"aggregate", "matrix", "extract"}
 
@@ -124,6 +124,8 @@ def conflict(o) -> str | None:
         return "-cluster-sets (aggregate) and -cluster-centroids (matrix) go with -cluster"
     if c == "window" and o.skip_NA and o.fill is not None:
         return "-skip-NA and -fill can't be used together"
+    if o.sax_window < 0 or (o.sax_window > 1 and (c != "sax" or o.bed4 or o.add_wig_out)):
+        return "-sax-window is for sax, and its words only"
     if o.against and not (o.maxima or o.minima):
         return "-against goes with -maxima or -minima"
     return None
@@ -387,7 +389,7 @@ def _sax(spark, o) -> None:
     with _out(o.out) as f:
         f.write(f"# alphabet size = {k}\n")
         if not (o.bed4 or o.add_wig_out):
-            sinks.write_words(shapes.sax_words(signal, sections, k, o.mean, o.std), f)
+            sinks.write_words(shapes.sax_words(signal, sections, k, o.mean, o.std, max(1, o.sax_window)), f)
             return
         rows = shapes.sax(signal, k, o.mean, o.std)
         each = rows.withColumn("pos", F.explode(F.sequence("start", F.col("end") - 1))).withColumn("to", F.col("pos") + 1)
@@ -439,8 +441,15 @@ def _extract(spark, o) -> None:
 
 def _random(spark, o) -> None:
     signal, sections, _ = _one(spark, o)
+    barred = text.read_bed(spark, o.blacklist).select("chrom", "start", "end") if o.blacklist else None
     with _out(o.out) as f:
-        sinks.write_table(shapes.random_regions(signal, sections, int(o.n), int(o.size), seed=o.seed), f, ["chrom", "start", "end"], order=["chrom", "start"])
+        sinks.write_table(shapes.random_regions(signal, sections, int(o.n), int(o.size), o.NA_perc, barred, o.seed), f, ["chrom", "start", "end"], order=["chrom", "start"])
+
+
+def _autocorr(spark, o) -> None:
+    signal, sections, _ = _one(spark, o)
+    with _out(o.out) as f:
+        sinks.write_table(windows.autocorrelation(signal, sections, int(o.lags)), f, ["lag", "n", "covariance", "correlation"], 6, ["lag"], header=True)
 
 
 COMMANDS = {name: globals()[f"_{name}"] for name in ARGUMENTS}

@@ -259,3 +259,18 @@ def test_chains_cut_into_splits(spark, tmp_path, split):
         assert sorted(map(tuple, got.collect())) == sorted(files)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_command_line(spark, tmp_path):
+    from sparsetrack import cli
+
+    (tmp_path / "x.bg").write_text("".join(f"chr\t{i}\t{i + 1}\t{i % 4}\n" for i in range(40)))
+    (tmp_path / "black.bed").write_text("chr\t0\t20\n")
+    run = lambda line: cli.main(line.replace("@", f"{tmp_path}/").split(), spark=spark) or (tmp_path / "out").read_text().splitlines()
+    got = run("autocorr 4 @x.bg @out")
+    assert got[0] == "#lag\tn\tcovariance\tcorrelation" and got[1] == "0\t40\t1.250000\t1.000000" and [r.split("\t")[1] for r in got[1:]] == ["40", "39", "38", "37", "36"]
+    assert run("sax 4 @x.bg @out -sax-window=4")[-1] == "G" * 10
+    rows = [r.split("\t") for r in run("random 5 6 @x.bg @out -blacklist=@black.bed -NA-perc=0")]
+    assert len(rows) == 5 and all(int(r[1]) >= 20 and int(r[2]) - int(r[1]) == 6 for r in rows)
+    with pytest.raises(SystemExit):
+        run("sax 4 @x.bg @out -sax-window=4 -bed4")
