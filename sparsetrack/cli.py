@@ -21,7 +21,7 @@ ARGUMENTS = {
     "remove": "op what signal out", "fill": "value signal out", "shift": "n signal out", "find": "op rest*", "distribution": "signal out", "chromgraph": "signal out", "aggregate": "window regions signals out",
     "summary": "loci signal out", "split": "size signal out", "matrix": "window regions signals out", "sax": "alphabet signal out", "lift": "signal chain out", "paste": "signals+", "window": "size signal", "extract": "style regions signal out", "roll": "fn size signal out", "random": "n size signal out", "autocorr": "lags signal out",
 }
-FLAGS = "inverse condense wig-only keep-bed header total starts ends firstbase expanded skip-NA center maxima minima median-base with-max with-quantiles with-sum with-sum-of-squares skip-median locus-name tabs bed4 add-wig-out zero-remove consts-means consts-totals consts-covs long-form-header"
+FLAGS = "inverse condense wig-only keep-bed header total starts ends firstbase expanded skip-NA center maxima minima median-base with-max with-quantiles with-sum with-sum-of-squares skip-median locus-name tabs bed4 add-wig-out zero-remove consts-means consts-totals consts-covs long-form-header strict"
 NUMBERS: dict[str, tuple[Callable, object]] = {
     "decimals": (int, 2), "fill": (float, None), "step": (int, 1), "min-sep": (int, 0), "max-NA": (int, None), "min-mean": (float, None), "every": (int, 10_000), "mult": (float, 1.0), "cluster": (int, None), "tiled-averages": (int, 1), "skip-min": (float, None), "mean": (float, None), "std": (float, None),
     "min-gap": (int, 1), "seed": (int, 1), "NA-perc": (float, 0.4), "sax-window": (int, 0), "bed-ix": (int, None), "bw-ix": (int, None),
@@ -92,13 +92,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def parsed(argv: list[str]):
-    """Options of a command line; those it doesn't know are named on stderr and passed over."""
+    """Options of a command line; those it doesn't know are named on stderr and passed over, or, with -strict, refused."""
     p = parser()
     # an option whose value may be left out
     o, unknown = p.parse_known_args([f"{a}=on" if a.lstrip("-") == "long-form" and a[0] == "-" else a for a in argv])
     o.command = ALIASES.get(o.command, o.command)
     if strange := [a for a in unknown if not a.startswith("-")]:
         p.error(f"unrecognized arguments: {' '.join(strange)}")
+    if unknown and o.strict:
+        p.error(f"unknown options: {' '.join(unknown)}")
     if unknown:
         print(f"sparsetrack: ignored: {' '.join(unknown)}", file=sys.stderr)
     if wrong := conflict(o):

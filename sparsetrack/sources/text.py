@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,15 +179,29 @@ def chain_sizes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(F.col("q_name").alias("chrom")).agg(F.first("q_size").alias("size"))
 
 
+def _there(path: str) -> bool:
+    if "://" not in path:
+        return os.path.exists(path)
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    return fs.get_file_info(inner).type != pyarrow.fs.FileType.NotFound
+
+
+def _listed(path: str) -> list[str]:
+    """Lines of a list of files, on this machine's file system or any other."""
+    if "://" not in path:
+        with open(path, encoding="utf-8") as f:
+            return f.read().splitlines()
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(inner) as f:
+        return f.read().decode().splitlines()
+
+
 def labelled_files(names: str | list[str], index: int | None = None) -> list[tuple[str, str]]:
     """(label, path) of a comma list, or of a list file with optional labels in its second column; absent files are skipped."""
     paths = names.split(",") if isinstance(names, str) else list(names)
-    out: list[tuple[str, str]] = []
-    if len(paths) == 1 and os.path.exists(paths[0]) and paths[0].endswith((".txt", ".list")):
-        for line in open(paths[0], encoding="utf-8"):
-            f = line.split()
-            if f and os.path.exists(f[0]):
-                out.append((f[1] if len(f) > 1 else f[0], f[0]))
+    if len(paths) == 1 and paths[0].endswith((".txt", ".list")) and _there(paths[0]):
+        rows = [line.split() for line in _listed(paths[0])]
+        out = [(f[1] if len(f) > 1 else f[0], f[0]) for f in rows if f and _there(f[0])]
     else:
         out = [(p, p) for p in paths]
     return out if index is None else out[index : index + 1]
