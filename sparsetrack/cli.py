@@ -21,7 +21,7 @@ ARGUMENTS = {
     "remove": "op what signal out", "fill": "value signal out", "shift": "n signal out", "find": "op rest*", "distribution": "signal out", "chromgraph": "signal out", "aggregate": "window regions signals out",
     "summary": "loci signal out", "split": "size signal out", "matrix": "window regions signals out", "sax": "alphabet signal out", "lift": "signal chain out", "paste": "signals+", "window": "size signal", "extract": "style regions signal out", "roll": "fn size signal out", "random": "n size signal out", "autocorr": "lags signal out",
 }
-FLAGS = "inverse condense wig-only keep-bed header total starts ends firstbase expanded skip-NA center maxima minima median-base with-max with-quantiles with-sum with-sum-of-squares skip-median locus-name tabs bed4 add-wig-out zero-remove consts-means consts-totals consts-covs long-form-header strict"
+FLAGS = "inverse condense wig-only keep-bed header total starts ends firstbase expanded skip-NA center maxima minima median-base with-max with-quantiles with-sum with-sum-of-squares skip-median locus-name tabs bed4 add-wig-out zero-remove consts-means consts-totals consts-covs long-form-header strict zoom"
 NUMBERS: dict[str, tuple[Callable, object]] = {
     "decimals": (int, 2), "fill": (float, None), "step": (int, 1), "min-sep": (int, 0), "max-NA": (int, None), "min-mean": (float, None), "every": (int, 10_000), "mult": (float, 1.0), "cluster": (int, None), "tiled-averages": (int, 1), "skip-min": (float, None), "mean": (float, None), "std": (float, None),
     "min-gap": (int, 1), "seed": (int, 1), "NA-perc": (float, 0.4), "sax-window": (int, 0), "bed-ix": (int, None), "bw-ix": (int, None),
@@ -215,6 +215,11 @@ def _distribution(spark, o) -> None:
 
 
 def _chromgraph(spark, o) -> None:
+    zoomed = bigwig.zoomed_graph(spark, o.signal, o.every) if o.zoom and not o.regions and o.fill is None and o.signal.endswith((".bw", ".bigWig", ".bigwig")) else None
+    if zoomed is not None:
+        with _out(o.out) as f:
+            sinks.write_table(zoomed, f, ["chrom", "middle", "mean"], o.decimals, ["chrom", "middle"])
+        return
     signal, sections, _ = _one(spark, o)
     if o.fill is not None:
         signal = filters.fill(signal, sections, o.fill)

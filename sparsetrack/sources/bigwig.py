@@ -6,6 +6,7 @@ zlib-compressed; an R-tree over the sections; a summary of the whole.  Values ar
 
 from __future__ import annotations
 
+import math
 import shutil
 import struct
 import tempfile
@@ -17,14 +18,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.storagelevel import StorageLevel
 
+from ..plans.intervals import cut_at, sections_of, tiled
 from .text import located
 
 # Fixed values of the format.
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BLOCK, SLOT = 256, 1024
 SCHEMA = "chrom string, start long, end long, value double"
+#: A zoom level's cell: 32 bytes.
+CELL = [("chrom", "u4"), ("start", "u4"), ("end", "u4"), ("covered", "u4"), ("least", "f4"), ("most", "f4"), ("total", "f4"), ("squares", "f4")]
+ZOOMED = "chrom string, start long, end long, covered long, least double, most double, total double, squares double"
+ZOOMED_NAMES = [x.split()[0] for x in ZOOMED.split(", ")]
+LEVELS, FACTOR = 8, 10
 
 
 def _open(path: str):
@@ -54,6 +63,9 @@ class File:
         key, = struct.unpack(self.order + "I", self._at(tree + 8, 4))
         self._names(tree + 32, key)
         self.index = index
+        levels, = struct.unpack(self.order + "H", raw[6:8])
+        #: Reductions, and where their indexes lie.
+        self.zooms = [(r, at) for r, _, _, at in struct.iter_unpack(self.order + "IIQQ", self._at(64, 24 * levels))]
 
     def _at(self, at: int, n: int) -> bytes:
         self.f.seek(at)
@@ -70,9 +82,9 @@ class File:
             else:
                 self._names(struct.unpack(self.order + "Q", part[key:])[0], key)
 
-    def blocks(self, wanted) -> list[tuple[int, int]]:
+    def blocks(self, wanted, index: int | None = None) -> list[tuple[int, int]]:
         """Places and sizes of the sections that ``wanted(first chrom, first base, last chrom, last base)`` accepts."""
-        out, open_ = [], [self.index + 48]
+        out, open_ = [], [(self.index if index is None else index) + 48]
         while open_:
             at = open_.pop()
             leaf, _, n = struct.unpack(self.order + "BBH", self._at(at, 4))
@@ -112,8 +124,8 @@ def ranges(blocks: list[tuple[int, int]], gap: int = 1 << 16, most: int = 1 << 2
 class Reader(DataSourceReader):
     """Comparisons of chrom, start and end reach the index: sections they exclude aren't read."""
 
-    def __init__(self, path: str, per_task: int):
-        self.path, self.per_task, self.chrom, self.low, self.high = path, per_task, None, 0, 1 << 32
+    def __init__(self, path: str, per_task: int, zoom: int | None = None):
+        self.path, self.per_task, self.chrom, self.low, self.high, self.zoom = path, per_task, None, 0, 1 << 32, zoom
 
     def pushFilters(self, filters):
         for f in filters:
@@ -136,7 +148,7 @@ class Reader(DataSourceReader):
                 return False
             return c0 != c1 or (b0 < self.high and b1 >= self.low)
 
-        blocks = file.blocks(wanted)
+        blocks = file.blocks(wanted, None if self.zoom is None else dict(file.zooms)[self.zoom])
         return [Section(self.path, file.order, names, blocks[i : i + self.per_task], file.packed) for i in range(0, len(blocks), self.per_task)] or [Section(self.path, file.order, names, [], file.packed)]
 
     def read(self, partition: Section):
@@ -148,6 +160,12 @@ class Reader(DataSourceReader):
                 base = stretch[0][0]
                 f.seek(base)
                 raw = f.read(sum(stretch[-1]) - base)
+                if self.zoom is not None:
+                    cells = [raw[at - base : at - base + n] for at, n in stretch]
+                    x = np.concatenate([np.frombuffer(zlib.decompress(c) if partition.packed else c, [(n, partition.order + k) for n, k in CELL]) for c in cells])
+                    number = np.array([place[c] for c in x["chrom"].tolist()], np.int64)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(number)), *(pa.array(x[n].astype(np.float64 if k == "f4" else np.int64)) for n, k in CELL[1:])], names=ZOOMED_NAMES)
+                    continue
                 parts = []
                 for at, n in stretch:
                     section = raw[at - base : at - base + n]
@@ -164,10 +182,10 @@ class BigWig(DataSource):
         return "bigwig"
 
     def schema(self):
-        return SCHEMA
+        return ZOOMED if "zoom" in self.options else SCHEMA
 
     def reader(self, schema):
-        return Reader(self.options["path"], int(self.options.get("sections_per_task", 4096)))
+        return Reader(self.options["path"], int(self.options.get("sections_per_task", 4096)), int(self.options["zoom"]) if "zoom" in self.options else None)
 
 
 def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
@@ -177,8 +195,43 @@ def read_bigwig(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("bigwig").load(path)
 
 
+def bigwig_zooms(path: str) -> list[int]:
+    """The file's reductions: bases to a cell."""
+    return [r for r, _ in File(located(path)).zooms]
+
+
+def read_zoom(spark: SparkSession, path: str, reduction: int) -> DataFrame:
+    """Cells of a zoom level; only those with data are there."""
+    path = located(path)
+    spark.dataSource.register(BigWig)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("bigwig").option("zoom", str(reduction)).load(path)
+
+
+def zoomed_tiles(spark: SparkSession, path: str, width: int) -> DataFrame | None:
+    """(chrom, start, end, num_data, min, max, mean, sum) of tiles of ``width`` bases with data, from the coarsest level whose
+    cells fill them; None, if there is none.  Sums are of 32-bit numbers."""
+    fit = [r for r in bigwig_zooms(path) if width % r == 0]
+    if not fit:
+        return None
+    cells = read_zoom(spark, path, max(fit)).withColumn("start", F.floor(F.col("start") / width) * width)
+    out = cells.groupBy("chrom", "start").agg(F.sum("covered").alias("num_data"), F.min("least").alias("min"), F.max("most").alias("max"), F.sum("total").alias("sum"))
+    ends = F.broadcast(bigwig_sizes(spark, path)) if len(File(located(path)).chroms) < 100_000 else bigwig_sizes(spark, path)
+    return out.join(ends, "chrom").select("chrom", "start", F.least(F.col("start") + width, "size").alias("end"), "num_data", "min", "max", (F.col("sum") / F.col("num_data")).alias("mean"), "sum")
+
+
+def zoomed_graph(spark: SparkSession, path: str, every: int) -> DataFrame | None:
+    """(chrom, middle, mean) of every tile of whole chromosomes, as ``chromgraph`` gives it, from a zoom level; None without one."""
+    tiles = zoomed_tiles(spark, path, every)
+    if tiles is None:
+        return None
+    grid = tiled(sections_of(bigwig_sizes(spark, path)), every)
+    middle = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
+    return grid.join(tiles.select("chrom", "start", "mean"), ["chrom", "start"], "left").select("chrom", middle.alias("middle"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
 def bigwig_sizes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(list(File(path).chroms.values()), "chrom string, size long")
+    return spark.createDataFrame(list(File(located(path)).chroms.values()), "chrom string, size long")
 
 
 PACKED = "chrom string, first long, last long, raw binary, covered long, least double, most double, total double, squares double"
@@ -212,6 +265,78 @@ def _sections(rows: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
 
 
+PACKED_CELLS = "chrom string, first long, last long, raw binary"
+
+
+def _pyramid(signal: DataFrame, longest: int) -> list[tuple[int, DataFrame]]:
+    """(reduction, cells) of the zoom levels: the first of some ten runs a cell, each of the others of ten cells of the one before."""
+    rows = signal.where("value is not null").select("chrom", "start", "end", F.col("value").cast("float").cast("double").alias("value"))
+    mean = rows.agg(F.avg(F.col("end") - F.col("start"))).first()[0]
+    first = FACTOR ** math.ceil(math.log10(FACTOR * mean)) if mean else 0
+    if not first or first >= longest:
+        return []
+    w = F.col("end") - F.col("start")
+    cells = cut_at(rows, first).groupBy("chrom", "tile").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(w).alias("covered"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum(F.col("value") * w).alias("total"), F.sum(F.col("value") * F.col("value") * w).alias("squares"))
+    cells = cells.persist(StorageLevel.DISK_ONLY)  # read by every level
+    out = [(first, cells)]
+    while len(out) < LEVELS and out[-1][0] * FACTOR < longest:
+        merged = out[-1][1].groupBy("chrom", F.floor(F.col("tile") / FACTOR).alias("tile"))
+        out.append((out[-1][0] * FACTOR, merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("covered").alias("covered"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))))
+    return out
+
+
+def _pack_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sections of sorted cells, without their chromosome's number."""
+    for part in parts:
+        out = []
+        for chrom, mine in part.groupby("chrom", sort=False):
+            for at in range(0, len(mine), SLOT):
+                x = mine.iloc[at : at + SLOT]
+                cells = np.zeros(len(x), [(n, "<" + k) for n, k in CELL])
+                for n, _ in CELL[1:]:
+                    cells[n] = x[n]
+                out.append((chrom, int(x["start"].iloc[0]), int(x["end"].iloc[-1]), cells.tobytes()))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PACKED_CELLS.split(", ")])
+
+
+def _write_index(out, leaves: list[tuple[int, int, int, int, int]]) -> int:
+    """The R-tree over sections (chromosome, first base, last base, place, size); where it lies."""
+    index = out.tell()
+    out.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, BLOCK, len(leaves), leaves[0][0], leaves[0][1], leaves[-1][0], leaves[-1][2], index, 1, 0))
+    # levels from the leaves up; every node is written before the places above it are known, so sizes come first
+    levels = [[leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)]]
+    while len(levels[0]) > 1:
+        nodes = levels[0]
+        levels.insert(0, [nodes[i : i + BLOCK] for i in range(0, len(nodes), BLOCK)])
+
+    def reach(x):
+        while isinstance(x, list):
+            lo, hi = x[0], x[-1]
+            while isinstance(lo, list):
+                lo = lo[0]
+            while isinstance(hi, list):
+                hi = hi[-1]
+            return lo[0], lo[1], hi[0], hi[2]
+        return x[0], x[1], x[0], x[2]
+
+    at = out.tell()
+    places = []
+    for depth, nodes in enumerate(levels):
+        row = []
+        for node in nodes:
+            row.append(at)
+            at += 4 + len(node) * (32 if depth == len(levels) - 1 else 24)
+        places.append(row)
+    for depth, nodes in enumerate(levels):
+        leaf, child = depth == len(levels) - 1, 0
+        for node in nodes:
+            out.write(struct.pack("<BBH", leaf, 0, len(node)))
+            for x in node:
+                out.write(struct.pack("<IIII", *reach(x)) + (struct.pack("<QQ", x[3], x[4]) if leaf else struct.pack("<Q", places[depth + 1][child])))
+                child += not leaf
+    return index
+
+
 def write_bigwig(signal: DataFrame, sizes: DataFrame, path: str) -> None:
     """Write one file.  Tasks pack sections of sorted rows; these stream through the driver, which sets them one behind the
     other and writes the index (the format is one file in one order).  A path with a scheme is written by its file system.
@@ -228,8 +353,9 @@ def write_bigwig(signal: DataFrame, sizes: DataFrame, path: str) -> None:
     key = max([1, *(len(n) for n, _ in chroms)])
     leaves: list[tuple[int, int, int, int, int]] = []
     stats = [0, np.inf, -np.inf, 0.0, 0.0]
+    zooms = _pyramid(signal, max((size for _, size in chroms), default=0))
     with open(path, "wb") as out:
-        out.write(b"\0" * 64)
+        out.write(b"\0" * (64 + 24 * len(zooms)))
         summary = out.tell()
         out.write(b"\0" * 40)
         tree = out.tell()
@@ -247,42 +373,30 @@ def write_bigwig(signal: DataFrame, sizes: DataFrame, path: str) -> None:
             stats = [stats[0] + r["covered"], min(stats[1], r["least"]), max(stats[2], r["most"]), stats[3] + r["total"], stats[4] + r["squares"]]
         if not leaves:
             raise ValueError("a signal without data can't be written")
-        index = out.tell()
-        out.write(struct.pack("<IIQIIIIQII", INDEX_MAGIC, BLOCK, len(leaves), leaves[0][0], leaves[0][1], leaves[-1][0], leaves[-1][2], index, 1, 0))
-        # levels from the leaves up; every node is written before the places above it are known, so sizes come first
-        levels = [[leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)]]
-        while len(levels[0]) > 1:
-            nodes = levels[0]
-            levels.insert(0, [nodes[i : i + BLOCK] for i in range(0, len(nodes), BLOCK)])
-
-        def reach(x):
-            while isinstance(x, list):
-                lo, hi = x[0], x[-1]
-                while isinstance(lo, list):
-                    lo = lo[0]
-                while isinstance(hi, list):
-                    hi = hi[-1]
-                return lo[0], lo[1], hi[0], hi[2]
-            return x[0], x[1], x[0], x[2]
-
-        at = out.tell()
-        places = []
-        for depth, nodes in enumerate(levels):
-            row = []
-            for node in nodes:
-                row.append(at)
-                at += 4 + len(node) * (32 if depth == len(levels) - 1 else 24)
-            places.append(row)
-        for depth, nodes in enumerate(levels):
-            leaf, child = depth == len(levels) - 1, 0
-            for node in nodes:
-                out.write(struct.pack("<BBH", leaf, 0, len(node)))
-                for x in node:
-                    out.write(struct.pack("<IIII", *reach(x)) + (struct.pack("<QQ", x[3], x[4]) if leaf else struct.pack("<Q", places[depth + 1][child])))
-                    child += not leaf
+        index = _write_index(out, leaves)
+        headers = []
+        for reduction, cells in zooms:
+            at, mine, many = out.tell(), [], 0
+            out.write(b"\0" * 4)
+            dealt = cells.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start")
+            for r in dealt.mapInPandas(_pack_cells, PACKED_CELLS).toLocalIterator():
+                x = np.frombuffer(r["raw"], [(n, "<" + k) for n, k in CELL]).copy()
+                x["chrom"] = number[r["chrom"]]
+                raw = zlib.compress(x.tobytes())
+                mine.append((number[r["chrom"]], r["first"], r["last"], out.tell(), len(raw)))
+                out.write(raw)
+                many += len(x)
+            headers.append((reduction, 0, at, _write_index(out, mine)))
+            end = out.tell()
+            out.seek(at)
+            out.write(struct.pack("<I", many))
+            out.seek(end)
+        if zooms:
+            zooms[0][1].unpersist()
         out.write(struct.pack("<I", MAGIC))
         out.seek(0)
-        out.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, tree, data, index, 0, 0, 0, summary, 1 << 16, 0))
+        out.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, len(zooms), tree, data, index, 0, 0, 0, summary, 1 << 16, 0))
+        out.write(b"".join(struct.pack("<IIQQ", *h) for h in headers))
         out.seek(summary)
         out.write(struct.pack("<Qdddd", *stats))
         out.seek(data)
