@@ -490,6 +490,18 @@ def matrix_cluster(spark, sf_dir):
     return profiles.cluster(profiles.matrix(inputs.regions(spark, sf_dir, e), {"e": e}, 5, 5, fill=0.0), 3)[0].select("row_id", "label", "distance")
 
 
+@query("SELECT count(*) AS regions, count(*) AS nearest, CAST(3 AS BIGINT) AS clusters FROM rg")
+def matrix_cluster_nearest(spark, sf_dir):
+    """What must hold of the clusters wherever their seeds lie: each region is in one, at the distance of the centre nearest to it."""
+    e, _ = _e(spark, sf_dir)
+    vectors = profiles.matrix(inputs.regions(spark, sf_dir, e), {"e": e}, 5, 5, fill=0.0)
+    found, centres = profiles.cluster(vectors, 3)
+    far = [F.sqrt(F.aggregate(F.zip_with("values", F.array(*(F.lit(float(x)) for x in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x)) for c in centres]
+    both = found.select("row_id", "label", "distance").join(vectors.select("row_id", "values"), "row_id")
+    near = F.abs(F.col("distance") - F.least(*far)) < 1e-6
+    return both.agg(F.count("*").alias("regions"), F.count_if(near).alias("nearest"), F.countDistinct("label").alias("clusters"))
+
+
 _HOLDS = (
     ", w AS (SELECT chrom, pos, count(v) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS k FROM d),"
     " ok AS (SELECT chrom, pos, pos - row_number() OVER (PARTITION BY chrom ORDER BY pos) AS g FROM w WHERE pos + 15 <= 720 AND 15 - k <= 12 AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.chrom = w.chrom AND pos < e AND pos + 15 > s))"
