@@ -9,7 +9,7 @@ ones are joined to the maximal repeat of the seed, and maximal repeats of neighb
 removed: a window of ``width`` words over it also starts in a document with a smaller doc_id.
 
 Seeds whose surroundings are the same as far as windows reach are settled before (the whole context is extended at once),
-and a seed with more different surroundings than a task's fair share (``crowd``) is dealt out by its windows.
+and a seed with more different surroundings than a task compares (``crowd``) is dealt on by more of its windows' words.
 
 Words are runs of characters other than space, tab, LF, VT, FF and CR, compared unchanged.  Null texts have none; a null
 doc_id comes before all others.  Rows that share a doc_id count as different documents if their texts differ (in the
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import MARKS, by_anchor, leaders, repeated
+from .repeats import CROWD, MARKS, by_anchor, leaders, repeated
 from .shared import keyed, merged, record
 from .windows import word_hashes
 
@@ -105,7 +105,7 @@ def _cut(width: int):
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, crowd: int | None = None) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_words, n_removed, spans [start, end, ...] in words, kept: remaining words joined by a space), a row per document."""
     base = keyed(docs)
     spans = repeated(base, "words", width, anchor, by_document=True, order=_extend(width, anchor), crowd=crowd)

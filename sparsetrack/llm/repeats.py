@@ -11,7 +11,7 @@ Each pass is on less data; what stands alone in a pass is not looked at again:
    windows' own hashes instead, so no task gets it whole.
 3. Marks are merged per document.
 
-Equal contexts, and windows dealt singly, agree in two independent 64-bit hashes.
+Equal contexts, and windows that stay crowded to the end, agree in two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,12 @@ from .windows import BASE, BASE2, BASE2_INV, BASE_INV, U, batches, byte_values,
 
 #: Contexts remembered by a task for combining (bounds its memory, not the result).
 REMEMBERED = 400_000
-#: An anchor with more contexts than this, and than a task's fair share of all, is split between tasks.
-CROWD = 1_000
+#: Runs that are compared in one task (about 11 kB each); an anchor with more is dealt on.
+CROWD = 10_000
+#: Parts of a part in each round of dealing on.
+PARTS = 4
+#: Crowded anchors that are broadcast (16 bytes each); more are joined.
+LISTED = 100_000
 RUN, MARK, OPEN = 0, 1, 2
 FOUND = pa.schema([("kind", pa.int8()), ("akey", pa.int64()), ("ckey", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("reach", pa.int32())])
 #: ``reach``: the number of further window starts of the run, and behind it in sixteen bits the anchor's place after lo.
@@ -145,6 +150,38 @@ def _slices(unit: str, width: int):
     return run
 
 
+def parts(n: int, pieces: int) -> list[tuple[int, int]]:
+    """The places 0 to n - 1 in so many pieces, (first, last) of each."""
+    return [(n * p // pieces, n * (p + 1) // pieces - 1) for p in range(pieces) if n * p // pieces < n * (p + 1) // pieces]
+
+
+def _deal(unit: str, width: int, k: int, pieces: int):
+    """Each run cut into runs of windows that have the anchor in one piece of their places; a new ``akey`` of the old one,
+    the piece and the text that all windows of the piece share."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("repeats")
+        for b in it:
+            out: list[tuple] = []
+            for akey, did, th, lo, at, raw in zip(*(b.column(c).to_pylist() for c in SLICE.names), strict=True):
+                tokens = raw if unit == "bytes" else raw.split()
+                joined = (lambda x: x) if unit == "bytes" else b" ".join
+                further = len(tokens) - width
+                for first, last in parts(width - k + 1, pieces):
+                    near, far = max(first, at - further), min(last, at)
+                    if near > far:
+                        continue
+                    key = b"%d %d " % (akey, first) + joined(tokens[at - first : at - last + width])
+                    out.append((int.from_bytes(xxhash.xxh3_64_digest(key), "little", signed=True), did, th, lo + at - far, far, joined(tokens[at - far : at - near + width])))
+                if len(out) > 20_000:
+                    yield record(SLICE, zip(*out, strict=True))
+                    out = []
+            if out:
+                yield record(SLICE, zip(*out, strict=True))
+
+    return run
+
+
 class Expanded:
     """All windows of some runs: of each its run and start; hashes of any slice of it."""
 
@@ -214,7 +251,16 @@ def _single_windows(unit: str, width: int):
     return run
 
 
-def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool, order, crowd: int | None = None) -> DataFrame:
+def _alike(slices: DataFrame, unit: str, width: int, by_document: bool) -> DataFrame:
+    """Marks of single windows that equal an earlier one, by their hashes."""
+    alone = slices.mapInArrow(_single_windows(unit, width), WINDOW_SQL)
+    place = ["did", "th"] + ([] if by_document else ["lo"])
+    firsts = alone.groupBy("w1", "w2").agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("n")).filter("n > 1")
+    later = alone.join(firsts, ["w1", "w2"]).filter(~F.struct(*place).eqNullSafe(F.col("f")))
+    return later.select("did", "th", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("lo")).alias("span"))
+
+
+def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool, order, crowd: int = CROWD) -> DataFrame:
     """Window starts that repeat an earlier one, of ``keyed`` documents: (did, th, spans array<long>, packed lo << 32 | hi).
 
     ``order``: the comparison of an anchor's runs, a function for mapInArrow from ``SLICE`` to ``MARKS`` rows.
@@ -231,25 +277,26 @@ def repeated(docs: DataFrame, unit: str, width: int, k: int, by_document: bool,
     still = found.filter(F.col("kind") == OPEN)
     runs = still.groupBy("did", "th").agg(F.collect_list(F.struct("akey", "lo", "reach")).alias("runs"))
     slices = runs.join(texts, ["did", "th"]).select("did", "th", "text", "runs").mapInArrow(_slices(unit, width), SLICE_SQL)
-    fair = crowd is None
-    if fair:
-        crowd = max(CROWD, still.count() // int(spark.conf.get("spark.sql.shuffle.partitions")))
-    crowded = still.groupBy("akey").count().filter(F.col("count") > crowd).select("akey", F.lit(True).alias("crowd"))
-    if crowded.isEmpty():
-        few = slices
-    else:
-        # beyond a fair share there are at most as many anchors as partitions
-        slices = written(slices, "slices").join(F.broadcast(crowded) if fair else crowded, "akey", "left")
-        few = slices.filter("crowd is null").drop("crowd")
-        alone = slices.filter("crowd").drop("crowd").mapInArrow(_single_windows(unit, width), WINDOW_SQL)
-        firsts = alone.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", *([] if by_document else ["lo"]))).alias("f"), F.count("*").alias("n")).filter("n > 1")
-        later = alone.join(firsts, ["w1", "w2"])
-        for c in ["did", "th"] + ([] if by_document else ["lo"]):
-            later = later.withColumn(f"f_{c}", F.col(f"f.{c}"))
-        differs = (F.col("did") != F.col("f_did")) | (F.col("th") != F.col("f_th"))
-        if not by_document:
-            differs = differs | (F.col("lo") != F.col("f_lo"))
-        marks = marks.union(later.filter(differs).select("did", "th", (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("lo")).alias("span")))
+    few, pieces, known = None, 1, still
+    while True:
+        counts = known.groupBy("akey").count()
+        crowded = written(counts.filter(F.col("count") > crowd).select("akey"), "crowded")
+        n = crowded.count()
+        if not n:
+            few = slices if few is None else few.unionByName(slices)
+            break
+        if pieces == 1:
+            slices = written(slices, "slices")
+        listed = F.broadcast(crowded) if n <= LISTED else crowded
+        calm = slices.join(listed, "akey", "left_anti")
+        few = calm if few is None else few.unionByName(calm)
+        many = slices.join(listed, "akey", "left_semi")
+        if pieces > width - k:  # each is a single window, and a crowd of them all alike
+            marks = marks.union(_alike(many, unit, width, by_document))
+            break
+        pieces *= PARTS
+        slices = known = written(many.mapInArrow(_deal(unit, width, k, pieces), SLICE_SQL), "dealt")
+        settle(spark)
     ordered = few.repartition("akey").sortWithinPartitions("akey").mapInArrow(order, MARKS_SQL)
     marks = marks.union(written(ordered, "windows"))
     settle(spark)

@@ -6,9 +6,10 @@ import re
 
 import pytest
 
-from sparsetrack.llm import windows
+from sparsetrack.llm import repeats, windows
 from sparsetrack.llm.op3_suffix_dedup import remove_repeats
 from sparsetrack.llm.op7_substring_dedup import remove_repeated_passages
+from sparsetrack.llm.shared import record
 
 SCHEMA = "doc_id long, text string, kept string, spans int"
 
@@ -112,3 +113,29 @@ def test_whole_characters(spark):
     rows = [(1, "é" * 60, "", 0), (2, "x" + "é" * 60 + "y", "", 0)]
     got = {r.doc_id: r.clean_text for r in remove_repeats(spark.createDataFrame(rows, SCHEMA), clean=True).collect()}
     assert got[2] == "xy"
+
+
+@pytest.mark.parametrize("unit,width,k", [("bytes", 100, 16), ("words", 50, 8)])
+def test_dealing_on_keeps_each_window_once(unit, width, k):
+    """Pieces of a run have all its windows, once each; equal windows of two runs meet under one key in every round."""
+    rnd = random.Random(7)
+    sep = b"" if unit == "bytes" else b" "
+    token = lambda: bytes([rnd.randrange(33, 127)]) if unit == "bytes" else b"w%d" % rnd.randrange(99)
+    anchor, same = [token() for _ in range(k)], [token() for _ in range(width)]
+    rows = []
+    for did in range(2):
+        before = [token() for _ in range(20)] + same[:10]
+        rows.append((5, did, 0, 40, 30, sep.join((before + anchor + same[10:] + [token() for _ in range(10)])[: 30 + width])))
+    for pieces in (repeats.PARTS, repeats.PARTS**4):
+        batch = record(repeats.SLICE, zip(*rows, strict=True))
+        seen, keys = {}, {}
+        for out in repeats._deal(unit, width, k, pieces)(iter([batch])):
+            for r in out.to_pylist():
+                tokens = [bytes([c]) for c in r["tokens"]] if unit == "bytes" else r["tokens"].split()
+                for s in range(len(tokens) - width + 1):
+                    assert r["lo"] + s not in seen.setdefault(r["did"], set())
+                    seen[r["did"]].add(r["lo"] + s)
+                    assert tokens[r["at"] : r["at"] + k] == anchor
+                    keys.setdefault((r["at"] - s, tuple(tokens[s : s + width])), set()).add(r["akey"])
+        assert seen == {d: set(range(40, 71)) for d in range(2)}
+        assert all(len(x) == 1 for x in keys.values())
