@@ -2,14 +2,14 @@
 
 The standard library's parser streams events; they become lines, one for each block of a page, with its characters (those
 in links don't count), its tags and its place in the tree.  The ratio of characters to tags is smoothed over neighbouring
-lines (as a logarithm) with a Gaussian.  Names only weigh: lines in elements that by tag, role, class or id look like menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments have a small weight.  Lines whose weighted ratio is above the
-threshold (a share of its standard deviation over the page) form the content clusters, and the clusters choose the region:
-the outermost ``article`` and ``main`` elements with content if they hold half of it, or else the smallest container around
-nearly all of it.  The lines of that region, short ones too, are the text, but for parts of it that names weigh down and the
-ratio doesn't lift over the threshold.  A name on an element around the region silences nothing.  Where the region is the
-whole page, lines outside the clusters are left out if they are mostly links, or if they come before the first or after the
-last cluster and aren't siblings of its lines.
+lines (as a logarithm, long lines as if of 300 characters) with a Gaussian.  Names only weigh: lines in elements that by tag, role, class or id look like menus, headers,
+footers, sidebars, notices, adverts, forms or reader comments have a small weight.  The threshold is a share of the page's
+largest smoothed ratio; the lines above it form the content clusters, as do those above half of it that have several of their
+kind beside them, and the clusters choose the region: the outermost ``article`` and ``main`` elements with content if they hold
+half of it, or else the smallest container around nearly all of it.  The lines of that region, short ones too, are the text,
+but for parts of it that names weigh down and the ratio doesn't lift over the threshold.  A name on an element around the
+region silences nothing.  Where the region is the whole page, lines outside the clusters are left out if they are mostly
+links, or if they come before the first or after the last cluster, unless headings, lists and other text elements next to it.
 Scripts, styles and what isn't shown give no lines at all.
 
 Lines are joined by an empty line, white space inside one is a single space, character references are decoded.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -48,6 +49,9 @@ FURNITURE = frozenset(
 BESIDE = frozenset(
     "site page main primary secondary global blog post posts entry article articles left right top bottom upper lower first last mobile desktop fixed sticky float floating header head foot area bar box block body button buttons card column col container form frame group icon icons inner outer item items leaderboard link links list mpu panel placeholder rail row section skyscraper slot title toggle unit wrap wrapper thread c l o js".split()
 )
+#: Shares of the page's largest smoothed ratio: from the first on a line belongs to a cluster, from the second on if there are
+#: several such lines of its kind in its parent.
+PEAK, WEAK, SEVERAL = 0.75, 0.375, 3
 SIGMA, REACH, WEIGHT, AROUND = 1.0, 3, 0.02, 0.9
 #: Characters beyond which a line counts as a long paragraph, however long.
 LONG = 300
@@ -197,11 +201,13 @@ def main_text(html: str | None) -> str:
     lines, marked = page.found, page.marked()
     if not lines:
         return ""
-    ratio = np.log1p([max(0, len(x.text) - x.linked) / (1 + x.tags) for x in lines])  # one huge line doesn't hide the others
+    ratio = np.log1p([min(LONG, max(0, len(x.text) - x.linked)) / (1 + x.tags) for x in lines])  # one huge line doesn't hide the others
     weighted = smoothed(ratio) * np.array([1.0 if marked.isdisjoint(x.path) else WEIGHT for x in lines])
-    threshold = min(weighted.max(), max(weighted.mean() - weighted.std(), 0.5 * weighted.std()))
-    content = weighted >= threshold
-    regions = _regions(page, [x for x, c in zip(lines, content, strict=True) if c])
+    top = weighted.max()
+    threshold, weak = min(top, PEAK * top), weighted >= min(top, WEAK * top)
+    alike = Counter((x.path[:-1], page.kinds.get(x.path[-1]) if x.path else None) for x, w in zip(lines, weak, strict=True) if w)
+    content = (weighted >= threshold) | np.array([bool(w) and bool(x.path) and alike[x.path[:-1], page.kinds[x.path[-1]]] >= SEVERAL for x, w in zip(lines, weak, strict=True)])
+    regions = _regions(page, [x for x, c in zip(lines, content, strict=True) if c], [x for x, w in zip(lines, weak, strict=True) if w])
     # parts of the region that names weigh down and the ratio doesn't lift
     sums: dict[int, list[float]] = {}
     for x, v in zip(lines, weighted, strict=True):
@@ -211,24 +217,41 @@ def main_text(html: str | None) -> str:
     dropped = {n for n, v in sums.items() if n not in outside and sum(v) < threshold * len(v)}
     kept = [i for i, x in enumerate(lines) if (not regions or not regions.isdisjoint(x.path)) and dropped.isdisjoint(x.path)]
     if all(page.kinds[n] == "body" for n in regions):
-        inner = np.flatnonzero(content)
-        beside = {lines[i].path[:-1] for i in (inner[0], inner[-1])}
-        kept = [i for i in kept if content[i] or (2 * lines[i].linked <= len(lines[i].text) and (inner[0] < i < inner[-1] or lines[i].path[:-1] in beside))]
+        around = _around(page, lines, np.flatnonzero(content).tolist(), kept)
+        kept = [i for i in kept if content[i] or (i in around and 2 * lines[i].linked <= len(lines[i].text))]
     return "\n\n".join(lines[i].text for i in kept)
 
 
-def _regions(page: Lines, clusters: list[Line]) -> set[int]:
+def _around(page: Lines, lines: list[Line], content: list[int], kept: list[int]) -> range:
+    """The stretch from the first to the last cluster and, beside these, what lies next to them in their common parent: text
+    elements such as headings and lists, and elements of a kind that the clusters' own lines have there."""
+    paths = [lines[i].path for i in content]
+    depth = 0
+    while all(len(p) > depth + 1 and p[depth] == paths[0][depth] for p in paths):
+        depth += 1
+    kinds = {page.kinds[p[depth]] for p in paths if len(p) > depth}
+    ends = []
+    for edge, beyond in ((content[0], [i for i in reversed(kept) if i < content[0]]), (content[-1], [i for i in kept if i > content[-1]])):
+        for i in beyond:
+            path = lines[i].path
+            if path[:depth] != paths[0][:depth] or (len(path) > depth and (kind := page.kinds[path[depth]]) not in kinds and kind in CONTAINERS | LIGHT):
+                break
+            edge = i
+        ends.append(edge)
+    return range(ends[0], ends[1] + 1)
+
+
+def _regions(page: Lines, clusters: list[Line], weak: list[Line]) -> set[int]:
     """Elements whose lines are the main text, by the content found in them; none stands for the whole page."""
-    named: dict[int, int] = {}
+
+    def own(x: Line) -> int | None:
+        return next((n for n in x.path if page.kinds[n] in ("article", "main")), None)
+
     size = [min(LONG, len(x.text)) for x in clusters]
     whole = sum(size)
-    for x, mass in zip(clusters, size, strict=True):
-        for n in x.path:
-            if page.kinds[n] in ("article", "main"):
-                named[n] = named.get(n, 0) + mass
-                break
-    if named and 2 * sum(named.values()) >= whole:
-        return set(named)
+    named = sum(mass for x, mass in zip(clusters, size, strict=True) if own(x))
+    if named and 2 * named >= whole:
+        return {n for x in (*clusters, *weak) if (n := own(x))}
     held: dict[int, int] = {}
     for x, mass in zip(clusters, size, strict=True):
         for n in x.path:

@@ -1,5 +1,8 @@
 """Operator 9 keeps whole articles: sibling paragraphs, several articles, wrappers named after a layout."""
 
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
 from sparsetrack.llm import op9_html_extraction as op9
@@ -91,3 +94,30 @@ def test_wrappers_silence_no_article(name):
 def test_unclosed_furniture():
     assert lines(f"<body><article><h1>Title</h1><p>{SHORT[0]}</p><p>{SHORT[1]}</p></article><footer><p>Us, whoever we are") == ["Title", *SHORT[:2]]
     assert lines(f"<body><nav><ul><li><a href=a>Home</a><article><p>{SHORT[0]}</p><p>{SHORT[1]}</p></article>")[-2:] == SHORT[:2]
+
+
+def test_short_lines_of_a_second_part_stay():
+    verse = [f"A line of verse {i}" for i in range(6)]
+    first, second = "".join(f"<p>{x * 3}</p>" for x in SHORT), "".join(f"<p>{x}</p>" for x in verse)
+    for tag in ("article", "div"):
+        assert lines(f"<body><nav><a href=a>Home</a></nav><div><{tag}>{first}</{tag}><{tag}>{second}</{tag}></div><footer>Us</footer></body>") == [x * 3 for x in SHORT] + verse
+
+
+def test_a_list_ends_an_unnamed_text():
+    assert lines(f"<body><div>Buy it now</div><h1>Title</h1>{''.join(f'<p>{x}</p>' for x in SHORT)}<ul><li>One</li><li>Two</li></ul><div>Us</div></body>") == ["Title", *SHORT, "One", "Two"]
+
+
+def stripped(html, article):
+    """A page whose names tell nothing."""
+    html = re.sub(r"<[a-zA-Z][^>]*>", lambda tag: re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", tag[0]), html)
+    return re.sub(r"<(/?)article\b[^>]*>", r"<\1div>" if article == "div" else "", html)
+
+
+@pytest.mark.parametrize("article", ["div", ""])
+def test_given_pages_without_names(monkeypatch, article):
+    """Without ``article``, class, id and role the ratio finds the texts; a constant one doesn't."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    want, bare = [main_text(h) for h in pages], [stripped(h or "", article) for h in pages]
+    assert sum(map(str.__eq__, want, map(main_text, bare))) >= 0.98 * len(pages)
+    monkeypatch.setattr(op9, "smoothed", lambda r: r * 0 + 1)
+    assert sum(map(str.__eq__, want, map(main_text, bare))) < 0.9 * len(pages)
