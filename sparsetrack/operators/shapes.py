@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from ..plans.intervals import SMALL, clip, condense, cut_at, merge, overlaps, subtract
+from ..plans.intervals import SMALL, TILE, clip, condense, cut_at, merge, overlaps, subtract
+from ..plans.lineage import cut
 from .summaries import whole
 
 #: Letters of the alphabets of 4 and 8 symbols; others take A, B, C and so on.
@@ -138,38 +139,77 @@ def sax_words(signal: DataFrame, sections: DataFrame, k: int, mean: float | None
     return letters.groupBy("chrom", F.col("s").alias("start"), F.col("e").alias("end")).agg(word.alias("word"))
 
 
-def split_chunks(signal: DataFrame, size: int, min_gap: int = 1) -> DataFrame:
+def _within(rows: pd.DataFrame) -> tuple[list[int], list[int], list[int]]:
+    """A tile's beginnings in order, their successors (-1: none), and these by row number (the number of rows: not in this tile)."""
+    rows = rows.sort_values("a")
+    a, then = rows["a"].to_numpy(), rows["next"].to_numpy()
+    return a.tolist(), then.tolist(), np.where(then < 0, len(a), np.searchsorted(a, then)).tolist()
+
+
+def _leave(rows: pd.DataFrame) -> pd.DataFrame:
+    """(a, next): the first beginning in another tile that ``a`` leads to."""
+    a, leads, at = _within(rows)
+    for i in range(len(a) - 1, -1, -1):
+        if at[i] < len(a):
+            leads[i] = leads[at[i]]
+    return pd.DataFrame({"a": a, "next": leads})
+
+
+def _follow(rows: pd.DataFrame) -> pd.DataFrame:
+    """(a): the beginnings in a tile that ``entry`` leads to, itself included."""
+    a, _, at = _within(rows)
+    met, i = [], a.index(rows["entry"].iloc[0])
+    while i < len(a):
+        met.append(a[i])
+        i = at[i]
+    return pd.DataFrame({"a": met})
+
+
+def split_chunks(signal: DataFrame, size: int, min_gap: int = 1, tile: int = TILE) -> DataFrame:
     """(chunk, chrom, start, end): gap-free stretches gathered greedily, in order, into chunks of about ``size`` bases.
 
     A chunk ends where the next stretch would overfill it after a gap of at least ``min_gap``, or where another chromosome
-    begins that doesn't fit in.  The fold needs all stretches in order; they go through one task as a stream, not its memory.
+    begins that doesn't fit in.  Chromosomes, from their first stretch to their last, are laid end to end on one axis; then
+    what a chunk holds is a difference of places, and where the next one begins depends on where it began alone.  Each
+    stretch that may begin a chunk looks up its successor in tiles of the axis; a tile's are followed to where they leave it,
+    what is reached from the first stretch is found by pointers from tile to tile that double each round, and then followed
+    inside.  A task has at most a tile's stretches; single windows see a row for each chromosome or tile.
     """
-    runs = merge(signal).select("chrom", "start", "end").coalesce(1).sortWithinPartitions("chrom", "start")
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, have, chrom, first, last = 0, 0, None, 0, 0
-        for part in parts:
-            out = []
-            for c, s, e in part[["chrom", "start", "end"]].itertuples(index=False):
-                if chrom is None:
-                    chrom, first, last, have = c, s, e, e - s
-                    continue
-                gap = s - last if c == chrom else 0
-                full = have + gap + (e - s) > size
-                if (c == chrom and full and gap >= min_gap) or (c != chrom and full):
-                    out.append((chunk, chrom, first, last))
-                    chunk, chrom, first, have = chunk + 1, c, s, e - s
-                elif c != chrom:
-                    out.append((chunk, chrom, first, last))
-                    chrom, first, have = c, s, have + e - s
-                else:
-                    have += gap + e - s
-                last = e
-            yield pd.DataFrame(out, columns=["chunk", "chrom", "start", "end"])
-        if chrom is not None:
-            yield pd.DataFrame([(chunk, chrom, first, last)], columns=["chunk", "chrom", "start", "end"])
-
-    return runs.mapInPandas(fold, "chunk long, chrom string, start long, end long")
+    runs = merge(signal).select("chrom", "start", "end")
+    spans = runs.groupBy("chrom").agg(F.min("start").alias("from"), (F.max("end") - F.min("start")).alias("span"))
+    spans = spans.select("chrom", "from", (F.sum("span").over(Window.orderBy("chrom")) - F.col("span")).alias("before"))
+    place = lambda c: F.col("before") + F.col(c) - F.col("from")
+    laid = runs.join(spans, "chrom").select("chrom", "start", "end", place("start").alias("a"), place("end").alias("e"), (F.col("start") == F.col("from")).alias("begins"))
+    laid = cut(laid.withColumn("tile", F.floor(F.col("a") / tile)))
+    w = Window.partitionBy("tile").orderBy("a")
+    last = laid.groupBy("tile").agg(F.max("e").alias("e")).select("tile", F.lag("e").over(Window.orderBy("tile")).alias("last"))
+    gap = F.col("a") - F.coalesce(F.lag("e").over(w), F.col("last"))
+    may = laid.join(last, "tile").withColumn("gap", gap).where(F.col("begins") | (F.col("gap") >= min_gap)).select("a", "e")
+    # the first stretch that may begin a chunk and ends beyond what the chunk begun at ``a`` can hold
+    ends, asks = F.struct(F.col("e").alias("at"), F.lit(0).alias("ask"), "a"), F.struct(F.greatest(F.col("a") + size, "e").alias("at"), F.lit(1).alias("ask"), "a")
+    rows = may.select(F.explode(F.array(ends, asks)).alias("x")).select("x.*").withColumn("tile", F.floor(F.col("at") / tile))
+    found = F.when(F.col("ask") == 0, F.col("a"))
+    nearest = F.last(found, ignorenulls=True).over(Window.partitionBy("tile").orderBy(F.desc("at"), F.desc("ask")))
+    later = rows.groupBy("tile").agg(F.min_by(found, F.when(F.col("ask") == 0, F.col("at"))).alias("first"))
+    later = later.select("tile", F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("tile")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    jump = rows.withColumn("nearest", nearest).where("ask = 1").join(later, "tile").select("a", F.coalesce("nearest", "later", F.lit(-1)).alias("next"))
+    jump = cut(jump.withColumn("tile", F.floor(F.col("a") / tile)))
+    # what a chunk's beginning leads to in another tile; of these, those reached from the first stretch, by doubling pointers
+    leaves = cut(jump.groupBy("tile").applyInPandas(_leave, "a long, next long"))
+    entries, many = cut(laid.agg(F.min("a").alias("a")).where("a is not null")), 0
+    leap = leaves.join(leaves.where("next >= 0").select(F.col("next").alias("a")).union(entries).distinct(), "a", "left_semi").where("next >= 0")
+    while (now := entries.count()) > many:
+        leap, many = cut(leap), now
+        entries = cut(entries.union(entries.join(leap, "a").select("next")).distinct())
+        leap = leap.join(leap.select(F.col("a").alias("next"), F.col("next").alias("far")), "next").select("a", F.col("far").alias("next"))
+    # a tile is entered at most once; in it the pointers are followed from there
+    entered = entries.select(F.floor(F.col("a") / tile).alias("tile"), F.col("a").alias("entry"))
+    begun = jump.join(entered, "tile").groupBy("tile").applyInPandas(_follow, "a long")
+    # numbers of chunks: beginnings so far, in the tiles before and in the tile
+    marked = laid.join(begun.withColumn("new", F.lit(1)), "a", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    many_before = marked.groupBy("tile").agg(F.sum("new").alias("n")).select("tile", (F.sum("n").over(Window.orderBy("tile")) - F.col("n")).alias("n"))
+    numbered = marked.withColumn("k", F.sum("new").over(w)).join(many_before, "tile").withColumn("chunk", F.col("n") + F.col("k") - 1)
+    return numbered.groupBy("chunk", "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def random_places(signal: DataFrame, sections: DataFrame, size: int, max_na: float = 0.4, blacklist: DataFrame | None = None, tile: int = SMALL) -> DataFrame:
