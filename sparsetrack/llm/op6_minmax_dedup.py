@@ -3,8 +3,8 @@
 Every permutation gives two signature values, the smallest and the largest hash of a document's shingles, so half the
 evaluations fill the same signature; bands of four values deal documents into buckets.  Documents with the same shingle
 set are one class from the start.  In a bucket, classes are compared with its best connected member (a star, not all pairs),
-which then leaves; buckets that still hold different components go through up to ``STARS`` more rounds, as long as a round
-halves what is left.  What is left after that is compared pair by pair.  Two bounds stand before each comparison and drop no true link:
+which then leaves; buckets that still hold different components go through up to ``STARS`` more rounds, as long as a round,
+the first too, halves the members' partners.  What is left after that is compared pair by pair.  Two bounds stand before each comparison and drop no true link:
 set sizes, and the popcount of the xor of 1,024-bit parity sketches, which is never more than the symmetric difference.
 Every link is confirmed on the full shingle sets; the text of a member that many are compared with is dealt out in shares.
 Components are found by label propagation; no links, fingerprints or members come to the driver.
@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         found = pairs.join(a, ["a_did", "a_th"]).join(b, ["b_did", "b_th", "share"]).mapInArrow(_confirm(size, percent), "a_did long, a_th long, b_did long, b_th long")
         return found.select(F.struct(F.col("a_did").alias("did"), F.col("a_th").alias("th")).alias("a"), F.struct(F.col("b_did").alias("did"), F.col("b_th").alias("th")).alias("b")).distinct()
 
-    rest, links, labels, before = buckets.withColumn("label", F.col("node")), None, None, float("inf")
+    partners = lambda t: t.agg(F.coalesce(F.sum(F.col("members") - 1), F.lit(0)), F.coalesce(F.avg(F.col("members") - 1), F.lit(0.0))).first()  # noqa: E731  all, and of a row on average
+    rest, links, labels, before = buckets.withColumn("label", F.col("node")), None, None, partners(buckets)[0]
     for _ in range(1 + STARS):
         degree = rest.groupBy("node").agg(F.sum("members").alias("degree"))
         centres = written(rest.join(degree, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "label", "degree"), F.struct("degree", "node")).alias("c")).select("bucket", "c.*"), "centres")
@@ -176,8 +177,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
         mixed = now.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("members")).where("l1 <> l2").select("bucket", "members")
         rest = written(now.join(mixed, "bucket"), "mixed")
         discard(centres)
-        left = rest.agg(F.coalesce(F.avg(F.col("members") - 1), F.lit(0.0))).first()[0]  # mean partners of a row
-        if left <= FEW or left > before / 2:
+        left, mean = partners(rest)
+        if mean <= FEW or left > before / 2:
             break
         before = left
     if left:

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from sparsetrack.llm.components import components
+from sparsetrack.llm import components as joined
 from sparsetrack.llm import op6_minmax_dedup as near
 from sparsetrack.llm.op6_minmax_dedup import near_duplicates
 
@@ -82,3 +83,48 @@ def test_a_very_long_text(spark):
     rows = [(1, long, "", 0), (2, long + " and more", "", 0), (3, long[: len(long) // 2], "", 0)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_few_links_make_few_files(spark, monkeypatch):
+    held, files = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, []
+    before = {k: spark.conf.get(k) for k in held}
+
+    def counted(df, name, write=joined.written):
+        out = write(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(joined, "written", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.label for r in components(spark.createDataFrame([(i, i // 7 * 7) for i in range(1500)], "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 7 * 7 for i in range(1500) if i // 7 * 7 + 1 < 1500}
+    assert max(files) <= joined.LEAST_PARTS
+
+
+def test_alike_but_not_linked_texts_go_through_one_star(spark, monkeypatch):
+    monkeypatch.setattr(near, "FEW", 3)
+    rnd, names = random.Random(8), []
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for at in rnd.sample(range(300), 4):
+            w[at] = f"x{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(w), "", 0))
+    rows += [(40, rows[3][1] + " more", "", 0), (41, rows[17][1] + " and more", "", 0)]
+
+    def named(df, name, write=near.written):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(near, "written", named)
+    want = brute(rows, 85)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.component_id == want[(r.doc_id, r.n_shingles)] for r in got) and len(got) == 42
+    assert len({r.component_id for r in got}) > 20
+    assert names.count("centres") == 1
