@@ -107,12 +107,13 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES, margin: float = MARGIN)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     near = neighbours(base.groupBy(*KEY).agg(F.max(F.char_length("text")).cast("long").alias("n"), F.count("*").alias("copies")))
-    # texts are dealt by their key once; beginnings go to the document before
-    held = base.groupBy(*KEY).agg(F.first("text").alias("text")).join(near, KEY)
-    heads = held.select(F.col("p_did").alias("did"), F.col("p_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("p_n") / 4).cast("int")).alias("head"))
-    both = held.join(heads, KEY)
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), F.col("head"))
-    both = both.select(*KEY, "n", "copies", "p_did", "p_th", "text", edited.alias("edited"))
+
+    def paired(base: DataFrame, near: DataFrame) -> DataFrame:
+        """Texts with their edited texts; texts are dealt by their key once, beginnings go to the document before."""
+        held = base.groupBy(*KEY).agg(F.first("text").alias("text")).join(near, KEY)
+        heads = held.select(F.col("p_did").alias("did"), F.col("p_th").alias("th"), F.substring("text", F.lit(1), F.floor(F.col("p_n") / 4).cast("int")).alias("head"))
+        edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), F.col("head"))
+        return held.join(heads, KEY).select(*KEY, "n", "copies", "p_did", "p_th", "text", edited.alias("edited"))
 
     def signed(texts: DataFrame, margin: float | None) -> DataFrame:
         drawn = samples(term_weights(texts, KEY, ["text", "edited"]), KEY, ["text", "edited"], count, margin)
@@ -120,11 +121,18 @@ def fingerprints(docs: DataFrame, count: int = SAMPLES, margin: float = MARGIN)
         facts = texts.select(*KEY, "n", "copies", "p_did", "p_th", F.sha2("edited", 256).alias("edited_sha256"))
         return facts.join(drawn.select(*KEY, short("text").alias("mine"), short("edited").alias("changed"), "sound"), KEY)
 
-    found = written(signed(both, margin), "samples")
+    found = written(signed(paired(base, near), margin), "samples")
     settle(spark)
-    result, again = found.where("sound"), found.where(~F.col("sound")).select(*KEY)
+    result, again = found.where("sound"), written(found.where(~F.col("sound")).select(*KEY), "again")
     if not again.isEmpty():
-        result = result.unionByName(written(signed(both.join(again, KEY, "left_semi"), None), "samples"))
+        # of all texts only theirs and the next documents' are dealt again
+        following = near.join(again.toDF("p_did", "p_th"), ["p_did", "p_th"], "left_semi").select(*KEY)
+        wanted = written(again.union(following).distinct(), "again")
+        part = paired(base.join(wanted, KEY, "left_semi"), near.join(wanted, KEY, "left_semi"))
+        result = result.unionByName(written(signed(part.join(again, KEY, "left_semi"), None), "samples"))
+        discard(wanted)
+        settle(spark)
+    discard(again)
     following = result.select(F.col("p_did").alias("did"), F.col("p_th").alias("th"), F.col("mine").alias("next"))
     agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.lit(float(count))
     digits = lambda c: F.array_join(F.transform(c, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")

@@ -89,3 +89,18 @@ def test_a_very_long_text(spark):
     long = " ".join(f"w{i % 5000}" for i in range(60_000))
     got = w.fingerprints(spark.createDataFrame([(1, long, 0, ""), (2, "short", 0, ""), (3, long, 0, "")], SCHEMA)).collect()
     assert len({r.fingerprint for r in got if r.doc_id != 2}) == 1
+
+
+def test_a_redraw_deals_only_the_texts_it_needs(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, " ".join(f"w{v:x}" for v in rng.integers(0, 10**9, 400)), 0, "") for i in range(200)], SCHEMA)
+    sc = spark.sparkContext._jsc.sc()
+
+    def dealt(margin):
+        bytes_ = lambda: sc.listenerBus().waitUntilEmpty(30_000) or sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+        at, rows = bytes_(), sorted(w.fingerprints(df, 8, margin).collect())
+        return bytes_() - at, rows
+
+    (plain, rows), (again, same) = dealt(30.0), dealt(6.0)  # nothing drawn again; some of the documents
+    assert rows == same
+    assert plain > 500_000 and again < 1.5 * plain
